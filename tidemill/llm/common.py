@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -166,6 +167,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed table in the checkpoint folder: smaller than a checkpoint where rows hold texts."""
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_sample(df: DataFrame, key: str, columns: list[str], rows: int) -> list:
     """At most `rows` rows in the order of a hash of the key: the same whatever the partitioning, spread over all rows.
 
