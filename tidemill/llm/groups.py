@@ -1,7 +1,7 @@
 """Problem 4: related groups of records, and splits that keep each group together.
 
 Related records are found as connected components of a bipartite graph between documents and what they share (prefixes and
-authors). Every round, each document takes the best (by a hash that changes with the round) of all documents that it shares
+authors). Every round, each document takes the best (by a hash) of all documents that it shares
 anything with, and the graph is contracted; a shared thing with one document left has no more to join and is dropped. The
 graph shrinks by a constant factor a round, so there are O(log n) rounds; each is written to the checkpoint folder. A
 thing that a large part of all rows share is a plain partial aggregation and, on the way back, a broadcast of its one row:
@@ -36,45 +36,51 @@ def split_name(c: Column) -> Column:
     return F.when(name.isin("val", "valid", "dev"), "validation").otherwise(name)
 
 
-def join_unique(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", count: str | None = None, hot: int = HOT) -> DataFrame:
-    """rows join one, which has one row per key; the keys with over `hot` rows are joined by broadcast, without a shuffle.
+def join_unique(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", most: int | None = None, hot: int = HOT) -> DataFrame:
+    """rows join one, which has one row per key; keys with over `hot` rows are joined by broadcast, without a shuffle.
 
-    count: a column of `one` with the number of rows of each key, dropped in the result; without it they are counted here.
+    most: the largest number of rows of a key, if it is known; it is counted here if not. Without hot keys, which is the
+    usual case, it is a plain join.
     """
-    if count is None:
-        one = one.join(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot), key, "left")
-        count = "_rows"
-    marked = one.where(F.col(count) > hot).drop(count).withColumn("_hot", F.lit(True))
-    cold = one.where(F.coalesce(F.col(count), F.lit(0)) <= hot).drop(count)
-    new = [c for c in cold.columns if c != key]
+    counts = None
+    if most is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_rows")).where((F.col("_rows") > hot) & F.col(key).isNotNull()).select(key)
+        keys = counts.limit(1).count()
+        most = hot + 1 if keys else 0
+    if most <= hot:
+        return rows.join(one, key, how).select(*rows.columns, *[c for c in one.columns if c != key])
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot).select(key)
+    marked = one.join(F.broadcast(counts), key, "left_semi").withColumn("_hot", F.lit(True))
+    new = [c for c in one.columns if c != key]
     first = rows.join(F.broadcast(marked), key, "left")
     hot_rows = first.where("_hot").drop("_hot")
-    cold_rows = first.where("_hot is null").drop("_hot", *new).join(cold, key, how)
+    cold_rows = first.where("_hot is null").drop("_hot", *new).join(one, key, how)
     return hot_rows.select(*rows.columns, *new).unionByName(cold_rows.select(*rows.columns, *new))
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, max_rounds: int = 80) -> DataFrame:
     """(left, component) of a bipartite graph: the component is one of its left nodes. Null ends are left out."""
     edges = cut(edges.select(F.col(left).cast("string").alias("d"), F.col(right).cast("string").alias("x")).where("d is not null and x is not null").distinct())
     nodes, steps = edges.select("d").distinct(), []
-    for k in range(max_rounds):
-        degree = edges.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "d").alias("h"), "d")).alias("best"))
-        live = degree.where("n > 1")
-        joined = join_unique(edges, live, "x", count="n")
-        step = cut(joined.groupBy("d").agg(F.min("best").getField("d").alias("to"), F.count("*").alias("n")))
-        if step.isEmpty():
+    for _ in range(max_rounds):
+        # What only one document has joins nothing any more.
+        live = cut(edges.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("d").alias("h"), "d")).alias("best")).where("n > 1"))
+        most = live.agg(F.max("n")).collect()[0][0]
+        if most is None:
             break
-        steps.append(step.drop("n"))
-        rest = join_unique(edges.join(live.select("x"), "x", "left_semi") if k == 0 else edges, step, "d", count="n")
-        edges = rest.select(F.col("to").alias("d"), "x").distinct()
-        edges = cut(join_unique(edges, edges.groupBy("x").agg(F.count("*").alias("n"), F.count("*").alias("m")).where("n > 1"), "x", count="n").select("d", "x"))
+        joined = join_unique(edges, live.select("x", "best"), "x", most=most)
+        step = cut(joined.groupBy("d").agg(F.min("best").getField("d").alias("to")))
+        steps.append(step)
+        rest = join_unique(joined.select("d", "x"), step, "d", most=None)
+        edges = cut(rest.select(F.col("to").alias("d"), "x").distinct())
     else:
         raise RuntimeError("components did not converge")
     out = None
     for step in reversed(steps):  # from the last contraction back to the first
         if out is not None:
             further = out.select(F.col("d").alias("to"), F.col("root").alias("further"))
-            step = join_unique(step, further, "to", "left").select("d", F.coalesce("further", "to").alias("to"))
+            step = cut(join_unique(step, further, "to", "left").select("d", F.coalesce("further", "to").alias("to")))
         out = step.select("d", F.col("to").alias("root"))
     if out is None:
         return nodes.select(F.col("d").alias(left), F.col("d").alias("component"))
