@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemill.plans import corpus, evaluation, features, flows, preparation, sampling, training, vocabulary  # noqa: F401
+from tidemill.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
