@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import WORD, clean, map_batches
 
 Q, STEP = 9, 24
+FILTER_BITS = 22
 TAG = re.compile(r"<(?:!--.*?--|/?[a-zA-Z][^<>]{0,200})>", re.S)
 WRONG = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 HYPHEN = re.compile(r"(?<=[a-z])-\r?\n(?=[a-z])")
@@ -56,9 +57,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for k in range(Q):
-            h = h * _B + codes[k : k + n].astype(np.uint64) + np.uint64(1)
+        one = codes.astype(np.uint64) + np.uint64(1)
+        two = one[:-1] * _B + one[1:]
+        four = two[:-2] * (_B * _B) + two[2:]
+        eight = four[:-4] * (_B * _B * _B * _B) + four[4:]
+        h = eight[:n] * _B + one[Q - 1 :]
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -88,6 +91,7 @@ class ItemIndex:
             hashes.append(h), owners.append(np.full(len(h), len(self.ids), np.int32)), places.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(key), self.words.append(ws)
         self.bounds = np.array(bounds, dtype=np.int64)
+        self.least_hits = int(self.bounds.min()) if bounds else 0
         if not self.ids:
             self.keys = np.zeros(0, np.uint64)
             return
@@ -95,31 +99,38 @@ class ItemIndex:
         order = np.argsort(h, kind="stable")
         self.owner, self.place = np.concatenate(owners)[order], np.concatenate(places)[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        self.steps = int(self.place.max()) // STEP + 1
 
-    def candidates(self, codes: np.ndarray) -> set[int]:
+    def candidates(self, codes: np.ndarray) -> list[int]:
         """Items with a diagonal band that reaches their bound."""
+        if not len(self.keys):
+            return []
         h = gram_hashes(codes)
-        if not len(h) or not len(self.keys):
-            return set()
-        at = np.searchsorted(self.keys, h)
+        hit = np.flatnonzero(self.maybe[h >> np.uint64(64 - FILTER_BITS)])
+        if len(hit) < self.least_hits:
+            return []
+        at = np.searchsorted(self.keys, h[hit])
         at[at == len(self.keys)] = 0
-        hit = np.flatnonzero(self.keys[at] == h)
-        if len(hit) < 6:
-            return set()
-        slot = at[hit]
+        same = self.keys[at] == h[hit]
+        hit, slot = hit[same], at[same]
+        if len(hit) < self.least_hits:
+            return []
         n = self.count[slot]
         where = np.repeat(hit, n)
         flat = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        band = (where - self.place[flat]) // STEP + self.steps
+        width = int(len(h)) // STEP + self.steps + 2
         owner = self.owner[flat].astype(np.int64)
-        shift = (where - self.place[flat] + 4_000_000) // STEP
-        width = int(shift.max()) + 2
-        band, counts = np.unique(owner * width + shift, return_counts=True)
-        both = np.concatenate([band, band + 1])  # each hit counts for the band that starts at its step and the one before
-        total, at2 = np.unique(both, return_inverse=True)
-        sums = np.bincount(at2, np.concatenate([counts, counts]))
-        own = total // width
-        own = np.minimum(own, len(self.ids) - 1)
-        return set(own[sums >= self.bounds[own]].tolist())
+        # A band is two steps wide and overlaps the next one by half: hits of a step count for both bands that hold it.
+        if width * len(self.ids) <= 8_000_000:
+            counts = np.bincount(owner * width + band, minlength=width * len(self.ids)).reshape(len(self.ids), width)
+            most = (counts[:, :-1] + counts[:, 1:]).max(axis=1)
+            return np.flatnonzero(most >= self.bounds).tolist()
+        key, counts = np.unique(owner * width + band, return_counts=True)
+        after = np.append((np.diff(key) == 1) * counts[1:], 0)
+        return np.unique((key // width)[counts + after >= self.bounds[key // width]]).tolist()
 
     def verify(self, tokens: list[str], item: int, positions: dict[str, list[int]]) -> bool:
         """A run of the item's words in the document, along a diagonal of words."""
