@@ -76,7 +76,7 @@ def tune_grid(spark: SparkSession, sf: str) -> DataFrame:
 def predict_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Label, confidence and probabilities of every record with text; blank ones are rejected."""
     rows = _rows(spark, sf).cache()
-    m = M.index_labels(rows, "model_label")
+    m = M.index_labels(rows.select("model_label"), "model_label")
     c = M.Classifier("logistic").fit(rows.where("split = 'train'"))
     ok = table(spark, sf, MERGED).where(F.length(F.trim("generated_text")) > 0).select("record_id")
     p = c.predict(rows.join(ok, "record_id", "left_semi"))

@@ -6,12 +6,19 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-GENERATED = StructType.fromDDL(
+
+def fields(spec: str) -> StructType:
+    """A schema from `name kind` pairs, without a session."""
+    kinds = {"string": StringType(), "double": DoubleType(), "bigint": LongType()}
+    return StructType([StructField(n, kinds[k]) for n, k in (x.split() for x in spec.split(","))])
+
+
+GENERATED = fields(
     "prefix_id string, dataset_name string, category string, human_prefix string, generated_text string, model_name string, temperature double, top_p double, max_new_tokens bigint, prompt_length bigint, completion_length bigint, generation_time double, timestamp string"
 )
-DOCUMENT = StructType.fromDDL("text string, document_id string, source_split string")
+DOCUMENT = fields("text string, document_id string, source_split string")
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
