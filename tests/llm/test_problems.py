@@ -329,6 +329,15 @@ def test_near_pairs_against_brute_force(spark):
     assert want and got == want
 
 
+def test_parities_bound_the_edits():
+    rng = random.Random(21)
+    for _ in range(100):
+        a = words(prose(rng, 6))
+        b = edited(rng, a, rng.choice([0.05, 0.2, 0.4]))
+        changed = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(O.parities(a), O.parities(b)))
+        assert changed <= 2 * plain_distance(a, b)
+
+
 def test_recall_at_the_bound():
     """Texts with a quarter of their words edited still share a chosen position in most cases."""
     rng, hit = random.Random(12), 0
@@ -349,7 +358,7 @@ def test_long_runs_of_variants(spark, monkeypatch):
     splits = spark.createDataFrame([(i, s) for i, _, s in rows], "record_id bigint, split string")
     assert O.cross_split_pairs(records, splits).count() == 900
     w = O.Walk(0.25)
-    suffixes = np.array([[5, 6, 7, i, (3 << 32) | (40 << 2) | (2 if i % 2 else 1)] for i in range(3000)], dtype=np.int64)
+    suffixes = np.array([[5, 6, i, (3 << 32) | (40 << 2) | (2 if i % 2 else 1)] for i in range(3000)], dtype=np.int64)
     out = np.concatenate([w.feed(suffixes[:1000], False), w.feed(suffixes[1000:], False), w.feed(suffixes[:0], True)])
     assert len(out) == 3000 and (out[:, 1] == -1).all()
 
