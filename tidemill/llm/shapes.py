@@ -153,6 +153,8 @@ def majority(votes: tuple[int, ...]) -> int:
     counts[PROSE] -= 0.6 * (votes[1] == PROSE)
     if not any(counts):
         return PROSE
+    if JUNK in votes[6:9] and votes[10] != PROSE:
+        return JUNK
     if counts[JUNK] and counts[JUNK] >= max(counts[LIST], counts[TABLE]) and counts[JUNK] >= counts[PROSE]:
         return JUNK
     return max(range(4), key=lambda k: (counts[k], -k))
