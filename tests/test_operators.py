@@ -196,3 +196,34 @@ def test_centred_pca_share(spark):
     df = spark.range(200).select(array_to_vector(F.array(F.rand(1) * 10, F.rand(2), F.rand(3) * 0.01)).alias("v"))
     _, n = M.pca_share(df, "v", 0.95, most=3)
     assert n == 1
+
+
+def test_readers_and_sizes(spark, tmp_path):
+    a = str(tmp_path / "a")
+    io.mock_prefixes(spark, 4).write.parquet(a)
+    df, missing = io.read_existing(spark, [a, str(tmp_path / "none"), a], ["prefix_id"])
+    assert df.count() == 8 and missing == [str(tmp_path / "none")]
+    assert io.first_readable(lambda: spark.read.parquet(str(tmp_path / "none")), lambda: spark.read.parquet(a)).count() == 4
+    size = io.stored_size(spark, a).collect()[0]
+    assert size["n_files"] >= 1 and size["n_bytes"] > 100
+    io.parquet_to_csv(spark, {"p": a}, str(tmp_path / "csv"))
+    assert io.read_csv(spark, str(tmp_path / "csv/p")).count() == 4
+
+
+def test_vectorizer_and_models_are_kept(spark, tmp_path):
+    from tidemill.operators import models as M
+    from tidemill.operators import tfidf as X
+
+    df = spark.createDataFrame([(1, "red blue"), (2, "red green"), (3, "blue green")], "i int, t string")
+    v = X.Vectorizer.fit(df, "i", X.word_terms(T.text("t")), 10)
+    v.save(str(tmp_path / "v"))
+    new = spark.createDataFrame([(9, "red unseen")], "i int, t string")
+    assert [tuple(r) for r in X.Vectorizer.load(spark, str(tmp_path / "v")).transform(new, "i", X.word_terms(T.text("t"))).collect()] == [(9, "red", 1.0)]
+    rows = M.assemble(spark.range(60).select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 + F.rand(1) / 2).alias("a")), ["a"])
+    c = M.Classifier("logistic").fit(rows)
+    c.save(str(tmp_path / "m"))
+    assert M.accuracy(M.load_classifier(str(tmp_path / "m")).predict(rows)) == 1.0
+    assert M.scaled_by_max(rows, rows, "features").count() == 60
+    assert M.random_search(rows, rows, {"regParam": (-4, -1)}, trials=2)[0]["f1"] > 0.9
+    e = M.embed(spark.createDataFrame([(1, "a b"), (2, None)], "i int, t string"), "i", "t").collect()
+    assert abs(sum(x * x for x in e[0]["embedding"]) - 1) < 1e-5 and set(e[1]["embedding"]) == {0.0}

@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -94,7 +95,22 @@ def _generate(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(reversed(t.split()[-10:])))
 
 
-HOOKS.update(lemma=_lemma, language=_language, subwords=_subwords, generate=_generate)
+def _embedding(s: pd.Series) -> pd.Series:
+    """Hashed counts of words in 64 places, with signs."""
+
+    def one(t: str | None) -> list[float] | None:
+        if t is None:
+            return None
+        v = [0.0] * 64
+        for w in t.lower().split():
+            h = zlib.crc32(w.encode("utf-8", "replace"))
+            v[h % 64] += 1.0 if h & 64 else -1.0
+        return v
+
+    return s.map(one)
+
+
+HOOKS.update(embedding=_embedding, lemma=_lemma, language=_language, subwords=_subwords, generate=_generate)
 
 
 def hook(name: str, c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, MaxAbsScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -146,3 +147,38 @@ def mahalanobis(df: DataFrame, key: str, column: str, dims: int) -> DataFrame:
     d = centred.select(key, F.aggregate(F.array(*parts), F.lit(0.0), lambda a, x: a + x * x).alias("distance"))
     limit = d.agg(F.percentile_approx("distance", 0.95, 10000)).collect()[0][0]
     return d.withColumn("is_unknown", F.col("distance") > F.lit(limit))
+
+
+def scaled_by_max(train: DataFrame, df: DataFrame, column: str, out: str = "scaled") -> DataFrame:
+    """Each feature over its largest absolute value in the train rows."""
+    return MaxAbsScaler(inputCol=column, outputCol=out).fit(train).transform(df)
+
+
+def random_search(train: DataFrame, test: DataFrame, space: dict[str, tuple[float, float]], trials: int = 4, seed: int = 42) -> list[dict]:
+    """Logistic models at random points of the space (log-uniform), the best F1 first."""
+    rng, out = random.Random(seed), []
+    for _ in range(trials):
+        params = {k: 10 ** rng.uniform(a, b) for k, (a, b) in space.items()}
+        c = Classifier("logistic", params={"regParam": params.get("regParam", 0.001), "maxIter": 10}).fit(train)
+        out.append(params | {"f1": accuracy(c.predict(test), "f1"), "train_seconds": c.train_seconds})
+    return sorted(out, key=lambda r: -r["f1"])
+
+
+def save_matrix(df: DataFrame, path: str, key: str, features: str, label: str | None = None) -> None:
+    """Feature vectors (sparse or dense) with their keys and labels."""
+    df.select(key, features, *([label] if label else [])).write.mode("overwrite").parquet(path)
+
+
+def load_classifier(path: str, name: str = "", feature_set: str = "") -> Classifier:
+    from pyspark.ml.util import DefaultParamsReader
+
+    return Classifier(name, feature_set, model=DefaultParamsReader.loadParamsInstance(path, None))
+
+
+def embed(df: DataFrame, key: str, text: str, hook: str = "embedding") -> DataFrame:
+    """Vectors by the registered hook, of length one."""
+    from tidemill.functions import python as P
+
+    rows = df.select(key, P.hook(hook, F.coalesce(F.col(text), F.lit(""))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return rows.withColumn("n", norm).select(key, F.when(F.col("n") > 0, F.transform("v", lambda x: (x / F.col("n")).cast("float"))).otherwise(F.col("v")).alias("embedding"))

@@ -61,3 +61,24 @@ def ranged_char_ngrams(df: DataFrame, key: str, c: Column, ranges: dict[str, tup
         part = weights(counts, vocabulary(counts, n, cap), key).withColumn("ngram_range", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+class Vectorizer:
+    """A vocabulary fitted on one corpus, applied to others, and kept as a table."""
+
+    def __init__(self, vocab: DataFrame):
+        self.vocab = vocab
+
+    @classmethod
+    def fit(cls, df: DataFrame, key: str, terms: Column, cap: int, min_df: int = 2, max_df: float = 0.95) -> Vectorizer:
+        return cls(vocabulary(term_counts(df, key, terms), df.count(), cap, min_df, max_df))
+
+    def transform(self, df: DataFrame, key: str, terms: Column) -> DataFrame:
+        return weights(term_counts(df, key, terms), self.vocab, key)
+
+    def save(self, path: str) -> None:
+        self.vocab.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Vectorizer:
+        return cls(spark.read.parquet(path))

@@ -186,3 +186,21 @@ def dataset_union_counts(spark: SparkSession, sf: str) -> DataFrame:
     parts = [table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.lower(F.trim(F.replace("source", F.lit("-"), F.lit("_")))).alias("dataset_name"))]
     parts += [table(spark, sf, t).select(F.lit(t).alias("source"), "dataset_name") for t in ("prefix_records", MERGED)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "dataset_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT dataset_name FROM merged_records INTERSECT SELECT lower(trim(source)) FROM documents")
+def dataset_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, MERGED).select("dataset_name").intersect(table(spark, sf, "documents").select(F.lower(F.trim("source")).alias("dataset_name")))
+
+
+@query("SELECT DISTINCT prefix_id FROM merged_records WHERE model_label = 'llama3' UNION SELECT DISTINCT prefix_id FROM merged_records WHERE model_label = 'gemma2'")
+def completed_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that either of two runs completed."""
+    m = table(spark, sf, MERGED)
+    return m.where("model_label = 'llama3'").select("prefix_id").union(m.where("model_label = 'gemma2'").select("prefix_id")).distinct()
+
+
+@query("SELECT dataset_name, count(*) FILTER (WHERE category IS NULL) AS n_null, count(*) FILTER (WHERE lower(category) LIKE '%news%') AS n_news FROM merged_records WHERE dataset_name <> 'calibration' GROUP BY 1")
+def category_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, MERGED).where("dataset_name <> 'calibration'")
+    return m.groupBy("dataset_name").agg(F.count_if(F.col("category").isNull()).alias("n_null"), F.count_if(F.col("category").ilike("%news%")).alias("n_news"))

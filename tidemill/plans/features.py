@@ -216,3 +216,27 @@ def fused_blocks(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, MERGED)
     a, b = S.style27(m, "record_id", G).select("record_id", "type_token_ratio"), S.style23(m, "record_id", G).select("record_id", "comma", "char_count")
     return a.join(b, "record_id").select("record_id", (F.col("type_token_ratio") * 0.25).alias("lexical"), (F.col("comma") * 0.25).alias("marks"), "char_count")
+
+
+S_TERMS_OF = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+S_DOC_TERMS = S_TERMS_OF.format(x=s_text("text"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, source_split, term, count(*) AS tf FROM (SELECT doc_id, source_split, unnest({S_DOC_TERMS}) AS term FROM documents) GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents WHERE source_split = 'train'),
+v AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM c WHERE source_split = 'train' GROUP BY 1), n WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 1000),
+r AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term) WHERE source_split = 'test') SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM r""")
+def tfidf_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """A vocabulary fitted on the train documents, applied to the test documents."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "source_split")
+    terms = X.word_terms(T.text("text"))
+    v = X.Vectorizer.fit(d.where("source_split = 'train'"), "doc_id", terms, 1000)
+    return v.transform(d.where("source_split = 'test'"), "doc_id", terms).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query()
+def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors by the embedding hook."""
+    from tidemill.operators import models as M
+
+    e = M.embed(table(spark, sf, "documents"), "doc_id", "text")
+    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))

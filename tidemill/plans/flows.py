@@ -135,3 +135,9 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 def inference_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Records that may go to a model; null and blank inputs are turned away."""
     return table(spark, sf, MERGED).where(~T.is_blank(T.text("human_prefix"))).select("record_id")
+
+
+@query()
+def stored_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Files and bytes of the merged records, from file metadata alone."""
+    return io.stored_size(spark, f"{sf}/merged_records.parquet")

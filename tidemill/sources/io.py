@@ -137,3 +137,38 @@ def load_config(path: str, defaults: dict | None = None) -> dict:
     if not isinstance(data, dict):
         raise ValueError(f"{path} does not hold a mapping")
     return (defaults or {}) | data
+
+
+def first_readable(*readers) -> DataFrame:
+    """The first of several readers (functions without arguments) that works; the last error if none does."""
+    error: Exception | None = None
+    for r in readers:
+        try:
+            return r()
+        except Exception as e:  # noqa: BLE001 - the next one is tried
+            error = e
+    raise error or ValueError("no readers")
+
+
+def read_existing(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """The given columns of those of the paths that can be read, and the paths that cannot."""
+    out, missing = None, []
+    for p in paths:
+        try:
+            part = require_columns(spark.read.parquet(p), columns).select(*columns)
+        except Exception:  # noqa: BLE001 - reported
+            missing.append(p)
+            continue
+        out = part if out is None else out.unionByName(part)
+    return out, missing
+
+
+def stored_size(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of a table, from file metadata alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+def parquet_to_csv(spark: SparkSession, tables: dict[str, str], root: str) -> None:
+    for name, path in tables.items():
+        spark.read.parquet(path).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{root}/{name}")
