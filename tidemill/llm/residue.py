@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import WORD, clean, cut, map_batches
+from tidemill.llm.groups import join_unique
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 
@@ -185,7 +186,9 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = cut(scanned(df, key, text, source).withColumn("hash", F.md5(F.concat_ws(" ", F.when(F.col("what").startswith("slot"), "slot").otherwise(F.col("what")), F.regexp_replace("value", r"^\[", "")))))
     # Exact hashes over all documents and sources; the counts are aggregated before they are shuffled.
     groups = rows.groupBy("hash").agg(F.count_if(~F.col("weak")).alias("n_sure"), F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_sources"))
-    kept = rows.join(groups, "hash")
+    groups = cut(groups)
+    most = groups.agg(F.max("n_documents")).collect()[0][0] or 0
+    kept = join_unique(rows, groups, "hash", most=most)  # some slots and messages are very widespread
     recurs = (F.col("n_documents") >= least_documents) & (F.col("n_sources") >= least_sources)
     kind = (
         F.when(F.col("what") == "slot", "placeholder")
