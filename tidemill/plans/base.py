@@ -24,3 +24,17 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where the table is one or a few files; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 8 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are worked on."""
+    df = table(spark, sf, name)
+    return spread(df.select(*columns) if columns else df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as T
 from tidemill.functions.text import SPACE, TOKEN
 from tidemill.operators import stats
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, table, texts
 
 
 def s_text(c: str) -> str:
@@ -60,12 +60,12 @@ SELECT d.model_label, total_samples, round(chars / total_samples, 2) AS avg_resp
 coalesce(round(vocabulary_size / total_tokens, 6), 0) AS type_token_ratio, CASE WHEN sentences > 0 THEN round(chars / sentences, 2) ELSE 0 END AS avg_sentence_chars, coalesce(round(wc / total_tokens, 2), 0) AS avg_word_chars
 FROM d LEFT JOIN v ON d.model_label IS NOT DISTINCT FROM v.model_label""")
 def corpus_label_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.label_statistics(table(spark, sf, MERGED).select("model_label", "generated_text"), "model_label", "generated_text")
+    return stats.label_statistics(texts(spark, sf, MERGED, "model_label", "generated_text"), "model_label", "generated_text")
 
 
 @query(s_describe(s_lengths(), stats.LENGTHS))
 def text_length_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.describe(stats.with_lengths(table(spark, sf, MERGED)), stats.LENGTHS)
+    return stats.describe(stats.with_lengths(texts(spark, sf, MERGED, "generated_text", "human_prefix", "prompt_length", "completion_length")), stats.LENGTHS)
 
 
 CHAR_STATS = ["prefix_chars", "gen_chars", "response_chars", "prefix_words", "gen_words", "response_words", "prompt_length", "completion_length"]
@@ -73,7 +73,7 @@ CHAR_STATS = ["prefix_chars", "gen_chars", "response_chars", "prefix_words", "ge
 
 @query(s_describe(s_lengths(), CHAR_STATS, False))
 def merge_char_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.describe(stats.with_lengths(table(spark, sf, MERGED)), CHAR_STATS, quartiles=False)
+    return stats.describe(stats.with_lengths(texts(spark, sf, MERGED, "generated_text", "human_prefix", "prompt_length", "completion_length")), CHAR_STATS, quartiles=False)
 
 
 @query("SELECT model_label, count(*) AS n FROM merged_records GROUP BY 1 ORDER BY n DESC, 1")
@@ -121,7 +121,7 @@ CORR = ["gen_chars", "prefix_chars", "response_chars", "gen_words", "prefix_word
 
 @query(f"WITH l AS ({s_lengths()}) " + " UNION ALL ".join(f"SELECT '{a}' AS metric, " + ", ".join(f"round(corr({a}, {b}), 4) AS {b}" for b in CORR) + " FROM l" for a in CORR))
 def length_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.correlations(stats.with_lengths(table(spark, sf, MERGED)), CORR)
+    return stats.correlations(stats.with_lengths(texts(spark, sf, MERGED, "generated_text", "human_prefix", "prompt_length", "completion_length")), CORR)
 
 
 @query(f"""WITH d AS (SELECT source, text, {s_words(s_text('text'))} AS w FROM documents), u AS (SELECT source, count(*) - count(DISTINCT coalesce(text, chr(1))) AS dup FROM d GROUP BY 1)

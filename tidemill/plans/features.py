@@ -9,7 +9,7 @@ from tidemill.functions import text as T
 from tidemill.functions.text import SPACE
 from tidemill.operators import stylometry as S
 from tidemill.operators import tfidf as X
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, table, texts
 from tidemill.plans.corpus import MERGED, s_strip, s_text, s_words
 
 G = "generated_text"
@@ -26,7 +26,7 @@ S_WORD = "WITH " + s_tfidf(f"SELECT record_id, unnest({S_TERMS}) AS term FROM me
 
 
 def _word(spark: SparkSession, sf: str) -> DataFrame:
-    return X.tfidf(table(spark, sf, MERGED).select("record_id", G), "record_id", X.word_terms(T.text(G)), 2000)
+    return X.tfidf(texts(spark, sf, MERGED, "record_id", G), "record_id", X.word_terms(T.text(G)), 2000)
 
 
 @query(S_WORD + " SELECT record_id, term, round(tfidf, 6) AS tfidf FROM w")
@@ -64,7 +64,7 @@ def s_char(sizes: tuple[int, ...]) -> str:
 
 @query("WITH " + s_tfidf(s_char((3, 4, 5)), "doc_id", "SELECT count(*) AS n FROM documents", 1000) + " SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM w")
 def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.lower(T.text("text"))).alias("tokens"))
+    d = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tokens(F.lower(T.text("text"))).alias("tokens"))
     return X.tfidf(d, "doc_id", X.char_wb(F.col("tokens"), (3, 4, 5)), 1000).withColumn("tfidf", F.round("tfidf", 6))
 
 
@@ -73,7 +73,7 @@ RANGES = {"2-2": (2,), "3-3": (3,)}
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {s_tfidf(s_char(r), 'doc_id', 'SELECT count(*) AS n FROM documents', 300)} SELECT '{name}' AS ngram_range, term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 2)" for name, r in RANGES.items()))
 def char_ngram_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    x = X.ranged_char_ngrams(table(spark, sf, "documents"), "doc_id", T.text("text"), RANGES, 300)
+    x = X.ranged_char_ngrams(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", T.text("text"), RANGES, 300)
     return x.groupBy("ngram_range", "term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
 
 
@@ -82,7 +82,7 @@ SELECT term, count(*) AS n FROM (SELECT unnest({S_TERMS}) AS term FROM merged_re
 def vocab_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of one corpus counted over the vocabulary of another."""
     vocab = table(spark, sf, "documents").where("source_split = 'train'").select(F.explode(X.word_terms(T.text("text"))).alias("term")).distinct()
-    counts = table(spark, sf, MERGED).select(F.explode(X.word_terms(T.text(G))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = texts(spark, sf, MERGED, G).select(F.explode(X.word_terms(T.text(G))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return counts.join(vocab, "term", "left_semi")
 
 
@@ -138,12 +138,12 @@ def s_style23(source: str, key: str, c: str) -> str:
 
 @query(s_style27("merged_records", "record_id", G))
 def stylometry27(spark: SparkSession, sf: str) -> DataFrame:
-    return S.style27(table(spark, sf, MERGED), "record_id", G)
+    return S.style27(texts(spark, sf, MERGED, "record_id", G), "record_id", G)
 
 
 @query(s_style23("merged_records", "record_id", G))
 def stylometry23(spark: SparkSession, sf: str) -> DataFrame:
-    return S.style23(table(spark, sf, MERGED), "record_id", G)
+    return S.style23(texts(spark, sf, MERGED, "record_id", G), "record_id", G)
 
 
 def s_style14() -> str:
@@ -156,7 +156,7 @@ def s_style14() -> str:
 
 @query(s_style14())
 def stylometry14(spark: SparkSession, sf: str) -> DataFrame:
-    return S.style14(table(spark, sf, "documents"), "doc_id", "text")
+    return S.style14(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 STYLE = ["avg_word_length", "avg_sentence_length", "type_token_ratio", "uppercase_ratio", "whitespace_ratio", "flesch_reading_ease"]
@@ -164,7 +164,7 @@ STYLE = ["avg_word_length", "avg_sentence_length", "type_token_ratio", "uppercas
 
 @query("WITH s AS (" + s_style27("merged_records", "record_id", G) + ") " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std, min({c}) AS min, max({c}) AS max FROM s" for c in STYLE))
 def style_feature_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.style27(table(spark, sf, MERGED), "record_id", G)
+    s = S.style27(texts(spark, sf, MERGED, "record_id", G), "record_id", G)
     return s.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_pop(c), 4).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")) for c in STYLE]).alias("r")).select(F.inline("r"))
 
 
@@ -173,7 +173,7 @@ MEANS = ["char_count", "word_count", "avg_word_length", "punctuation_ratio"]
 
 @query(f"WITH a AS ({s_style23('merged_records', 'record_id', G)}), b AS ({s_style23('(SELECT record_id, lower(' + s_text(G) + ') AS low FROM merged_records)', 'record_id', 'low')}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS pipeline, '{c}' AS feature, round(avg({c}), 4) AS mean FROM {t}" for p, t in (("kept", "a"), ("lowered", "b")) for c in MEANS) + ")")
 def style_mean_by_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, MERGED)
+    m = texts(spark, sf, MERGED, "record_id", G)
     a, b = S.style23(m, "record_id", G), S.style23(m.withColumn("low", F.lower(T.text(G))), "record_id", "low")
     both = a.withColumn("pipeline", F.lit("kept")).unionByName(b.withColumn("pipeline", F.lit("lowered")))
     means = both.groupBy("pipeline").agg(*[F.round(F.avg(c), 4).alias(c) for c in MEANS])
@@ -183,7 +183,7 @@ def style_mean_by_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH s AS ({s_style14()}), m AS (SELECT avg(word_count) AS mw, stddev_pop(word_count) AS sw, avg(char_count) AS mc, stddev_pop(char_count) AS sc FROM s)
 SELECT doc_id, round((word_count - mw) / sw, 4) AS word_count, round((char_count - mc) / sc, 4) AS char_count FROM s, m""")
 def style_standardize(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.standardized(S.style14(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["word_count", "char_count"])
+    s = S.standardized(S.style14(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id", ["word_count", "char_count"])
     return s.select("doc_id", F.round("word_count", 4).alias("word_count"), F.round("char_count", 4).alias("char_count"))
 
 
@@ -213,7 +213,7 @@ def embedding_standardize(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT a.record_id, a.type_token_ratio * 0.25 AS lexical, b.comma * 0.25 AS marks, b.char_count FROM ({s_style27('merged_records', 'record_id', G)}) a JOIN ({s_style23('merged_records', 'record_id', G)}) b USING (record_id)")
 def fused_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Feature blocks joined by record, each weighted by a quarter (not by position)."""
-    m = table(spark, sf, MERGED)
+    m = texts(spark, sf, MERGED, "record_id", G)
     a, b = S.style27(m, "record_id", G).select("record_id", "type_token_ratio"), S.style23(m, "record_id", G).select("record_id", "comma", "char_count")
     return a.join(b, "record_id").select("record_id", (F.col("type_token_ratio") * 0.25).alias("lexical"), (F.col("comma") * 0.25).alias("marks"), "char_count")
 

@@ -10,7 +10,7 @@ from tidemill.functions import text as T
 from tidemill.functions.text import CONTRACTIONS, SPACE, STOPWORDS, TOKEN
 from tidemill.operators import quality as Q
 from tidemill.operators import stats
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, table, texts
 from tidemill.plans.corpus import MERGED, s_sentences, s_strip, s_text, s_words
 
 S_PUNCT = T.ASCII_PUNCTUATION.replace("'", "''")
@@ -63,7 +63,7 @@ def unicode_nfc(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pipeline_a(spark: SparkSession, sf: str) -> DataFrame:
     """The style-preserving pipeline, with lengths. Entities have no SQL; fixtures test it."""
-    kept, _ = Q.validate(table(spark, sf, MERGED), "generated_text")
+    kept, _ = Q.validate(texts(spark, sf, MERGED, "record_id", "model_label", "generated_text"), "generated_text")
     out = T.pipeline_a(T.text(P.decoded(F.col("generated_text"))))
     rows = kept.select("record_id", "model_label", out.alias("processed_text"))
     return rows.withColumns({"char_length": T.char_count(F.col("processed_text")), "word_count": T.word_count(F.col("processed_text"))})
@@ -72,7 +72,7 @@ def pipeline_a(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pipeline_b(spark: SparkSession, sf: str) -> DataFrame:
     """The traditional pipeline, with lemmas by the hook; documents that it empties are dropped."""
-    kept, _ = Q.validate(table(spark, sf, MERGED), "generated_text")
+    kept, _ = Q.validate(texts(spark, sf, MERGED, "record_id", "model_label", "generated_text"), "generated_text")
     out = P.hook("lemma", T.pipeline_b(T.text(P.decoded(F.col("generated_text")))))
     rows = kept.select("record_id", "model_label", out.alias("processed_text")).where(F.length("processed_text") > 0)
     return rows.withColumns({"char_length": T.char_count(F.col("processed_text")), "word_count": T.word_count(F.col("processed_text"))})
@@ -84,7 +84,7 @@ S_B_TOKENS = f"list_filter(regexp_extract_all(translate({s_contract('lower(' + s
 @query(f"SELECT item, count(*) AS n FROM (SELECT unnest({S_B_TOKENS}) AS item FROM merged_records) GROUP BY 1")
 def pipeline_b_tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = T.content_tokens(T.drop_punctuation(T.expand_contractions(F.lower(T.text("generated_text")))))
-    return table(spark, sf, MERGED).select(F.explode(words).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    return texts(spark, sf, MERGED, "generated_text").select(F.explode(words).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
 def corpus_stats(df: DataFrame, c: str, name: str) -> DataFrame:
@@ -106,12 +106,12 @@ S_A, S_B = s_lines(s_text("generated_text")), f"array_to_string({S_B_TOKENS}, '
 
 
 def _a(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_stats(table(spark, sf, MERGED).select(T.clean_lines(T.text("generated_text")).alias("t")), "t", "fingerprint")
+    return corpus_stats(texts(spark, sf, MERGED, "generated_text").select(T.clean_lines(T.text("generated_text")).alias("t")), "t", "fingerprint")
 
 
 def _b(spark: SparkSession, sf: str) -> DataFrame:
     words = T.content_tokens(T.drop_punctuation(T.expand_contractions(F.lower(T.text("generated_text")))))
-    return corpus_stats(table(spark, sf, MERGED).select(F.array_join(words, " ").alias("t")), "t", "traditional")
+    return corpus_stats(texts(spark, sf, MERGED, "generated_text").select(F.array_join(words, " ").alias("t")), "t", "traditional")
 
 
 @query(s_corpus_stats(S_A, "fingerprint"))

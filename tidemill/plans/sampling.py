@@ -9,7 +9,7 @@ from tidemill.functions import text as T
 from tidemill.functions.text import TOKEN
 from tidemill.operators import generation as G
 from tidemill.operators import windows as W
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, table, texts
 from tidemill.plans.corpus import MERGED, s_text
 
 S_TOK = f"regexp_extract_all({s_text('text')}, '{TOKEN}')"
@@ -19,7 +19,7 @@ SELECT doc_id, CAST(window_length AS BIGINT) AS window_length, CAST(start AS BIG
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(T.text("text")).alias("tokens"))
+    d = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tokens(T.text("text")).alias("tokens"))
     return W.token_windows(d, "tokens").select("doc_id", F.col("window_length").cast("bigint").alias("window_length"), F.col("start").cast("bigint").alias("start"), F.md5("window_text").alias("window_md5"))
 
 
@@ -36,7 +36,7 @@ def prefix_windows_capped(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, lang, {S_TOK} AS w FROM documents), x AS (SELECT doc_id, lang, w, unnest(CASE WHEN len(w) <= 250 THEN [0] ELSE list_filter(range(0, len(w), 200), lambda s: least(250, len(w) - s) >= 125) END) AS start FROM t WHERE len(w) > 0)
 SELECT doc_id, lang, CAST(start AS BIGINT) AS start, CAST(least(250, len(w) - start) AS BIGINT) AS chunk_words, md5(array_to_string(w[start + 1 : start + 250], ' ')) AS chunk_md5 FROM x""")
 def word_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "lang", T.tokens(T.text("text")).alias("tokens"))
+    d = texts(spark, sf, "documents", "doc_id", "lang", "text").select("doc_id", "lang", T.tokens(T.text("text")).alias("tokens"))
     return W.chunks(d, "tokens").select("doc_id", "lang", F.col("start").cast("bigint").alias("start"), F.col("chunk_words").cast("bigint").alias("chunk_words"), F.md5("chunk_text").alias("chunk_md5"))
 
 

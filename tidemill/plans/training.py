@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import models as M
 from tidemill.operators import stylometry as S
 from tidemill.operators import windows as W
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, table, texts
 from tidemill.plans.corpus import MERGED
 
 STYLE = ["avg_word_length", "avg_sentence_length", "type_token_ratio", "hapax_ratio", "uppercase_ratio", "digit_ratio", "whitespace_ratio", "punctuation_ratio", "comma", "period", "lexical_density", "short_word_ratio", "word_count"]
@@ -17,7 +17,7 @@ STYLE = ["avg_word_length", "avg_sentence_length", "type_token_ratio", "hapax_ra
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, MERGED)
-    features = M.assemble(S.style23(m, "record_id", "generated_text"), STYLE).select("record_id", "features")
+    features = M.assemble(S.style23(texts(spark, sf, MERGED, "record_id", "generated_text"), "record_id", "generated_text"), STYLE).select("record_id", "features")
     splits = W.stratified_split(m.where("model_label is not null"), "record_id", "model_label", {"train": 0.7, "validation": 0.15, "test": 0.15})
     rows = features.join(splits, "record_id")
     return M.index_labels(rows, "model_label").transform(rows).withColumn("fold", F.pmod(F.xxhash64("record_id"), F.lit(3)))
