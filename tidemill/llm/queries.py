@@ -13,23 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import answers, encoding, groups, leakage, overlap, readability, residue, shapes
-from tidemill.llm.common import table
+from tidemill.llm.common import table, texts
+
+
+ANSWER = ("record_id", "dataset_name", "human_prefix", "generated_text", "completion_length", "max_new_tokens")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.defects(table(spark, sf, "merged_records")).where("defect is not null").select("record_id", "defect")
+    return answers.defects(texts(spark, sf, "merged_records", *ANSWER)).where("defect is not null").select("record_id", "defect")
 
 
 def p1_defect_rates(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
-    found = answers.defects(df).select("record_id", "defect")
+    found = answers.defects(texts(spark, sf, "merged_records", *ANSWER)).select("record_id", "defect")
     by = df.select("record_id", "model_label").join(found, "record_id")
     return by.groupBy("model_label").agg(F.count("*").alias("n_records"), *[F.count_if(F.col("defect") == d).alias(f"n_{d}") for d in answers.LABELS])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
-    kinds = shapes.text_types(df).where(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
+    kinds = shapes.text_types(texts(spark, sf, "merged_records", "record_id", "generated_text")).where(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
     # An answer that is only a mark for no answer is empty, not junk.
     text = F.trim(F.regexp_replace("generated_text", "[\\s\\u200b-\\u200f\\u2060\\ufeff\\u00a0\\u00ad]+", " "))
     short = df.where((F.length(text) < 60) & text.rlike(answers.NOTHING_SQL)).select("record_id")
@@ -38,14 +41,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
-    rows = shapes.text_types(df).join(df.select("record_id", "dataset_name"), "record_id")
+    rows = shapes.text_types(texts(spark, sf, "merged_records", "record_id", "generated_text")).join(df.select("record_id", "dataset_name"), "record_id")
     means = [F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("n_words", "mean_word_length", "symbol_ratio", "terminal_share", "common_share", "words_per_line")]
     return rows.groupBy("dataset_name").agg(F.count("*").alias("n_records"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in (*shapes.KINDS, "empty")], *means)
 
 
 def _levels(spark: SparkSession, sf: str, *carry: str) -> DataFrame:
     model = readability.fit_levels(table(spark, sf, "graded_passages"))
-    return readability.reading_levels(table(spark, sf, "merged_records"), model, carry=carry)
+    return readability.reading_levels(texts(spark, sf, "merged_records", "record_id", "generated_text", *carry), model, carry=carry)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,12 +75,12 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.truncated(table(spark, sf, "merged_records")).where("is_cut").select("record_id")
+    return answers.truncated(texts(spark, sf, "merged_records", *ANSWER)).where("is_cut").select("record_id")
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
-    rows = answers.truncated(df).select("record_id", "is_cut").join(df.select("record_id", "model_label", "dataset_name"), "record_id")
+    rows = answers.truncated(texts(spark, sf, "merged_records", *ANSWER)).select("record_id", "is_cut").join(df.select("record_id", "model_label", "dataset_name"), "record_id")
     return rows.groupBy("model_label", "dataset_name").agg(F.count("*").alias("n_records"), F.count_if("is_cut").alias("n_cut"), F.round(F.count_if("is_cut") / F.count("*"), 6).alias("cut_rate"))
 
 
@@ -97,11 +100,11 @@ def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encoded(table(spark, sf, "documents"))
+    return encoding.encoded(texts(spark, sf, "documents", "doc_id", "text"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return leakage.leaked(texts(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items"))
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,11 +114,11 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(table(spark, sf, "documents")).select("doc_id", "kind")
+    return residue.residue(texts(spark, sf, "documents", "doc_id", "text", "source")).select("doc_id", "kind")
 
 
 def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
+    return residue.residue(texts(spark, sf, "documents", "doc_id", "text", "source")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
 def p4_split_names(spark: SparkSession, sf: str) -> DataFrame:
