@@ -192,11 +192,11 @@ def test_levels(spark):
     m = R.fit_levels(spark.createDataFrame(passages(random.Random(2)), "reading_level string, passage_text string"))
     assert m.accuracy > 0.9
     new = passages(random.Random(77), 8)
-    rows = [(i, t, "x") for i, (_, t) in enumerate(new)] + [(100, None, "x"), (101, "", "x"), (102, "too short", "x"), (103, german(random.Random(1), 12), "x"), (104, "- a b\n" * 40, "x"), (105, " ".join(BASIC) * 400, "x")]
+    rows = [(i, t, "x") for i, (_, t) in enumerate(new)] + [(100, None, "x"), (101, "", "x"), (102, "too short", "x"), (103, german(random.Random(1), 12), "x"), (104, "- a b\n" * 40, "x"), (105, " ".join(f"The {a} {b} sat by the {c}." for a in "big red old sad fat hot".split() for b in "cat dog hen boy pig cow fish bird".split() for c in "mat tree pond door lake".split()) * 8, "x"), (106, "the cat sat down " * 300, "x")]
     out = R.reading_levels(spark.createDataFrame(rows, "record_id bigint, generated_text string, reading_level string"), m)
     got = {r["record_id"]: r["reading_level"] for r in out.collect()}
     assert sum(got[i] == level for i, (level, _) in enumerate(new)) >= 0.95 * len(new)
-    assert [got[i] for i in (100, 101, 102, 103, 104)] == [None] * 5 and got[105] == "basic"
+    assert [got[i] for i in (100, 101, 102, 103, 104, 106)] == [None] * 6 and got[105] == "basic"
     profile = R.level_profile(out.withColumn("model_name", F.lit("m")), "model_name").collect()[0]
     assert profile["n_records"] == len(rows)
 

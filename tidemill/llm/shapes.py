@@ -114,7 +114,7 @@ def describe(text: str | None) -> tuple[tuple, tuple[int, ...], list[str]]:
     fields, numeric = _fields(body) if nl > 1 else (0.0, 0.0)
     per_line = nw / nl
     cjk = any("぀" <= c <= "鿿" or "가" <= c <= "힯" for c in text[:200]) if not text.isascii() else False
-    loop = nw >= 24 and kinds <= max(8, 0.12 * nw)
+    loop = nw >= 24 and kinds <= max(8, min(0.12 * nw, 12))  # long prose repeats words, too, but not so few
     bare = infos.count(_BARE) + infos.count(_COMMON_BARE)
     consonants = bare / max(1, nw)
     cluster = (infos.count(_CLUSTER) + infos.count(_BARE_CLUSTER)) / max(1, nw)
