@@ -349,6 +349,18 @@ def test_recall_at_the_bound():
     assert hit >= 180
 
 
+def test_large_group_of_variants_against_brute_force(spark):
+    """Scattered edits in many copies of one text: the shared runs are short and belong to many texts."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = [(i, [f"x{rng.randrange(10**6)}" if rng.random() < 0.05 else w for w in base], "train" if i % 2 else "test") for i in range(200)]
+    records = spark.createDataFrame([(i, " ".join(t)) for i, t, _ in rows], "record_id bigint, generated_text string")
+    splits = spark.createDataFrame([(i, s) for i, _, s in rows], "record_id bigint, split string")
+    got = {(r["record_id_a"], r["record_id_b"]) for r in O.cross_split_pairs(records, splits).collect()}
+    want = {(i, j) for i, t, s in rows for j, u, v in rows if i < j and s != v and O.distance(t, u) <= 25}
+    assert len(want) == 10000 and got == want
+
+
 def test_long_runs_of_variants(spark, monkeypatch):
     """A run longer than the walk pairs itself goes through the join, and gives the same pairs."""
     rng = random.Random(13)

@@ -2,16 +2,14 @@
 
 Equal word sequences are collapsed into classes first. The suffixes of the classes' texts, from positions chosen by content
 (the least hash of SEED words among SPREAD neighbours, so that texts choose the same positions in any shared run of
-SEED + SPREAD - 1 words), are partitioned by a hash of their first words and sorted in each partition by hashes of their
-first 6, 18 and 48 words: a suffix array, in which suffixes with a long common prefix stand side by side. One walk over it
-pairs, across splits, the suffixes of a run that agree on a depth, where the run is short, or else on the next depth; those
-of long runs at the last depth are paired by a join. Each shuffle carries hashes and numbers only, never texts. Shared spans
-are merged into a coverage of each text, and pairs that lengths and positions allow are verified by a bit-parallel edit
-distance over words.
+SEED + SPREAD - 1 words), are partitioned and sorted by a hash of their first SEED words, so that suffixes with a common
+beginning stand side by side. One walk over them pairs, across splits, the suffixes of a run of up to SHORT_RUN; those of
+longer runs are paired by a salted join on narrow rows, which applies the bounds on lengths, positions and word parities to
+each pair before it is written. Run length decides on the way only, never on the result. Each shuffle carries hashes and
+numbers only, never texts. Pairs that the bounds allow are verified by a bit-parallel edit distance over words.
 
-A pair is missed only if every run of words that it shares is shorter than 6 words, or at every chosen position belongs to
-over SHORT_RUN texts and ends before the next depth: with edits in a quarter of the words that can happen, with up to a
-tenth of them it hardly can (tests/llm measures both).
+A pair is missed only if it shares no run of SEED words at a chosen position: with edits in a quarter of the words that can
+happen, with up to a tenth of them it hardly can (tests/llm measures both).
 
 Defined results: null and empty texts, and texts under `least_words` words, are in no pair; records without a split, or of
 another split, neither; repeated rows of the split index count once, records delivered again each count; ties are ordered by
@@ -34,7 +32,6 @@ from tidemill.llm.common import cut, h32, map_batches, words, written
 from tidemill.llm.groups import split_name
 
 SEED, SPREAD = 6, 5
-DEPTHS = (6, 18, 48)
 SHORT_RUN = 24
 LONG_RUN = 2000
 MOST_BROADCAST = 2_000_000
@@ -77,11 +74,11 @@ def distance(a: list[str], b: list[str]) -> int:
 
 
 def suffix_keys(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions of a text, and the hashes of its first 6, 18 and 48 words from there (fewer at the end)."""
+    """Chosen positions of a text, and the hashes (in one row) of its SEED words from there."""
     n = len(tokens)
     ids = _mixed(np.array(list(map(h32, tokens)), dtype=np.uint64) + np.uint64(1))
     if n < SEED:
-        return np.zeros(0, np.int64), np.zeros((len(DEPTHS), 0), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((1, 0), np.uint64)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _A)]))
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_A), -1, 1 << 64)))]))
@@ -92,8 +89,7 @@ def suffix_keys(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
             at = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
         else:
             at = np.unique([0, int(first.argmin())])
-        keys = np.stack([_mixed((sums[np.minimum(at + d, n)] - sums[at]) * inverse[at]) for d in DEPTHS])
-    return at.astype(np.int64), keys
+    return at.astype(np.int64), first[at][None, :]
 
 
 MARKS = ("s0", "s1", "s2", "s3")
@@ -149,15 +145,12 @@ def seeds(texts: DataFrame) -> DataFrame:
             keys.append(k), classes_.append(np.full(len(at), c, np.int64))
             packed.append((at << 32) | (min(n, (1 << 29) - 1) << 2) | (2 * bool(t) + bool(o)))
         h = np.concatenate(keys, axis=1)
-        low = np.uint64(0xFFFFFFFF)
-        # Both deeper hashes in one number: they are only compared within a run of the first one.
-        deep = (h[1] & ~low) | (h[2] >> np.uint64(32))
-        return {"h6": h[0].view(np.int64), "deep": deep.view(np.int64), "id": np.concatenate(classes_), "packed": np.concatenate(packed)}
+        return {"h6": h[0].view(np.int64), "id": np.concatenate(classes_), "packed": np.concatenate(packed)}
 
-    return map_batches(texts, ["id", "body", "n_words", "has_train", "has_other"], fn, "h6 bigint, deep bigint, id bigint, packed bigint")
+    return map_batches(texts, ["id", "body", "n_words", "has_train", "has_other"], fn, "h6 bigint, id bigint, packed bigint")
 
 
-PAIRS = "a_id bigint, b_id bigint, a_pos int, span int, hot bigint, packed bigint"
+PAIRS = "a_id bigint, b_id bigint, a_pos int, hot bigint, packed bigint"
 
 
 class Walk:
@@ -167,7 +160,7 @@ class Walk:
         self.most_edits = most_edits
         self.left: np.ndarray | None = None
 
-    def pairs(self, rows: np.ndarray, depth: int, out: list[np.ndarray]) -> None:
+    def pairs(self, rows: np.ndarray, out: list[np.ndarray]) -> None:
         """All pairs across splits of the rows of a run (columns: hashes, id, packed) that lengths and places allow."""
         ids, packed = rows[:, -2], rows[:, -1]
         pos, n = packed >> 32, (packed & 0xFFFFFFFF) >> 2
@@ -177,23 +170,15 @@ class Walk:
             edits = np.maximum(n[i], n[j]) * self.most_edits
             ok = (ids[i] != ids[j]) & (np.abs(n[i] - n[j]) <= edits) & (np.abs(pos[i] - pos[j]) <= edits)
             i, j = i[ok], j[ok]
-            out.append(np.column_stack([ids[i], ids[j], pos[i], np.full(len(i), depth), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)]))
-
-    def run(self, rows: np.ndarray, level: int, out: list[np.ndarray]) -> None:
-        """A run that agrees on the depth of the level: short ones are paired, long ones are cut at the next depth."""
-        sides = np.bitwise_or.reduce(rows[:, -1] & 3)
-        if len(rows) < 2 or sides != 3:
-            return
-        last = level == len(DEPTHS) - 1
-        if len(rows) <= (LONG_RUN if last else SHORT_RUN):
-            self.pairs(rows, DEPTHS[level], out)
-        elif last:
-            zero = np.zeros(len(rows), np.int64)
-            out.append(np.column_stack([rows[:, -2], zero - 1, zero, zero + DEPTHS[level], rows[:, 0] ^ rows[:, 1], rows[:, -1]]))
+            out.append(np.column_stack([ids[i], ids[j], pos[i], np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)]))
+
+    def run(self, rows: np.ndarray, out: list[np.ndarray]) -> None:
+        """Short runs are paired here, the rows of long ones are left to the join."""
+        if len(rows) <= SHORT_RUN:
+            self.pairs(rows, out)
         else:
-            cuts = np.flatnonzero(np.diff(rows[:, 1] >> 32 if level == 0 else rows[:, 1])) + 1
-            for part in np.split(rows, cuts):
-                self.run(part, level + 1, out)
+            zero = np.zeros(len(rows), np.int64)
+            out.append(np.column_stack([rows[:, -2], zero - 1, zero, rows[:, 0], rows[:, -1]]))
 
     def feed(self, rows: np.ndarray, end: bool) -> np.ndarray:
         if self.left is not None and len(self.left):
@@ -208,14 +193,19 @@ class Walk:
                 sides = np.bitwise_or.reduceat(rows[:stop, -1] & 3, starts)
                 ends = np.append(starts[1:], stop)
                 for k in np.flatnonzero((ends - starts > 1) & (sides == 3)):
-                    self.run(rows[starts[k] : ends[k]], 0, out)
-        return np.concatenate(out) if out else np.zeros((0, 6), np.int64)
+                    self.run(rows[starts[k] : ends[k]], out)
+        return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+
+
+def changed(a: str, b: str) -> F.Column:
+    """Number of word parities that differ between the texts whose marks have the given prefixes."""
+    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in MARKS), F.lit(0))
 
 
-def candidates(suffixes: DataFrame, most_edits: float) -> DataFrame:
-    """Pairs of classes that stand side by side in the suffix array, with the spans that they share there."""
-    columns = ["h6", "deep", "id", "packed"]
-    array = suffixes.select(*columns).repartition("h6").sortWithinPartitions(*columns[:-1])
+def candidates(suffixes: DataFrame, marks: DataFrame, most_edits: float) -> DataFrame:
+    """Pairs of classes that share a suffix's beginning, once for each; marks: id and word parities of each class."""
+    columns = ["h6", "id", "packed"]
+    array = suffixes.select(*columns).repartition("h6").sortWithinPartitions("h6")
     struct = StructType.fromDDL(PAIRS)
     arrow = to_arrow_schema(struct)
 
@@ -234,27 +224,30 @@ def candidates(suffixes: DataFrame, most_edits: float) -> DataFrame:
             yield batch(m)
 
     found = cut(array.mapInArrow(walk, struct))
-    pairs = found.where("b_id >= 0").select("a_id", "b_id", "a_pos", "span")
-    hot = found.where("b_id < 0").select("hot", F.col("a_id").alias("id"), "span", F.shiftright("packed", 32).alias("pos"), F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 2).alias("n"), F.col("packed").bitwiseAND(3).alias("side"))
-    a = hot.where(F.col("side").bitwiseAND(2) > 0).select("hot", "span", F.col("id").alias("a_id"), F.col("pos").cast("int").alias("a_pos"), F.col("n").alias("a_n"))
-    b = hot.where(F.col("side").bitwiseAND(1) > 0).select("hot", F.col("id").alias("b_id"), F.col("pos").alias("b_pos"), F.col("n").alias("b_n"))
+    pairs = found.where("b_id >= 0").select("a_id", "b_id", "a_pos")
+    hot = found.where("b_id < 0").select("hot", F.col("a_id").alias("id"), F.shiftright("packed", 32).cast("int").alias("pos"), F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 2).cast("int").alias("n"), F.col("packed").bitwiseAND(3).cast("int").alias("side"))
+    hot = cut(hot.join(marks, "id"))
+    # The first side of a long run is dealt to several salts, each of which meets all of the other side.
+    sizes = hot.groupBy("hot").agg(F.ceil(F.count("*") / LONG_RUN).cast("int").alias("salts")).where("salts > 1")
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    hot = hot.join(sizes, "hot", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = hot.where(F.col("side").bitwiseAND(2) > 0).select("hot", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("id", "pos", "n", *MARKS)])
+    b = hot.where(F.col("side").bitwiseAND(1) > 0).select("hot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("id", "pos", "n", *MARKS)])
     most = F.greatest("a_n", "b_n") * most_edits
-    more = a.join(b, "hot").where((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= most))
-    return pairs.unionByName(more.select("a_id", "b_id", "a_pos", "span"))
+    more = a.join(b, ["hot", "salt"]).where((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= most) & (changed("a_", "b_") <= 2 * most))
+    return pairs.unionByName(more.select("a_id", "b_id", "a_pos"))
 
 
 def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", text: str = "generated_text", split: str = "split", least_words: int = 35, most_edits: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (train class, other class) within the edit bound, with edits and coverage; and the members of classes."""
     members, texts = classes(records, splits, key, text, split, least_words)
-    spans = candidates(seeds(texts), most_edits)
-    # Merged spans: from the first shared position to the end of the last shared span, per pair.
-    pairs = spans.groupBy("a_id", "b_id").agg(F.count_distinct("a_pos").alias("n_spans"), F.min("a_pos").alias("first"), F.max(F.col("a_pos") + F.col("span")).alias("last"))
+    spans = candidates(seeds(texts), texts.select("id", *MARKS), most_edits)
+    pairs = spans.groupBy("a_id", "b_id").agg(F.count_distinct("a_pos").alias("n_spans"))
     # An exact bound first, on narrow rows: e edits change at most 2 e parities.
     marks = texts.select("id", "n_words", *MARKS)
     near_ = pairs.join(marks.select(F.col("id").alias("a_id"), F.col("n_words").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in MARKS]), "a_id")
     near_ = near_.join(marks.select(F.col("id").alias("b_id"), F.col("n_words").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in MARKS]), "b_id")
-    changed = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in MARKS), F.lit(0))
-    pairs = cut(near_.where(changed <= 2 * most_edits * F.greatest("a_n", "b_n")).select("a_id", "b_id", "n_spans"))
+    pairs = cut(near_.where(changed("a_", "b_") <= 2 * most_edits * F.greatest("a_n", "b_n")).select("a_id", "b_id", "n_spans"))
     ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
     some = pick(texts.select("id", "body"), ids, "id", "left_semi")
     joined = pairs.join(some.select(F.col("id").alias("a_id"), F.col("body").alias("a_body")), "a_id").join(some.select(F.col("id").alias("b_id"), F.col("body").alias("b_body")), "b_id")
