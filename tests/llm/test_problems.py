@@ -167,6 +167,12 @@ def test_endings():
     assert A.ending("It ended. 🙂")[2] is False and A.ending("It ended.\n\n— The desk")[2] is False
 
 
+def test_repeated_marks_are_nothing_at_any_length():
+    for t in ("<pad>" * 12, "<|endoftext|> " * 5, "<pad>" * 20000):
+        assert A.observe("A prefix.", t, None, frozenset(), 4.3).nothing
+    assert not A.observe("A prefix.", "<pad>" * 12 + " It went on.", None, frozenset(), 4.3).nothing
+
+
 def test_nothing_and_copies():
     for t in ("null", "N/A", "...", '""', "[]", "</s>", "<pad><pad>", "(no output)", "-"):
         assert A.NOTHING.match(t), t

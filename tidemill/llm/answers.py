@@ -31,7 +31,7 @@ SAMPLE_ROWS = 2000
 LEAST_END = 0.88  # without any other evidence, the last words must say so this clearly
 
 NOTHING = re.compile(
-    r"^(?:[^\w]{0,6}|(?:[<\[(]{1,2}\|?/?(?:pad|eos|bos|s|unk|end|endoftext|end_of_text|im_end|im_start|empty|blank|null|none|no output|no answer|no response|no text|nothing)\|?[>\])]{1,2}\s*)+|[\"'(\[]?(?:null|none|nil|nan|n\s*/?\s*a|undefined|empty|no (?:answer|output|response|reply|text))[\"')\].]?)$",
+    r"^(?:[^\w]{0,6}|(?:[<\[(]{1,2}\|?/?(?:pad|eos|bos|s|unk|end|endoftext|end_of_text|im_end|im_start|empty|blank|null|none|no output|no answer|no response|no text|nothing)\|?[>\])]{1,2}\s*)++|[\"'(\[]?(?:null|none|nil|nan|n\s*/?\s*a|undefined|empty|no (?:answer|output|response|reply|text))[\"')\].]?)$",
     re.I,
 )
 NOTHING_SQL = "(?iU)" + NOTHING.pattern
@@ -188,7 +188,7 @@ def observe(prefix: str | None, text: str | None, completion: int | None, known:
     raw_text = text or ""
     body = clean(raw_text)
     stripped = body.strip()
-    nothing = not stripped or len(stripped) < 60 and bool(NOTHING.match(stripped))
+    nothing = not stripped or bool(NOTHING.match(stripped))
     _, votes, tokens = describe(body)
     kind = majority(votes)
     tail, mark, is_open = ("", False, False) if nothing else ending(body)

@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     kinds = shapes.text_types(texts(spark, sf, "merged_records", "record_id", "generated_text")).where(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
     # An answer that is only a mark for no answer is empty, not junk.
     text = F.trim(F.regexp_replace("generated_text", "[\\s\\u200b-\\u200f\\u2060\\ufeff\\u00a0\\u00ad]+", " "))
-    short = df.where((F.length(text) < 60) & text.rlike(answers.NOTHING_SQL)).select("record_id")
+    short = df.where(text.rlike(answers.NOTHING_SQL)).select("record_id")
     return kinds.join(short, "record_id", "left_anti")
 
 
