@@ -167,6 +167,14 @@ def test_endings():
     assert A.ending("It ended. 🙂")[2] is False and A.ending("It ended.\n\n— The desk")[2] is False
 
 
+def test_script_is_told_by_the_whole_text():
+    chinese = "许多年前，博物馆检查了旧地图。" * 40
+    english = prose(random.Random(5), 12)
+    assert S._is_cjk(english[:210] + chinese) and S._is_cjk(chinese) and not S._is_cjk("地 " + english)
+    assert S.majority(S.describe("Xkcdfgh Bcdfghjk Qwrtpsdfg " * 8 + chinese)[1]) != S.JUNK
+    assert S.JUNK in S.describe("地 " + "".join(f"xkc{c}dfgh bcdf{c}hjk qwrt{c}psd " for c in "bcdfghjklm"))[1]
+
+
 def test_repeated_marks_are_nothing_at_any_length():
     for t in ("<pad>" * 12, "<|endoftext|> " * 5, "<pad>" * 20000):
         assert A.observe("A prefix.", t, None, frozenset(), 4.3).nothing

@@ -29,6 +29,7 @@ NUMBER = re.compile(r"^[-+]?[\d.,]+%?$")
 INNER = re.compile(r"[^\W\d_][.!?]['\"”’]* +['\"“‘]*[A-ZÀ-ÖØ-ÞА-Я\d]")
 GAP = re.compile(r"\S(?:\t| {3,})\S")
 HEX = re.compile(r"^(?:[0-9a-f]{2,16}[\s:,-]*)+$", re.I)
+CJK, KANA = re.compile("[぀-鿿가-힯]"), re.compile("[぀-ヿ]")
 MOJIBAKE = re.compile("[ÃÂâïð][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|ï¿½|�")
 # English determiners, and words that don't follow one in a sentence that a reader can follow.
 DETERMINERS = frozenset("the a an every its his their our".split())
@@ -90,6 +91,15 @@ def _info(t: str) -> int:
     return v
 
 
+def _is_cjk(text: str) -> bool:
+    """Whether the whole text is Chinese, Japanese or Korean by its letters, with the shares of common.language."""
+    n = len(CJK.findall(text))
+    if not n:
+        return False
+    letters = sum(map(str.isalpha, text))
+    return n > 0.4 * letters or len(KANA.findall(text)) > 0.1 * letters
+
+
 def describe(text: str | None) -> tuple[tuple, tuple[int, ...], list[str]]:
     """The statistics (in the order of STATISTICS), the votes of the labelling functions, the words."""
     text = clean(text) if text else ""
@@ -113,7 +123,7 @@ def describe(text: str | None) -> tuple[tuple, tuple[int, ...], list[str]]:
     body = [x for x in body if not FIELD_RULE.match(x)] or body
     fields, numeric = _fields(body) if nl > 1 else (0.0, 0.0)
     per_line = nw / nl
-    cjk = any("぀" <= c <= "鿿" or "가" <= c <= "힯" for c in text[:200]) if not text.isascii() else False
+    cjk = not text.isascii() and _is_cjk(text)
     loop = nw >= 24 and kinds <= max(8, min(0.12 * nw, 12))  # long prose repeats words, too, but not so few
     bare = infos.count(_BARE) + infos.count(_COMMON_BARE)
     consonants = bare / max(1, nw)
