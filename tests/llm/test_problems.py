@@ -352,15 +352,105 @@ def test_parities_bound_the_edits():
         assert changed <= 2 * plain_distance(a, b)
 
 
-def test_recall_at_the_bound():
-    """Texts with a quarter of their words edited still share a chosen position in most cases."""
-    rng, hit = random.Random(12), 0
-    for _ in range(200):
-        a = words(prose(rng, 7))
-        b = edited(rng, a, 0.2)
-        ka, kb = O.suffix_keys(a)[1][0], O.suffix_keys(b)[1][0]
-        hit += bool(set(ka.tolist()) & set(kb.tolist()))
-    assert hit >= 180
+def cross_pairs(bodies, sides, most_edits=0.25, sample=None):
+    """The operator's pairs without Spark: one partition of the suffix array, then the exact distance."""
+    f = O.Frequent(sample if sample is not None else bodies)
+    b = O.Batch(bodies)
+    at, key, around = b.entries()
+    code = O.segments(b, f, most_edits)[at]
+    part = O.Part(most_edits)
+    half = len(at) // 2
+    for x in (slice(0, half), slice(half, None)):  # as two batches of texts would bring them
+        owners, owner = np.unique(b.text[at[x]], return_inverse=True)
+        part.add(len(at[x]), O.pack(key[x], around[x], code[x], np.zeros(len(at[x]), bool), owner, b.pos[at[x]]), owners.astype(np.int64).tobytes(), b.n[owners].astype(np.int32).tobytes(), np.array(sides, np.uint8)[owners].tobytes())
+    tokens = [t.split(" ") for t in bodies]
+    found = {(int(x), int(y)) for rows in part.pairs() for x, y in rows}
+    return {(x, y) for x, y in found if O.distance(tokens[x], tokens[y]) <= most_edits * max(len(tokens[x]), len(tokens[y]))}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2, 0.25])
+@pytest.mark.parametrize("size", [8, 40, 250])
+def test_no_pair_of_a_cluster_is_lost(share, size):
+    """Variants of one text, and variants of variants at the very bound, against brute force."""
+    rng = random.Random(size * 100 + int(share * 100))
+    base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([35, 60, 90]))]
+    texts = [base] + [edited(rng, base, share * rng.random() if k % 2 else share) for k in range(size - 1)]
+    texts = [t for t in texts if len(t) >= 35]
+    sides = [2 if k % 2 else 1 for k in range(len(texts))]
+    want = {(i, j) for i, a in enumerate(texts) if sides[i] == 2 for j, b in enumerate(texts) if sides[j] == 1 and O.distance(a, b) <= 0.25 * max(len(a), len(b))}
+    assert want and cross_pairs([" ".join(t) for t in texts], sides) == want
+
+
+def test_no_pair_is_lost_at_the_bound():
+    """Pairs of one text and its copy with exactly a quarter of the words edited, of few different words, many texts together."""
+    rng, texts, sides = random.Random(12), [], []
+    for n in (35, 36, 37, 38, 39, 40, 47, 60, 83, 100, 200):
+        for _ in range(12):
+            a = [rng.choice(NOUNS + ADJECTIVES + VERBS) for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), n // 4):
+                b[k] = f"x{rng.randrange(10**6)}"
+            texts += [a, b]
+            sides += rng.sample([1, 2], 2)
+    want = {(i, j) for i, a in enumerate(texts) if sides[i] == 2 for j, b in enumerate(texts) if sides[j] == 1 and abs(len(a) - len(b)) <= 25 and O.distance(a, b) <= 0.25 * max(len(a), len(b))}
+    assert len(want) >= 132 and cross_pairs([" ".join(t) for t in texts], sides) == want
+    assert cross_pairs([" ".join(t) for t in texts], sides, sample=[]) == want  # whatever the sample says
+
+
+def test_a_thousand_variants():
+    rng = random.Random(77)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in base) for _ in range(1000)]
+    sides = [2 if k % 2 else 1 for k in range(1000)]
+    assert len(cross_pairs(texts, sides)) == 250_000
+
+
+def test_tilings_cover_texts_of_any_length():
+    rng = random.Random(2)
+    for n in (35, 38, 39, 40, 191, 192, 400, 5000):
+        b = O.Batch([" ".join(rng.choice(NOUNS) for _ in range(n))])
+        code = O.segments(b, O.Frequent([]), 0.25)
+        at = np.flatnonzero(code)
+        assert len(at) == O.segment_count(n, 0.25) > n // 4 and at[0] == 0
+        assert all(x <= 8 for x in np.diff(at)) and all(y - x >= (code[x] & 15) for x, y in zip(at, at[1:]))
+        for x, y in zip(at[0::2], at[1::2]):  # the two of a block stand side by side
+            assert y - x == code[x] & 15 and not code[x] & 128 and code[y] & 128
+
+
+def test_too_many_edits_are_refused(spark):
+    with pytest.raises(ValueError):
+        O.near_pairs(spark.range(1), spark.range(1), most_edits=0.4)
+
+
+def test_frequent_beginnings_are_dealt_to_several_partitions(spark):
+    """A third of all texts begin alike; the pairs are those of one partition."""
+    rng = random.Random(41)
+    head = "here is the summary of the text that you asked me for".split()
+    rows = []
+    for i in range(240):
+        ws = words(prose(rng, 5))
+        rows.append(" ".join(head + ws if i % 3 == 0 else ws))
+        rows.append(" ".join(edited(rng, rows[-1].split(), 0.15)))
+    records = spark.createDataFrame(list(enumerate(rows)), "record_id bigint, generated_text string")
+    splits = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(len(rows))], "record_id bigint, split string")
+    f = O.Frequent(rows)
+    assert np.ceil(2 * 600 * f.share).max() > 2
+    texts = O.classes(records, splits, "record_id", "generated_text", "split", 35)[1]
+    sizes = [r["m"] for r in O.suffixes(texts, f, 0.25, 600).groupBy("part").agg(F.sum("m").alias("m")).collect()]
+    assert len(sizes) == 600 and max(sizes) < 5 * sum(sizes) / 600
+    got = {(r["record_id_a"], r["record_id_b"]) for r in O.cross_split_pairs(records, splits).collect()}
+    assert got >= {(2 * k, 2 * k + 1) for k in range(240)}
+
+
+def test_coverage_and_counts(spark):
+    ws = [f"w{k}" for k in range(60)]
+    rows = [(1, ws, "train"), (2, ws, "train"), (3, ws[:50] + [f"y{k}" for k in range(10)], "test"), (4, ws, "validation"), (5, [f"z{k}" for k in range(60)], "test")]
+    records = spark.createDataFrame([(i, " ".join(t)) for i, t, _ in rows], "record_id bigint, generated_text string")
+    splits = spark.createDataFrame([(i, s) for i, _, s in rows], "record_id bigint, split string")
+    got = {r["record_id"]: (r["n_pairs"], r["n_equal_pairs"], round(r["covered"], 3)) for r in O.overlapping_records(records, splits).collect()}
+    assert got == {3: (2, 0, round(50 / 60, 3)), 4: (2, 2, 1.0)}
+    assert O.covered("a b c d e f".split(), "a b c d x a b c d e".split()) == (5 / 6, 0.9)
+    assert O.covered([], []) == (0.0, 0.0)
 
 
 def test_large_group_of_variants_against_brute_force(spark):
@@ -375,20 +465,6 @@ def test_large_group_of_variants_against_brute_force(spark):
     assert len(want) == 10000 and got == want
 
 
-def test_long_runs_of_variants(spark, monkeypatch):
-    """A run longer than the walk pairs itself goes through the join, and gives the same pairs."""
-    rng = random.Random(13)
-    base = words(prose(rng, 14))
-    rows = [(i, " ".join(base + [rng.choice(NOUNS) + str(i)]), "train" if i % 2 else "test") for i in range(60)]
-    records = spark.createDataFrame([(i, t) for i, t, _ in rows], "record_id bigint, generated_text string")
-    splits = spark.createDataFrame([(i, s) for i, _, s in rows], "record_id bigint, split string")
-    assert O.cross_split_pairs(records, splits).count() == 900
-    w = O.Walk(0.25)
-    suffixes = np.array([[5, 6, i, (3 << 32) | (40 << 2) | (2 if i % 2 else 1)] for i in range(3000)], dtype=np.int64)
-    out = np.concatenate([w.feed(suffixes[:1000], False), w.feed(suffixes[1000:], False), w.feed(suffixes[:0], True)])
-    assert len(out) == 3000 and (out[:, 1] == -1).all()
-
-
 # Problem 7 --------------------------------------------------------------------------------------------------------------
 
 

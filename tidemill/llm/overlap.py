@@ -1,25 +1,27 @@
 """Problem 6: records of evaluation splits that occur, exactly or nearly, in train records.
 
-Equal word sequences are collapsed into classes first. The suffixes of the classes' texts, from positions chosen by content
-(the least hash of SEED words among SPREAD neighbours, so that texts choose the same positions in any shared run of
-SEED + SPREAD - 1 words), are partitioned and sorted by a hash of their first SEED words, so that suffixes with a common
-beginning stand side by side. One walk over them pairs, across splits, the suffixes of a run of up to SHORT_RUN; those of
-longer runs are paired by a salted join on narrow rows, which applies the bounds on lengths, positions and word parities to
-each pair before it is written. Run length decides on the way only, never on the result. Each shuffle carries hashes and
-numbers only, never texts. Pairs that the bounds allow are verified by a bit-parallel edit distance over words.
-
-A pair is missed only if it shares no run of SEED words at a chosen position: with edits in a quarter of the words that can
-happen, with up to a tenth of them it hardly can (tests/llm measures both).
+Equal word sequences are collapsed into classes first. All suffixes of the classes' texts, one from every word, form a suffix
+array that is partitioned by a hash of their first SEED words; what a task sees of a suffix are hashes of its first words and
+of the words around it, packed into a few bytes, never texts. The longer text of a pair is tiled with segments, so many that
+one more than the allowed edits are there: the edits cannot touch all of them, so that in one of the pairs of neighbouring
+segments at most one edit lies. One of its two segments is then the beginning of a suffix of the shorter text, beside which
+the other one is found but for that edit. Segments are looked up in the sorted suffixes across splits; hits that lengths, places
+and the words beside them allow become pairs of classes, are tested by an exact bound on word parities and verified by a
+bit-parallel edit distance. No pair within the bound is lost, however short its shared runs and however many texts share them.
+
+Where a text is divided changes the cost only: segments grow to more words where a bounded sample (SAMPLE_TEXTS texts) has many
+texts with the same words, and suffixes that begin with very frequent words are dealt to several partitions.
 
 Defined results: null and empty texts, and texts under `least_words` words, are in no pair; records without a split, or of
 another split, neither; repeated rows of the split index count once, records delivered again each count; ties are ordered by
-record; empty tables give no pairs.
+record; empty tables give no pairs. A ValueError is raised if `most_edits` leaves segments of under SEED words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidemill.llm.common import cut, h32, map_batches, words, written
+from tidemill.llm.common import bounded_sample, cut, h32, map_batches, words, written
 from tidemill.llm.groups import split_name
 
-SEED, SPREAD = 6, 5
-SHORT_RUN = 24
-LONG_RUN = 2000
-MOST_BROADCAST = 2_000_000
+SEED, LONGEST, NEAR = 3, 8, 4
+SAMPLE_TEXTS = 8192
+LEVEL_BITS = 22
+PART_ENTRIES = 2_000_000
+BATCH_WORDS = 600_000
+CHUNK = 1 << 20
+MOST_BROADCAST = 200_000
 _A, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -73,23 +78,18 @@ def distance(a: list[str], b: list[str]) -> int:
     return score
 
 
-def suffix_keys(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions of a text, and the hashes (in one row) of its SEED words from there."""
-    n = len(tokens)
-    ids = _mixed(np.array(list(map(h32, tokens)), dtype=np.uint64) + np.uint64(1))
-    if n < SEED:
-        return np.zeros(0, np.int64), np.zeros((1, 0), np.uint64)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _A)]))
-        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_A), -1, 1 << 64)))]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * powers[1 : n + 1])])
-        first = _mixed((sums[SEED:] - sums[:-SEED]) * inverse[: n - SEED + 1])
-        if len(first) > SPREAD:
-            windows = np.lib.stride_tricks.sliding_window_view(first, SPREAD)
-            at = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-        else:
-            at = np.unique([0, int(first.argmin())])
-    return at.astype(np.int64), first[at][None, :]
+def covered(a: list[str], b: list[str], run: int = NEAR) -> tuple[float, float]:
+    """Share of the words of each text that lie in runs of `run` words of the other one, overlapping runs merged."""
+    ga, gb = [list(zip(*(t[k:] for k in range(run)))) for t in (a, b)]
+    out = []
+    for grams, other, n in ((ga, set(gb), len(a)), (gb, set(ga), len(b))):
+        to = total = 0
+        for i, g in enumerate(grams):
+            if g in other:
+                total += i + run - max(i, to)
+                to = i + run
+        out.append(total / n if n else 0.0)
+    return out[0], out[1]
 
 
 MARKS = ("s0", "s1", "s2", "s3")
@@ -101,6 +101,11 @@ def parities(tokens: list[str]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def changed(a: str, b: str) -> F.Column:
+    """Number of word parities that differ between the texts whose marks have the given prefixes."""
+    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in MARKS), F.lit(0))
+
+
 def pick(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """rows semi or anti join ids; by broadcast only after the ids are counted, else by a shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, how)
@@ -124,147 +129,364 @@ def classes(records: DataFrame, splits: DataFrame, key: str, text: str, split: s
     by_class = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("o"))
     several = cut(by_class.where("n > 1"))
     # Only the classes of several records are joined: every other record is its own class.
-    joined = members.join(F.broadcast(several) if several.count() <= MOST_BROADCAST else several, "class", "left")
+    small = several.count() <= MOST_BROADCAST
+    joined = members.join(F.broadcast(several) if small else several, "class", "left")
     narrow = cut(joined.select(F.coalesce("class_id", "id").alias("class_id"), "id", "record_key", "split"))
     copies = narrow.where("class_id <> id").select("id")
     mixed = several.where("t and o").select(F.col("class_id").alias("id"), F.lit(True).alias("mixed"))
     texts = pick(rows.select("id", "body", "n_words", "split", *MARKS), copies, "id", "left_anti")
-    texts = texts.join(F.broadcast(mixed) if mixed.count() <= MOST_BROADCAST else mixed, "id", "left")
+    texts = texts.join(F.broadcast(mixed) if small else mixed, "id", "left")
     both = F.coalesce("mixed", F.lit(False))
     texts = texts.select("id", "body", "n_words", *MARKS, (both | (F.col("split") == "train")).alias("has_train"), (both | (F.col("split") != "train")).alias("has_other"))
     return narrow.select("class_id", F.col("record_key").alias(key), "split"), texts
 
 
-def seeds(texts: DataFrame) -> DataFrame:
-    """The chosen suffixes of each class: hashes, the class, and its place, length and sides packed into one number."""
-
-    def fn(ids: list, bodies: list, lengths: list, train: list, other: list) -> dict[str, list]:
-        keys, classes_, packed = [], [], []
-        for c, body, n, t, o in zip(ids, bodies, lengths, train, other):
-            at, k = suffix_keys(body.split(" "))
-            keys.append(k), classes_.append(np.full(len(at), c, np.int64))
-            packed.append((at << 32) | (min(n, (1 << 29) - 1) << 2) | (2 * bool(t) + bool(o)))
-        h = np.concatenate(keys, axis=1)
-        return {"h6": h[0].view(np.int64), "id": np.concatenate(classes_), "packed": np.concatenate(packed)}
+class Batch:
+    """The words of several texts in one array, with hashes of the runs from each word."""
+
+    def __init__(self, bodies: list[str]):
+        tokens = [b.split(" ") for b in bodies]
+        self.n = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+        ids = np.fromiter(map(h32, chain.from_iterable(tokens)), dtype=np.uint64, count=int(self.start[-1]))
+        self.words = _mixed(ids + np.uint64(1))
+        self.text = np.repeat(np.arange(len(tokens)), self.n)
+        self.pos = np.arange(len(ids)) - self.start[self.text]
+        self.left = self.n[self.text] - self.pos  # words from here to the end of the text
+
+    def ahead(self, values: np.ndarray, k: int) -> np.ndarray:
+        """The value k words further on (or back, if k < 0); 0 beyond the text."""
+        out = np.zeros_like(values)
+        if k >= 0:
+            out[: len(values) - k] = values[k:]
+            out[self.left <= k] = 0
+        else:
+            out[-k:] = values[:k]
+            out[self.pos < -k] = 0
+        return out
 
-    return map_batches(texts, ["id", "body", "n_words", "has_train", "has_other"], fn, "h6 bigint, id bigint, packed bigint")
+    def hashes(self, longest: int) -> list[np.ndarray]:
+        """Hashes of the SEED to `longest` words from each word; of fewer where the text ends."""
+        out, h = [], np.zeros_like(self.words)
+        with np.errstate(over="ignore"):
+            for k in range(longest):
+                h = h * _A + self.ahead(self.words, k)
+                if k + 1 >= SEED:
+                    out.append(_mixed(h))
+        return out
 
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words from which SEED words follow; of each, its key (36 bits of SEED words, 12 of the next one) and 4 bits of each of the five words beyond and before."""
+        at = np.flatnonzero(self.left >= SEED)
+        small = np.uint64(1) + (self.words >> np.uint64(20)) % np.uint64(15)
+        wide = ((self.words >> np.uint64(40)) & np.uint64(255)) << np.uint64(4) | small
+        key = (self.hashes(SEED)[0] >> np.uint64(28)) << np.uint64(12) | self.ahead(wide, SEED)
+        around = np.zeros_like(key)
+        for k in range(5):
+            around |= self.ahead(small, SEED + 1 + k) << np.uint64(4 * k)
+            around |= self.ahead(small, -1 - k) << np.uint64(20 + 4 * k)
+        return at, key[at], around[at]
+
+
+class Frequent:
+    """How many texts of a sample hold a run of words, as a hashed table of levels, and the share of suffixes with a beginning."""
+
+    def __init__(self, sample: list[str], longest: int = LONGEST):
+        self.longest = longest
+        self.level = np.zeros(1 << LEVEL_BITS, np.uint8)
+        self.share = np.zeros(1 << 16, np.float32)
+        if sample:
+            b = Batch(sample)
+            for k, h in enumerate(b.hashes(longest)):
+                h = h[b.left >= SEED + k]
+                kinds, counts = np.unique(h, return_counts=True)
+                at, many = kinds[counts > 1], counts[counts > 1]
+                np.maximum.at(self.level, (at >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), np.minimum(8 * np.log2(many), 255).astype(np.uint8))
+                if not k and len(h):
+                    often = counts > 20
+                    np.maximum.at(self.share, (kinds[often] >> np.uint64(48)).astype(np.int64), (counts[often] / len(h)).astype(np.float32))
+
+    def costs(self, b: Batch) -> np.ndarray:
+        """Of each length from SEED on and each word, how often the run is expected; runs past the end of the text cost too much."""
+        value = np.append(0.0, 2 ** (np.arange(1, 256) / 8)).astype(np.float32)
+        out = np.empty((self.longest - SEED + 1, len(b.words)), np.float32)
+        for k, h in enumerate(b.hashes(self.longest)):
+            out[k] = value[self.level[(h >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]] + 0.5 / (k + 1)
+            out[k][b.left < SEED + k] = 1e9
+        return out
 
-PAIRS = "a_id bigint, b_id bigint, a_pos int, hot bigint, packed bigint"
 
+def segment_count(n: int, most_edits: float) -> int:
+    """Segments of a text of n words: over the edits, and even."""
+    return int(n * most_edits) + 2 - int(n * most_edits) % 2
+
+
+def pieces(n: int, most_edits: float, most_words: int = 192) -> list[tuple[int, int, int]]:
+    """A text of n words as (first word, words, segments) of pieces to divide by themselves: one, unless it is long."""
+    half, k = segment_count(n, most_edits) // 2, max(1, n // most_words)
+    ends = [half * i // k for i in range(k + 1)]
+    at = [n * e // half for e in ends]
+    return [(at[i], at[i + 1] - at[i], 2 * (ends[i + 1] - ends[i])) for i in range(k)]
+
+
+def tilings(costs: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Lengths of `count` neighbouring segments of SEED words or more, for each of several pieces of n words: those with the least sum of costs."""
+    spare = n - SEED * count
+    if spare < 0:
+        raise ValueError(f"{n} words cannot be divided into {count} segments of {SEED}")
+    more = min(len(costs), spare + 1)
+    best = np.full((len(starts), spare + 1), np.float32(1e12))
+    best[:, 0] = 0
+    choice = np.zeros((count, len(starts), spare + 1), np.int8)
+    at = starts[:, None] + np.arange(spare + 1)[None, :]
+    for j in range(count):
+        new = np.full_like(best, np.float32(1e12))
+        here = np.minimum(at + SEED * j, costs.shape[1] - 1)
+        for x in range(more):
+            value = best[:, : spare + 1 - x] + costs[x][here[:, : spare + 1 - x]]
+            better = value < new[:, x:]
+            new[:, x:][better] = value[better]
+            choice[j][:, x:][better] = x
+        best = new
+    # Words past the last segment stay free where segments of the longest kind cannot take them.
+    left = best.argmin(axis=1)
+    out = np.empty((len(starts), count), np.int64)
+    rows = np.arange(len(starts))
+    for j in range(count - 1, -1, -1):
+        out[:, j] = SEED + choice[j][rows, left]
+        left = left - choice[j][rows, left]
+    return out
+
+
+def segments(b: Batch, frequent: Frequent, most_edits: float) -> np.ndarray:
+    """Of each word, 0 or the segment that begins there: its length and that of its neighbour (4 bits, 3 bits), and whether the neighbour comes before."""
+    codes = np.zeros(len(b.words), np.uint8)
+    if not len(codes):
+        return codes
+    costs, alike = frequent.costs(b), {}
+    for n, start in zip(b.n.tolist(), b.start.tolist()):
+        for first, size, count in pieces(n, most_edits):
+            alike.setdefault((size, count), []).append(start + first)
+    for (size, count), starts in alike.items():
+        for k in range(0, len(starts), 512):
+            at = np.array(starts[k : k + 512], np.int64)
+            lengths = tilings(costs, at, size, count)
+            where = at[:, None] + np.cumsum(lengths, axis=1) - lengths
+            x, y = lengths[:, 0::2], lengths[:, 1::2]
+            codes[where[:, 0::2]] = np.minimum(x, 9) | np.minimum(y, NEAR) << 4
+            codes[where[:, 1::2]] = np.minimum(y, 9) | np.minimum(x, NEAR) << 4 | 128
+    return codes
+
+
+def pack(key: np.ndarray, around: np.ndarray, code: np.ndarray, only: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> bytes:
+    """The entries of a partition, sorted by key, byte by byte, so that equal bytes stand together."""
+    order = np.argsort(key, kind="stable")
+    planes = lambda v, k: np.ascontiguousarray(v[order].view(np.uint8).reshape(len(v), -1)[:, :k].T).tobytes()
+    return planes(key, 6) + planes(around, 5) + planes(code, 1) + planes(only.astype(np.uint8), 1) + planes(owner.astype(np.uint32), 3) + planes(pos.astype(np.uint32), 4)
+
+
+def unpack(blob: bytes, m: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(blob, np.uint8), [], 0
+    for k, kind in ((6, np.uint64), (5, np.uint64), (1, np.uint8), (1, np.uint8), (3, np.uint32), (4, np.uint32)):
+        v = np.zeros((m, np.dtype(kind).itemsize), np.uint8)
+        v[:, :k] = raw[at : at + k * m].reshape(k, m).T
+        out.append(v.view(kind)[:, 0])
+        at += k * m
+    return out
+
+
+def suffixes(texts: DataFrame, frequent: Frequent, most_edits: float, parts: int) -> DataFrame:
+    """Rows of (part, number of entries, entries, classes): the suffixes of a batch of texts that a partition of the suffix array gets."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    struct = StructType.fromDDL("part int, m int, entries binary, ids binary, sizes binary, sides binary")
+    arrow = to_arrow_schema(struct)
 
-class Walk:
-    """One walk over a sorted partition of the suffix array."""
+    def rows(ids: list, bodies: list, sides: list) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        b = Batch(bodies)
+        at, key, around = b.entries()
+        code = segments(b, f, most_edits)[at]
+        ids, sides = np.array(ids, np.int64), np.array(sides, np.uint8)
+        beginning = key >> np.uint64(12)
+        salts = np.ceil(2 * parts * f.share[(beginning >> np.uint64(20)).astype(np.int64)]).astype(np.int64)
+        salts = np.maximum(salts, 1)
+        salt = np.where(salts > 1, (_mixed(ids.view(np.uint64) + np.uint64(7)) >> np.uint64(1)).astype(np.int64)[b.text[at]] % salts, 0)
+        only = np.zeros(len(at), bool)
+        again = np.flatnonzero((salts > 1) & (code > 0))  # segments meet the suffixes of every salt
+        if len(again):
+            which = np.repeat(again, salts[again])
+            turn = np.arange(len(which)) - np.repeat(np.cumsum(salts[again]) - salts[again], salts[again])
+            keep = turn != salt[which]
+            which, turn = which[keep], turn[keep]
+            only = np.concatenate([only, np.ones(len(which), bool)])
+            at, key, around, code, salt, beginning = (np.concatenate([v, w]) for v, w in ((at, at[which]), (key, key[which]), (around, around[which]), (code, code[which]), (salt, turn), (beginning, beginning[which])))
+        with np.errstate(over="ignore"):
+            part = (_mixed(beginning * _A + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1)) if parts <= len(part) else None
+        used = np.unique(part)
+        out: dict[str, list] = {x.name: [] for x in arrow}
+        for p in used.tolist():
+            mine = order[edges[p] : edges[p + 1]] if edges is not None else np.flatnonzero(part == p)
+            owners, owner = np.unique(b.text[at[mine]], return_inverse=True)
+            for c, v in zip(out, (p, len(mine), pack(key[mine], around[mine], code[mine], only[mine], owner, b.pos[at[mine]]), ids[owners].tobytes(), b.n[owners].astype(np.int32).tobytes(), sides[owners].tobytes())):
+                out[c].append(v)
+        for k in range(0, len(used), 64):
+            yield pa.RecordBatch.from_pydict({x.name: pa.array(out[x.name][k : k + 64], x.type) for x in arrow}, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        bodies: list = []
+        sides: list = []
+        held = 0
+        for batch in batches:
+            for i, body, n, t, o in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(i), bodies.append(body), sides.append(2 * bool(t) + bool(o))
+                held += n
+                if held >= BATCH_WORDS:
+                    yield from rows(ids, bodies, sides)
+                    ids, bodies, sides, held = [], [], [], 0
+        if ids:
+            yield from rows(ids, bodies, sides)
+
+    return texts.select("id", "body", "n_words", "has_train", "has_other").mapInArrow(run, struct)
+
+
+def _one_edit() -> np.ndarray:
+    """For up to NEAR words beside a segment: whether equal words in place, one further and one nearer (NEAR bits each) allow one edit."""
+    out = np.zeros((NEAR + 1, 1 << (3 * NEAR)), bool)
+    for p in range(NEAR + 1):
+        for bits in range(1 << (3 * NEAR)):
+            same, further, nearer = ([bits >> (d * NEAR + i) & 1 for i in range(NEAR)] for d in range(3))
+            k = next((i for i in range(p) if not same[i]), p)
+            out[p, bits] = k >= p or all(same[k + 1 : p]) or all(further[k:p]) or all(nearer[k + 1 : p])
+    return out
+
+
+ONE_EDIT = _one_edit()
+
+
+class Part:
+    """One partition of the suffix array: its entries sorted by key, and the classes that they belong to."""
 
     def __init__(self, most_edits: float):
         self.most_edits = most_edits
-        self.left: np.ndarray | None = None
-
-    def pairs(self, rows: np.ndarray, out: list[np.ndarray]) -> None:
-        """All pairs across splits of the rows of a run (columns: hashes, id, packed) that lengths and places allow."""
-        ids, packed = rows[:, -2], rows[:, -1]
-        pos, n = packed >> 32, (packed & 0xFFFFFFFF) >> 2
-        a, b = np.flatnonzero(packed & 2), np.flatnonzero(packed & 1)
-        for k in range(0, len(a), 256):
-            i, j = np.repeat(a[k : k + 256], len(b)), np.tile(b, len(a[k : k + 256]))
-            edits = np.maximum(n[i], n[j]) * self.most_edits
-            ok = (ids[i] != ids[j]) & (np.abs(n[i] - n[j]) <= edits) & (np.abs(pos[i] - pos[j]) <= edits)
-            i, j = i[ok], j[ok]
-            out.append(np.column_stack([ids[i], ids[j], pos[i], np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)]))
-
-    def run(self, rows: np.ndarray, out: list[np.ndarray]) -> None:
-        """Short runs are paired here, the rows of long ones are left to the join."""
-        if len(rows) <= SHORT_RUN:
-            self.pairs(rows, out)
-        else:
-            zero = np.zeros(len(rows), np.int64)
-            out.append(np.column_stack([rows[:, -2], zero - 1, zero, rows[:, 0], rows[:, -1]]))
-
-    def feed(self, rows: np.ndarray, end: bool) -> np.ndarray:
-        if self.left is not None and len(self.left):
-            rows = np.concatenate([self.left, rows])
-        out: list[np.ndarray] = []
-        if len(rows):
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
-            stop = len(rows) if end else int(starts[-1])  # the last run may go on in the next batch
-            self.left = rows[stop:]
-            starts = starts[starts < stop]
-            if len(starts):
-                sides = np.bitwise_or.reduceat(rows[:stop, -1] & 3, starts)
-                ends = np.append(starts[1:], stop)
-                for k in np.flatnonzero((ends - starts > 1) & (sides == 3)):
-                    self.run(rows[starts[k] : ends[k]], out)
-        return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-
-
-def changed(a: str, b: str) -> F.Column:
-    """Number of word parities that differ between the texts whose marks have the given prefixes."""
-    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in MARKS), F.lit(0))
-
-
-def candidates(suffixes: DataFrame, marks: DataFrame, most_edits: float) -> DataFrame:
-    """Pairs of classes that share a suffix's beginning, once for each; marks: id and word parities of each class."""
-    columns = ["h6", "id", "packed"]
-    array = suffixes.select(*columns).repartition("h6").sortWithinPartitions("h6")
-    struct = StructType.fromDDL(PAIRS)
+        self.columns: list[list[np.ndarray]] = []
+        self.classes: list[tuple] = []
+        self.known = 0
+
+    def add(self, m: int, entries: bytes, ids: bytes, sizes: bytes, sides: bytes) -> None:
+        columns = unpack(entries, m)
+        columns[4] = columns[4].astype(np.int64) + self.known
+        self.columns.append(columns)
+        self.classes.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(sides, np.uint8)))
+        self.known += len(self.classes[-1][0])
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """Pairs (train class, other class), without repetition within what is yielded."""
+        if not self.columns:
+            return
+        key, around, code, only, owner, pos = (np.concatenate(c) for c in zip(*self.columns))
+        ids, n, sides = (np.concatenate(c) for c in zip(*self.classes))
+        self.columns, self.classes = [], []
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        whole = sides[owner[order]]
+        for mine, other in ((2, 1), (1, 2)):  # segments of train texts in suffixes of others, and the other way round
+            yield from self._found(order[(code[order] > 0) & (whole & mine > 0)], order[(only[order] == 0) & (whole & other > 0)], mine == 2, key, around, code, owner, pos, n, ids)
+
+    def _found(self, t: np.ndarray, s: np.ndarray, forth: bool, key: np.ndarray, around: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+        keys = key[s]
+        short = (code[t] & 15) == SEED
+        low = np.where(short, key[t] & ~np.uint64(0xFFF), key[t])
+        first = np.searchsorted(keys, low)
+        count = np.searchsorted(keys, np.where(short, key[t] | np.uint64(0xFFF), key[t]), side="right") - first
+        t, first, count = t[count > 0], first[count > 0], count[count > 0]
+        total = np.cumsum(count)
+        for begin in range(0, int(total[-1]) if len(total) else 0, CHUNK):
+            flat = np.arange(begin, min(begin + CHUNK, int(total[-1])))
+            which = np.searchsorted(total, flat, side="right")
+            i, j = self._allowed(t[which], s[first[which] + flat - (total - count)[which]], key, around, code, owner, pos, n)
+            if len(i):
+                a, b = ids[owner[i]], ids[owner[j]]
+                yield np.unique(np.column_stack([a, b] if forth else [b, a]), axis=0)
+
+    def _allowed(self, i: np.ndarray, j: np.ndarray, key: np.ndarray, around: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of segments i and suffixes j with equal beginnings, those that lengths, places and neighbouring words allow."""
+        a, b = owner[i], owner[j]
+        na, shift = n[a], pos[i] - pos[j]
+        longer = na - n[b]
+        ok = (a != b) & (longer >= 0) & (np.abs(shift) + np.abs(longer - shift) <= (na * self.most_edits).astype(np.int64))
+        i, j = i[ok], j[ok]
+        size = (code[i] & 15).astype(np.int64)
+        after = [(key[v] & np.uint64(15)) | (around[v] & np.uint64(0xFFFFF)) << np.uint64(4) for v in (i, j)]
+        inside = (np.uint64(1) << (np.uint64(4) * (size - SEED).astype(np.uint64))) - np.uint64(1)
+        ok = (after[0] ^ after[1]) & inside == 0
+        i, j, size, after = i[ok], j[ok], size[ok], [v[ok] for v in after]
+        back = code[i] & 128 > 0
+        move = (np.uint64(4) * (size - SEED).astype(np.uint64))
+        mine, other = (np.where(back, around[v] >> np.uint64(20), after[k] >> move) for k, v in enumerate((i, j)))
+        near = np.minimum((code[i] >> 4 & 7).astype(np.int64), np.where(back, NEAR, np.maximum(0, 8 - size)))
+        bits = np.zeros(len(i), np.int64)
+        for d, v in enumerate((mine ^ other, mine ^ (other >> np.uint64(4)), mine ^ (other << np.uint64(4)))):
+            for k in range(NEAR):
+                bits |= ((v >> np.uint64(4 * k)) & np.uint64(15) == 0).astype(np.int64) << (d * NEAR + k)
+        ok = ONE_EDIT[near, bits]
+        return i[ok], j[ok]
+
+
+def candidates(texts: DataFrame, most_edits: float) -> DataFrame:
+    """Pairs (train class, other class), once each, in which a segment of the longer text and its neighbour are found in the shorter one."""
+    session = texts.sparkSession
+    size = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).collect()[0]["words"]
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_ENTRIES))
+    frequent = Frequent([r["body"] for r in bounded_sample(texts, "id", ["id", "body"], SAMPLE_TEXTS)])
+    struct = StructType.fromDDL("a_id bigint, b_id bigint")
     arrow = to_arrow_schema(struct)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Walk(most_edits)
-
-        def batch(m: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(m[:, k]).cast(f.type) for k, f in enumerate(arrow)], schema=arrow)
-
-        for b in batches:
-            m = w.feed(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]), False)
-            if len(m):
-                yield batch(m)
-        m = w.feed(np.zeros((0, len(columns)), np.int64), True)
-        if len(m):
-            yield batch(m)
-
-    found = cut(array.mapInArrow(walk, struct))
-    pairs = found.where("b_id >= 0").select("a_id", "b_id", "a_pos")
-    hot = found.where("b_id < 0").select("hot", F.col("a_id").alias("id"), F.shiftright("packed", 32).cast("int").alias("pos"), F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 2).cast("int").alias("n"), F.col("packed").bitwiseAND(3).cast("int").alias("side"))
-    hot = cut(hot.join(marks, "id"))
-    # The first side of a long run is dealt to several salts, each of which meets all of the other side.
-    sizes = hot.groupBy("hot").agg(F.ceil(F.count("*") / LONG_RUN).cast("int").alias("salts")).where("salts > 1")
-    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
-    hot = hot.join(sizes, "hot", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    a = hot.where(F.col("side").bitwiseAND(2) > 0).select("hot", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("id", "pos", "n", *MARKS)])
-    b = hot.where(F.col("side").bitwiseAND(1) > 0).select("hot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("id", "pos", "n", *MARKS)])
-    most = F.greatest("a_n", "b_n") * most_edits
-    more = a.join(b, ["hot", "salt"]).where((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= most) & (changed("a_", "b_") <= 2 * most))
-    return pairs.unionByName(more.select("a_id", "b_id", "a_pos"))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Part] = {}
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, Part(most_edits)).add(*row)
+        while held:
+            for found in held.popitem()[1].pairs():
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
+
+    array = suffixes(texts, frequent, most_edits, parts).repartitionById(parts, "part")
+    return array.mapInArrow(search, struct).distinct()
 
 
 def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", text: str = "generated_text", split: str = "split", least_words: int = 35, most_edits: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (train class, other class) within the edit bound, with edits and coverage; and the members of classes."""
+    for n in range(least_words, least_words + 64):
+        if n < SEED * segment_count(n, most_edits):
+            raise ValueError(f"{most_edits} of {n} words edited leave segments of under {SEED} words")
     members, texts = classes(records, splits, key, text, split, least_words)
-    spans = candidates(seeds(texts), texts.select("id", *MARKS), most_edits)
-    pairs = spans.groupBy("a_id", "b_id").agg(F.count_distinct("a_pos").alias("n_spans"))
+    pairs = cut(candidates(texts, most_edits))
     # An exact bound first, on narrow rows: e edits change at most 2 e parities.
-    marks = texts.select("id", "n_words", *MARKS)
+    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
+    marks = cut(pick(texts.select("id", "n_words", *MARKS), ids, "id", "left_semi"))
     near_ = pairs.join(marks.select(F.col("id").alias("a_id"), F.col("n_words").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in MARKS]), "a_id")
     near_ = near_.join(marks.select(F.col("id").alias("b_id"), F.col("n_words").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in MARKS]), "b_id")
-    pairs = cut(near_.where(changed("a_", "b_") <= 2 * most_edits * F.greatest("a_n", "b_n")).select("a_id", "b_id", "n_spans"))
+    pairs = cut(near_.where(changed("a_", "b_") <= 2 * F.floor(most_edits * F.greatest("a_n", "b_n"))).select("a_id", "b_id"))
     ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
-    some = pick(texts.select("id", "body"), ids, "id", "left_semi")
+    some = cut(pick(texts.select("id", "body"), ids, "id", "left_semi"))
     joined = pairs.join(some.select(F.col("id").alias("a_id"), F.col("body").alias("a_body")), "a_id").join(some.select(F.col("id").alias("b_id"), F.col("body").alias("b_body")), "b_id")
 
-    def fn(a_id: list, b_id: list, a_body: list, b_body: list, n_spans: list) -> dict[str, list]:
-        out: dict[str, list] = {"a_id": [], "b_id": [], "edits": [], "longer": [], "n_spans": []}
-        for x, y, s, t, n in zip(a_id, b_id, a_body, b_body, n_spans):
+    def fn(a_id: list, b_id: list, a_body: list, b_body: list) -> dict[str, list]:
+        out: dict[str, list] = {"a_id": [], "b_id": [], "edits": [], "longer": [], "a_covered": [], "b_covered": []}
+        for x, y, s, t in zip(a_id, b_id, a_body, b_body):
             u, v = s.split(" "), t.split(" ")
             longer = max(len(u), len(v))
             e = distance(u, v)
             if e <= most_edits * longer:
-                for c, value in zip(out, (x, y, e, longer, n)):
+                for c, value in zip(out, (x, y, e, longer, *covered(u, v))):
                     out[c].append(value)
         return out
 
-    near = map_batches(joined, ["a_id", "b_id", "a_body", "b_body", "n_spans"], fn, "a_id bigint, b_id bigint, edits int, longer int, n_spans bigint")
-    same = texts.where("has_train and has_other").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("edits"), F.col("n_words").alias("longer"), F.lit(1).cast("bigint").alias("n_spans"))
+    near = map_batches(joined, ["a_id", "b_id", "a_body", "b_body"], fn, "a_id bigint, b_id bigint, edits int, longer int, a_covered double, b_covered double")
+    same = texts.where("has_train and has_other").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("edits"), F.col("n_words").alias("longer"), F.lit(1.0).alias("a_covered"), F.lit(1.0).alias("b_covered"))
     return near.unionByName(same), members
 
 
@@ -273,4 +495,15 @@ def cross_split_pairs(records: DataFrame, splits: DataFrame, key: str = "record_
     pairs, members = near_pairs(records, splits, key, **options)
     a = members.where("split = 'train'").select(F.col("class_id").alias("a_id"), F.col(key).alias("a_key"))
     b = members.where("split <> 'train'").select(F.col("class_id").alias("b_id"), F.col(key).alias("b_key"), F.col("split").alias("other_split"))
-    return pairs.join(a, "a_id").join(b, "b_id").select(F.least("a_key", "b_key").alias(f"{key}_a"), F.greatest("a_key", "b_key").alias(f"{key}_b"), F.col("b_key").alias("other_key"), "other_split", "edits", "longer")
+    return pairs.join(a, "a_id").join(b, "b_id").select(F.least("a_key", "b_key").alias(f"{key}_a"), F.greatest("a_key", "b_key").alias(f"{key}_b"), F.col("b_key").alias("other_key"), "other_split", "edits", "longer", F.col("a_covered").alias("train_covered"), F.col("b_covered").alias("other_covered"))
+
+
+def overlapping_records(records: DataFrame, splits: DataFrame, key: str = "record_id", **options) -> DataFrame:
+    """Each validation or test record with its number of pairs and of equal ones, and the largest share of it that a train record has.
+
+    The members of classes are counted, never expanded into pairs.
+    """
+    pairs, members = near_pairs(records, splits, key, **options)
+    trained = members.where("split = 'train'").groupBy(F.col("class_id").alias("a_id")).agg(F.count("*").alias("_n"))
+    by = pairs.join(trained, "a_id").groupBy(F.col("b_id").alias("class_id")).agg(F.sum("_n").alias("n_pairs"), F.sum(F.when(F.col("edits") == 0, F.col("_n")).otherwise(0)).alias("n_equal_pairs"), F.max("b_covered").alias("covered"))
+    return members.where("split <> 'train'").join(by, "class_id").select(key, "split", "n_pairs", "n_equal_pairs", "covered")

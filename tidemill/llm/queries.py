@@ -93,10 +93,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs, and records of validation and test that have one, per split and dataset."""
-    names = table(spark, sf, "merged_records").select(F.col("record_id").alias("other_key"), "dataset_name")
-    rows = _pairs(spark, sf).groupBy("other_key", "other_split").agg(F.count("*").alias("n"), F.count_if(F.col("edits") == 0).alias("same")).join(names, "other_key")
-    return rows.groupBy(F.col("other_split").alias("split"), "dataset_name").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"), F.sum("same").alias("n_equal_pairs"))
+    """Pairs, and records of validation and test that have one, per split and dataset, with the records' mean coverage."""
+    names = table(spark, sf, "merged_records").select("record_id", "dataset_name")
+    rows = overlap.overlapping_records(table(spark, sf, "merged_records"), table(spark, sf, "split_index")).join(names, "record_id")
+    return rows.groupBy("split", "dataset_name").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"), F.sum("n_equal_pairs").alias("n_equal_pairs"), F.round(F.avg("covered"), 4).alias("avg_covered"))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
