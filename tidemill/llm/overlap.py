@@ -2,12 +2,13 @@
 
 Equal word sequences are collapsed into classes first. All suffixes of the classes' texts, one from every word, form a suffix
 array that is partitioned by a hash of their first SEED words; what a task sees of a suffix are hashes of its first words and
-of the words around it, packed into a few bytes, never texts. The longer text of a pair is tiled with segments, so many that
-one more than the allowed edits are there: the edits cannot touch all of them, so that in one of the pairs of neighbouring
-segments at most one edit lies. One of its two segments is then the beginning of a suffix of the shorter text, beside which
-the other one is found but for that edit. Segments are looked up in the sorted suffixes across splits; hits that lengths, places
-and the words beside them allow become pairs of classes, are tested by an exact bound on word parities and verified by a
-bit-parallel edit distance. No pair within the bound is lost, however short its shared runs and however many texts share them.
+four bits of each of the words around it, never texts. The longer text of a pair is tiled with segments, so many that one more
+than the allowed edits are there. Segments are grouped in pairs and those in fours: as the edits are fewer than the segments,
+some four have at most three edits, of its pairs one has at most one, and of that pair one segment has none. So one segment
+is the beginning of a suffix of the shorter text, beside which its neighbour is found but for one edit and the other two but
+for three in all. Segments are looked up in the sorted suffixes across splits; hits that lengths, places and the words beside
+them allow become pairs of classes and are verified by a bit-parallel edit distance over words. No pair within the bound is
+lost, however short its shared runs and however many texts share them.
 
 Where a text is divided changes the cost only: segments grow to more words where a bounded sample (SAMPLE_TEXTS texts) has many
 texts with the same words, and suffixes that begin with very frequent words are dealt to several partitions.
@@ -34,6 +35,7 @@ from tidemill.llm.common import bounded_sample, cut, h32, map_batches, words, wr
 from tidemill.llm.groups import split_name
 
 SEED, LONGEST, NEAR = 3, 8, 4
+AFTER, BEFORE, SHIFT = 12, 10, 3
 SAMPLE_TEXTS = 8192
 LEVEL_BITS = 22
 PART_ENTRIES = 2_000_000
@@ -92,20 +94,6 @@ def covered(a: list[str], b: list[str], run: int = NEAR) -> tuple[float, float]:
     return out[0], out[1]
 
 
-MARKS = ("s0", "s1", "s2", "s3")
-
-
-def parities(tokens: list[str]) -> np.ndarray:
-    """Of 256 groups of words, whether the text has an odd number of each: an edit changes two of them at most."""
-    odd = np.bincount(np.array(list(map(h32, tokens)), dtype=np.int64) & 255, minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def changed(a: str, b: str) -> F.Column:
-    """Number of word parities that differ between the texts whose marks have the given prefixes."""
-    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in MARKS), F.lit(0))
-
-
 def pick(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """rows semi or anti join ids; by broadcast only after the ids are counted, else by a shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, how)
@@ -120,11 +108,10 @@ def classes(records: DataFrame, splits: DataFrame, key: str, text: str, split: s
         tokens = [words(t) for t in texts]
         keep = [i for i, t in enumerate(tokens) if len(t) >= least_words]
         bodies = [" ".join(tokens[i]) for i in keep]
-        marks = np.array([parities(tokens[i]) for i in keep], dtype=np.uint64).reshape(len(keep), 4).view(np.int64)
-        return {f"s{k}": marks[:, k] for k in range(4)} | {"record_key": [ids[i] for i in keep], "split": [sides[i] for i in keep], "n_words": [len(tokens[i]) for i in keep], "class": [hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in bodies], "body": bodies}
+        return {"record_key": [ids[i] for i in keep], "split": [sides[i] for i in keep], "n_words": [len(tokens[i]) for i in keep], "class": [hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in bodies], "body": bodies}
 
     kind = records.schema[key].dataType.simpleString()
-    rows = written(map_batches(rows, ["_key", "_text", "_split"], fn, f"record_key {kind}, split string, n_words int, class binary, body string, s0 bigint, s1 bigint, s2 bigint, s3 bigint").withColumn("id", F.monotonically_increasing_id()))
+    rows = written(map_batches(rows, ["_key", "_text", "_split"], fn, f"record_key {kind}, split string, n_words int, class binary, body string").withColumn("id", F.monotonically_increasing_id()))
     members = rows.select("class", "record_key", "split", "id")
     by_class = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("o"))
     several = cut(by_class.where("n > 1"))
@@ -134,10 +121,10 @@ def classes(records: DataFrame, splits: DataFrame, key: str, text: str, split: s
     narrow = cut(joined.select(F.coalesce("class_id", "id").alias("class_id"), "id", "record_key", "split"))
     copies = narrow.where("class_id <> id").select("id")
     mixed = several.where("t and o").select(F.col("class_id").alias("id"), F.lit(True).alias("mixed"))
-    texts = pick(rows.select("id", "body", "n_words", "split", *MARKS), copies, "id", "left_anti")
+    texts = pick(rows.select("id", "body", "n_words", "split"), copies, "id", "left_anti")
     texts = texts.join(F.broadcast(mixed) if small else mixed, "id", "left")
     both = F.coalesce("mixed", F.lit(False))
-    texts = texts.select("id", "body", "n_words", *MARKS, (both | (F.col("split") == "train")).alias("has_train"), (both | (F.col("split") != "train")).alias("has_other"))
+    texts = texts.select("id", "body", "n_words", (both | (F.col("split") == "train")).alias("has_train"), (both | (F.col("split") != "train")).alias("has_other"))
     return narrow.select("class_id", F.col("record_key").alias(key), "split"), texts
 
 
@@ -175,17 +162,16 @@ class Batch:
                     out.append(_mixed(h))
         return out
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words from which SEED words follow; of each, its key (36 bits of SEED words, 12 of the next one) and 4 bits of each of the five words beyond and before."""
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words from which SEED words follow; of each, a 32-bit hash of those, and 4 bits of each of the words after and before them."""
         at = np.flatnonzero(self.left >= SEED)
         small = np.uint64(1) + (self.words >> np.uint64(20)) % np.uint64(15)
-        wide = ((self.words >> np.uint64(40)) & np.uint64(255)) << np.uint64(4) | small
-        key = (self.hashes(SEED)[0] >> np.uint64(28)) << np.uint64(12) | self.ahead(wide, SEED)
-        around = np.zeros_like(key)
-        for k in range(5):
-            around |= self.ahead(small, SEED + 1 + k) << np.uint64(4 * k)
-            around |= self.ahead(small, -1 - k) << np.uint64(20 + 4 * k)
-        return at, key[at], around[at]
+        after, before = np.zeros_like(small), np.zeros_like(small)
+        for k in range(AFTER):
+            after |= self.ahead(small, SEED + k) << np.uint64(4 * k)
+        for k in range(BEFORE):
+            before |= self.ahead(small, -1 - k) << np.uint64(4 * k)
+        return at, (self.hashes(SEED)[0] >> np.uint64(32)).astype(np.uint32)[at], after[at], before[at]
 
 
 class Frequent:
@@ -259,8 +245,12 @@ def tilings(costs: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.nda
 
 
 def segments(b: Batch, frequent: Frequent, most_edits: float) -> np.ndarray:
-    """Of each word, 0 or the segment that begins there: its length and that of its neighbour (4 bits, 3 bits), and whether the neighbour comes before."""
-    codes = np.zeros(len(b.words), np.uint8)
+    """Of each word, 0 or the segment that begins there.
+
+    Its length (4 bits), whether its neighbour has NEAR words or more, whether it comes before, and whether the pair is alone
+    (a bit each); the words of its four after it and before it (4 bits each, at most 15).
+    """
+    codes = np.zeros(len(b.words), np.uint16)
     if not len(codes):
         return codes
     costs, alike = frequent.costs(b), {}
@@ -271,23 +261,29 @@ def segments(b: Batch, frequent: Frequent, most_edits: float) -> np.ndarray:
         for k in range(0, len(starts), 512):
             at = np.array(starts[k : k + 512], np.int64)
             lengths = tilings(costs, at, size, count)
-            where = at[:, None] + np.cumsum(lengths, axis=1) - lengths
-            x, y = lengths[:, 0::2], lengths[:, 1::2]
-            codes[where[:, 0::2]] = np.minimum(x, 9) | np.minimum(y, NEAR) << 4
-            codes[where[:, 1::2]] = np.minimum(y, 9) | np.minimum(x, NEAR) << 4 | 128
+            ends = np.cumsum(lengths, axis=1)
+            j = np.arange(count)
+            first = j // 4 * 4
+            last = np.minimum(first + 4, count) - 1
+            after, before = ends[:, last] - ends, ends - lengths - (ends - lengths)[:, first]
+            partner = lengths[:, j ^ 1]
+            code = np.minimum(lengths, LONGEST) | (partner >= NEAR) << 4 | (j & 1 > 0) << 5 | (last - first < 2) << 6 | np.minimum(after, 15) << 8 | np.minimum(before, 15) << 12
+            codes[at[:, None] + ends - lengths] = code
     return codes
 
 
-def pack(key: np.ndarray, around: np.ndarray, code: np.ndarray, only: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> bytes:
-    """The entries of a partition, sorted by key, byte by byte, so that equal bytes stand together."""
-    order = np.argsort(key, kind="stable")
-    planes = lambda v, k: np.ascontiguousarray(v[order].view(np.uint8).reshape(len(v), -1)[:, :k].T).tobytes()
-    return planes(key, 6) + planes(around, 5) + planes(code, 1) + planes(only.astype(np.uint8), 1) + planes(owner.astype(np.uint32), 3) + planes(pos.astype(np.uint32), 4)
+PLANES = ((4, np.uint32), (AFTER // 2, np.uint64), (BEFORE // 2, np.uint64), (2, np.uint16), (1, np.uint8), (3, np.uint32), (4, np.uint32))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """The entries of a partition (key, words after and before, segment, whether only that, owner, place), sorted by key, byte by byte, so that equal bytes stand together."""
+    order = np.argsort(columns[0], kind="stable")
+    return b"".join(np.ascontiguousarray(v.astype(kind)[order].view(np.uint8).reshape(len(v), -1)[:, :k].T).tobytes() for v, (k, kind) in zip(columns, PLANES))
 
 
 def unpack(blob: bytes, m: int) -> list[np.ndarray]:
     raw, out, at = np.frombuffer(blob, np.uint8), [], 0
-    for k, kind in ((6, np.uint64), (5, np.uint64), (1, np.uint8), (1, np.uint8), (3, np.uint32), (4, np.uint32)):
+    for k, kind in PLANES:
         v = np.zeros((m, np.dtype(kind).itemsize), np.uint8)
         v[:, :k] = raw[at : at + k * m].reshape(k, m).T
         out.append(v.view(kind)[:, 0])
@@ -304,12 +300,10 @@ def suffixes(texts: DataFrame, frequent: Frequent, most_edits: float, parts: int
     def rows(ids: list, bodies: list, sides: list) -> Iterator[pa.RecordBatch]:
         f = shared.value
         b = Batch(bodies)
-        at, key, around = b.entries()
+        at, key, after, before = b.entries()
         code = segments(b, f, most_edits)[at]
         ids, sides = np.array(ids, np.int64), np.array(sides, np.uint8)
-        beginning = key >> np.uint64(12)
-        salts = np.ceil(2 * parts * f.share[(beginning >> np.uint64(20)).astype(np.int64)]).astype(np.int64)
-        salts = np.maximum(salts, 1)
+        salts = np.maximum(np.ceil(2 * parts * f.share[key >> np.uint32(16)]).astype(np.int64), 1)
         salt = np.where(salts > 1, (_mixed(ids.view(np.uint64) + np.uint64(7)) >> np.uint64(1)).astype(np.int64)[b.text[at]] % salts, 0)
         only = np.zeros(len(at), bool)
         again = np.flatnonzero((salts > 1) & (code > 0))  # segments meet the suffixes of every salt
@@ -319,9 +313,10 @@ def suffixes(texts: DataFrame, frequent: Frequent, most_edits: float, parts: int
             keep = turn != salt[which]
             which, turn = which[keep], turn[keep]
             only = np.concatenate([only, np.ones(len(which), bool)])
-            at, key, around, code, salt, beginning = (np.concatenate([v, w]) for v, w in ((at, at[which]), (key, key[which]), (around, around[which]), (code, code[which]), (salt, turn), (beginning, beginning[which])))
-        with np.errstate(over="ignore"):
-            part = (_mixed(beginning * _A + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            at, key, after, before, code, salts = (np.concatenate([v, v[which]]) for v in (at, key, after, before, code, salts))
+            salt = np.concatenate([salt, turn])
+        part = (key.astype(np.int64) * parts) >> 32  # ranges of keys, so that the first bytes of a partition's keys are alike
+        part = np.where(salts > 1, (part + salt * (parts // 7 + 1)) % parts, part)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1)) if parts <= len(part) else None
         used = np.unique(part)
@@ -329,7 +324,7 @@ def suffixes(texts: DataFrame, frequent: Frequent, most_edits: float, parts: int
         for p in used.tolist():
             mine = order[edges[p] : edges[p + 1]] if edges is not None else np.flatnonzero(part == p)
             owners, owner = np.unique(b.text[at[mine]], return_inverse=True)
-            for c, v in zip(out, (p, len(mine), pack(key[mine], around[mine], code[mine], only[mine], owner, b.pos[at[mine]]), ids[owners].tobytes(), b.n[owners].astype(np.int32).tobytes(), sides[owners].tobytes())):
+            for c, v in zip(out, (p, len(mine), pack(key[mine], after[mine], before[mine], code[mine], only[mine], owner, b.pos[at[mine]]), ids[owners].tobytes(), b.n[owners].astype(np.int32).tobytes(), sides[owners].tobytes())):
                 out[c].append(v)
         for k in range(0, len(used), 64):
             yield pa.RecordBatch.from_pydict({x.name: pa.array(out[x.name][k : k + 64], x.type) for x in arrow}, schema=arrow)
@@ -366,6 +361,32 @@ def _one_edit() -> np.ndarray:
 ONE_EDIT = _one_edit()
 
 
+def beside(x: np.ndarray, y: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Least edits between the first `size` (at most `most`) words of x and any beginning of y, up to SHIFT: 4 bits a word, from the lowest on."""
+    width, large = 2 * SHIFT + 1, np.int8(SHIFT + 1)
+    four = lambda v, k: v >> np.uint64(4 * k) & np.uint64(15)
+    row = [np.full(len(x), abs(d - SHIFT) if d >= SHIFT else large, np.int8) for d in range(width)]
+    out = np.where(size == 0, np.int8(0), large)
+    words_y = [four(y, k) for k in range(most + SHIFT)]
+    for i in range(1, most + 1):
+        word, new = four(x, i - 1), []
+        for d in range(width):
+            j = i + d - SHIFT  # x's first i words against y's first j
+            if j < 0:
+                new.append(np.full(len(x), large, np.int8))
+                continue
+            value = np.full(len(x), np.int8(i), np.int8) if j == 0 else row[d] + (word != words_y[j - 1]).astype(np.int8)
+            if d + 1 < width:
+                value = np.minimum(value, row[d + 1] + np.int8(1))
+            if d and j:
+                value = np.minimum(value, new[d - 1] + np.int8(1))
+            new.append(np.minimum(value, large))
+        row = new
+        least = np.minimum.reduce(row)
+        out = np.where(size == i, least, out)
+    return out
+
+
 class Part:
     """One partition of the suffix array: its entries sorted by key, and the classes that they belong to."""
 
@@ -377,7 +398,7 @@ class Part:
 
     def add(self, m: int, entries: bytes, ids: bytes, sizes: bytes, sides: bytes) -> None:
         columns = unpack(entries, m)
-        columns[4] = columns[4].astype(np.int64) + self.known
+        columns[5] = columns[5].astype(np.int64) + self.known
         self.columns.append(columns)
         self.classes.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(sides, np.uint8)))
         self.known += len(self.classes[-1][0])
@@ -386,53 +407,64 @@ class Part:
         """Pairs (train class, other class), without repetition within what is yielded."""
         if not self.columns:
             return
-        key, around, code, only, owner, pos = (np.concatenate(c) for c in zip(*self.columns))
+        key, after, before, code, only, owner, pos = (np.concatenate(c) for c in zip(*self.columns))
         ids, n, sides = (np.concatenate(c) for c in zip(*self.classes))
         self.columns, self.classes = [], []
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        key = key.astype(np.uint64)
+        for k in range(LONGEST - SEED):  # the words from the fourth to the eighth order suffixes that begin alike
+            key = key << np.uint64(4) | (after >> np.uint64(4 * k) & np.uint64(15))
+        table = (key, after, before, code.astype(np.int64), owner, pos.astype(np.int64), n.astype(np.int64), ids)
         order = np.argsort(key, kind="stable")
-        whole = sides[owner[order]]
+        side = sides[owner[order]]
         for mine, other in ((2, 1), (1, 2)):  # segments of train texts in suffixes of others, and the other way round
-            yield from self._found(order[(code[order] > 0) & (whole & mine > 0)], order[(only[order] == 0) & (whole & other > 0)], mine == 2, key, around, code, owner, pos, n, ids)
+            for i, j in self._hits(order[(code[order] > 0) & (side & mine > 0)], order[(only[order] == 0) & (side & other > 0)], *table[:-1]):
+                a, b = ids[owner[i]], ids[owner[j]]
+                yield np.unique(np.column_stack([a, b] if mine == 2 else [b, a]), axis=0)
 
-    def _found(self, t: np.ndarray, s: np.ndarray, forth: bool, key: np.ndarray, around: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    def _hits(self, t: np.ndarray, s: np.ndarray, key: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Segments t and suffixes s that begin with them, as far as lengths, places and the words beside them allow."""
         keys = key[s]
-        short = (code[t] & 15) == SEED
-        low = np.where(short, key[t] & ~np.uint64(0xFFF), key[t])
-        first = np.searchsorted(keys, low)
-        count = np.searchsorted(keys, np.where(short, key[t] | np.uint64(0xFFF), key[t]), side="right") - first
+        rest = (np.uint64(1) << (np.uint64(4) * (LONGEST - (code[t] & 15)).astype(np.uint64))) - np.uint64(1)
+        first = np.searchsorted(keys, key[t] & ~rest)
+        count = np.searchsorted(keys, key[t] | rest, side="right") - first
         t, first, count = t[count > 0], first[count > 0], count[count > 0]
         total = np.cumsum(count)
         for begin in range(0, int(total[-1]) if len(total) else 0, CHUNK):
             flat = np.arange(begin, min(begin + CHUNK, int(total[-1])))
             which = np.searchsorted(total, flat, side="right")
-            i, j = self._allowed(t[which], s[first[which] + flat - (total - count)[which]], key, around, code, owner, pos, n)
+            i, j = t[which], s[first[which] + flat - (total - count)[which]]
+            na, shift = n[owner[i]], pos[i] - pos[j]
+            longer = na - n[owner[j]]
+            ok = (owner[i] != owner[j]) & (longer >= 0) & (np.abs(shift) + np.abs(longer - shift) <= (na * self.most_edits).astype(np.int64))
+            i, j = i[ok], j[ok]
+            for test in (self._neighbour, self._four):
+                ok = test(i, j, after, before, code)
+                i, j = i[ok], j[ok]
             if len(i):
-                a, b = ids[owner[i]], ids[owner[j]]
-                yield np.unique(np.column_stack([a, b] if forth else [b, a]), axis=0)
-
-    def _allowed(self, i: np.ndarray, j: np.ndarray, key: np.ndarray, around: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of segments i and suffixes j with equal beginnings, those that lengths, places and neighbouring words allow."""
-        a, b = owner[i], owner[j]
-        na, shift = n[a], pos[i] - pos[j]
-        longer = na - n[b]
-        ok = (a != b) & (longer >= 0) & (np.abs(shift) + np.abs(longer - shift) <= (na * self.most_edits).astype(np.int64))
-        i, j = i[ok], j[ok]
-        size = (code[i] & 15).astype(np.int64)
-        after = [(key[v] & np.uint64(15)) | (around[v] & np.uint64(0xFFFFF)) << np.uint64(4) for v in (i, j)]
-        inside = (np.uint64(1) << (np.uint64(4) * (size - SEED).astype(np.uint64))) - np.uint64(1)
-        ok = (after[0] ^ after[1]) & inside == 0
-        i, j, size, after = i[ok], j[ok], size[ok], [v[ok] for v in after]
-        back = code[i] & 128 > 0
-        move = (np.uint64(4) * (size - SEED).astype(np.uint64))
-        mine, other = (np.where(back, around[v] >> np.uint64(20), after[k] >> move) for k, v in enumerate((i, j)))
-        near = np.minimum((code[i] >> 4 & 7).astype(np.int64), np.where(back, NEAR, np.maximum(0, 8 - size)))
+                yield i, j
+
+    @staticmethod
+    def _neighbour(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether at most one edit lies in the neighbouring segment, of which up to NEAR words are looked at."""
+        c = code[i]
+        size, back = c & 15, c & 32 > 0
+        move = np.uint64(4) * (size - SEED).astype(np.uint64)
+        mine, other = (np.where(back, before[v], after[v] >> move) for v in (i, j))
+        near = np.minimum(SEED + (c >> 4 & 1), np.where(back, BEFORE, AFTER + SEED - size) - 1)
         bits = np.zeros(len(i), np.int64)
         for d, v in enumerate((mine ^ other, mine ^ (other >> np.uint64(4)), mine ^ (other << np.uint64(4)))):
             for k in range(NEAR):
                 bits |= ((v >> np.uint64(4 * k)) & np.uint64(15) == 0).astype(np.int64) << (d * NEAR + k)
-        ok = ONE_EDIT[near, bits]
-        return i[ok], j[ok]
+        return ONE_EDIT[near, bits]
+
+    @staticmethod
+    def _four(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether at most three edits lie in the four segments (or one in a pair that is alone), as far as the words beside are known."""
+        c = code[i]
+        move = np.uint64(4) * ((c & 15) - SEED).astype(np.uint64)
+        ahead = beside(after[i] >> move, after[j] >> move, np.minimum(c >> 8 & 15, AFTER - SHIFT + SEED - (c & 15)), AFTER - SHIFT)
+        back = beside(before[i], before[j], np.minimum(c >> 12, BEFORE - SHIFT), BEFORE - SHIFT)
+        return ahead + back <= np.where(c & 64 > 0, 1, SHIFT)
 
 
 def candidates(texts: DataFrame, most_edits: float) -> DataFrame:
@@ -464,12 +496,6 @@ def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", te
             raise ValueError(f"{most_edits} of {n} words edited leave segments of under {SEED} words")
     members, texts = classes(records, splits, key, text, split, least_words)
     pairs = cut(candidates(texts, most_edits))
-    # An exact bound first, on narrow rows: e edits change at most 2 e parities.
-    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
-    marks = cut(pick(texts.select("id", "n_words", *MARKS), ids, "id", "left_semi"))
-    near_ = pairs.join(marks.select(F.col("id").alias("a_id"), F.col("n_words").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in MARKS]), "a_id")
-    near_ = near_.join(marks.select(F.col("id").alias("b_id"), F.col("n_words").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in MARKS]), "b_id")
-    pairs = cut(near_.where(changed("a_", "b_") <= 2 * F.floor(most_edits * F.greatest("a_n", "b_n"))).select("a_id", "b_id"))
     ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
     some = cut(pick(texts.select("id", "body"), ids, "id", "left_semi"))
     joined = pairs.join(some.select(F.col("id").alias("a_id"), F.col("body").alias("a_body")), "a_id").join(some.select(F.col("id").alias("b_id"), F.col("body").alias("b_body")), "b_id")
