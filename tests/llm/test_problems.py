@@ -353,7 +353,7 @@ def cross_pairs(bodies, sides, most_edits=0.25, sample=None):
     half = len(at) // 2
     for x in (slice(0, half), slice(half, None)):  # as two batches of texts would bring them
         owners, owner = np.unique(b.text[at[x]], return_inverse=True)
-        part.add(len(at[x]), O.pack(key[x], after[x], before[x], code[x], np.zeros(len(at[x]), bool), owner, b.pos[at[x]]), owners.astype(np.int64).tobytes(), b.n[owners].astype(np.int32).tobytes(), np.array(sides, np.uint8)[owners].tobytes())
+        part.add(len(at[x]), O.pack(key[x], after[x], before[x], code[x], np.zeros(len(at[x]), bool), owner, b.pos[at[x]]), O.planes(owners.astype(np.int64), 8), O.planes(b.n[owners], 4), np.array(sides, np.uint8)[owners].tobytes())
     tokens = [t.split(" ") for t in bodies]
     found = {(int(x), int(y)) for rows in part.pairs() for x, y in rows}
     return {(x, y) for x, y in found if O.distance(tokens[x], tokens[y]) <= most_edits * max(len(tokens[x]), len(tokens[y]))}
@@ -391,13 +391,13 @@ def test_no_pair_is_lost_at_the_bound():
 def test_edits_beside():
     rng = random.Random(4)
     for _ in range(200):
-        x, y = ([rng.randrange(1, 4) for _ in range(n)] for n in (9, 12))
+        x, y = ([rng.randrange(1, 4) for _ in range(n)] for n in (13, 16))
         if rng.random() < 0.7:
-            y = (x[: rng.randrange(9)] + y)[:12]
-        k = rng.randrange(10)
-        want = min(plain_distance(x[:k], y[:j]) for j in range(13))
-        pack = lambda v: np.array([sum(w << 4 * q for q, w in enumerate(v))], np.uint64)
-        assert O.beside(pack(x), pack(y), np.array([k]), 9)[0] == min(want, O.SHIFT + 1)
+            y = (x[: rng.randrange(13)] + y)[:16]
+        k = rng.randrange(14)
+        want = min(plain_distance(x[:k], y[:j]) for j in range(17))
+        pack = lambda v: np.array([sum(w << O.WORD_BITS * q for q, w in enumerate(v))], np.uint64)
+        assert O.beside(pack(x), pack(y), np.array([k]), 13)[0] == min(want, O.SHIFT + 1)
 
 
 def test_many_variants():

@@ -7,7 +7,7 @@ than the allowed edits are there. Segments are grouped in pairs and those in fou
 some four have at most three edits, of its pairs one has at most one, and of that pair one segment has none. So one segment
 is the beginning of a suffix of the shorter text, beside which its neighbour is found but for one edit and the other two but
 for three in all. Segments are looked up in the sorted suffixes across splits; hits that lengths, places and the words beside
-them allow become pairs of classes and are verified by a bit-parallel edit distance over words. No pair within the bound is
+them allow become pairs of classes and are verified by a bit-parallel edit distance, first over one byte a word, then over words. No pair within the bound is
 lost, however short its shared runs and however many texts share them.
 
 Where a text is divided changes the cost only: segments grow to more words where a bounded sample (SAMPLE_TEXTS texts) has many
@@ -35,7 +35,8 @@ from tidemill.llm.common import bounded_sample, cut, h32, map_batches, words, wr
 from tidemill.llm.groups import split_name
 
 SEED, LONGEST, NEAR = 3, 8, 4
-AFTER, BEFORE, SHIFT = 12, 10, 3
+AFTER, BEFORE, SHIFT = 16, 16, 3
+WORD_BITS = 4
 SAMPLE_TEXTS = 8192
 LEVEL_BITS = 22
 PART_ENTRIES = 2_000_000
@@ -51,8 +52,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def distance(a: list[str], b: list[str]) -> int:
-    """Edits (insert, delete, replace) between two word sequences, bit-parallel over the shorter one."""
+def distance(a: list[str] | bytes, b: list[str] | bytes) -> int:
+    """Edits (insert, delete, replace) between two sequences of words or of bytes, bit-parallel over the shorter one."""
     if len(a) > len(b):
         a, b = b, a
     m = len(a)
@@ -108,10 +109,11 @@ def classes(records: DataFrame, splits: DataFrame, key: str, text: str, split: s
         tokens = [words(t) for t in texts]
         keep = [i for i, t in enumerate(tokens) if len(t) >= least_words]
         bodies = [" ".join(tokens[i]) for i in keep]
-        return {"record_key": [ids[i] for i in keep], "split": [sides[i] for i in keep], "n_words": [len(tokens[i]) for i in keep], "class": [hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in bodies], "body": bodies}
+        marks = [bytes(h32(w) & 255 for w in tokens[i]) for i in keep]
+        return {"marks": marks, "record_key": [ids[i] for i in keep], "split": [sides[i] for i in keep], "n_words": [len(tokens[i]) for i in keep], "class": [hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in bodies], "body": bodies}
 
     kind = records.schema[key].dataType.simpleString()
-    rows = written(map_batches(rows, ["_key", "_text", "_split"], fn, f"record_key {kind}, split string, n_words int, class binary, body string").withColumn("id", F.monotonically_increasing_id()))
+    rows = written(map_batches(rows, ["_key", "_text", "_split"], fn, f"record_key {kind}, split string, n_words int, class binary, body string, marks binary").withColumn("id", F.monotonically_increasing_id()))
     members = rows.select("class", "record_key", "split", "id")
     by_class = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("o"))
     several = cut(by_class.where("n > 1"))
@@ -121,10 +123,10 @@ def classes(records: DataFrame, splits: DataFrame, key: str, text: str, split: s
     narrow = cut(joined.select(F.coalesce("class_id", "id").alias("class_id"), "id", "record_key", "split"))
     copies = narrow.where("class_id <> id").select("id")
     mixed = several.where("t and o").select(F.col("class_id").alias("id"), F.lit(True).alias("mixed"))
-    texts = pick(rows.select("id", "body", "n_words", "split"), copies, "id", "left_anti")
+    texts = pick(rows.select("id", "body", "n_words", "split", "marks"), copies, "id", "left_anti")
     texts = texts.join(F.broadcast(mixed) if small else mixed, "id", "left")
     both = F.coalesce("mixed", F.lit(False))
-    texts = texts.select("id", "body", "n_words", (both | (F.col("split") == "train")).alias("has_train"), (both | (F.col("split") != "train")).alias("has_other"))
+    texts = texts.select("id", "body", "n_words", "marks", (both | (F.col("split") == "train")).alias("has_train"), (both | (F.col("split") != "train")).alias("has_other"))
     return narrow.select("class_id", F.col("record_key").alias(key), "split"), texts
 
 
@@ -163,14 +165,14 @@ class Batch:
         return out
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words from which SEED words follow; of each, a 32-bit hash of those, and 4 bits of each of the words after and before them."""
+        """Words from which SEED words follow; of each, a 32-bit hash of those, and WORD_BITS bits of each of the words after and before them."""
         at = np.flatnonzero(self.left >= SEED)
-        small = np.uint64(1) + (self.words >> np.uint64(20)) % np.uint64(15)
+        small = np.uint64(1) + (self.words >> np.uint64(20)) % np.uint64((1 << WORD_BITS) - 1)
         after, before = np.zeros_like(small), np.zeros_like(small)
         for k in range(AFTER):
-            after |= self.ahead(small, SEED + k) << np.uint64(4 * k)
+            after |= self.ahead(small, SEED + k) << np.uint64(WORD_BITS * k)
         for k in range(BEFORE):
-            before |= self.ahead(small, -1 - k) << np.uint64(4 * k)
+            before |= self.ahead(small, -1 - k) << np.uint64(WORD_BITS * k)
         return at, (self.hashes(SEED)[0] >> np.uint64(32)).astype(np.uint32)[at], after[at], before[at]
 
 
@@ -272,21 +274,32 @@ def segments(b: Batch, frequent: Frequent, most_edits: float) -> np.ndarray:
     return codes
 
 
-PLANES = ((4, np.uint32), (AFTER // 2, np.uint64), (BEFORE // 2, np.uint64), (2, np.uint16), (1, np.uint8), (3, np.uint32), (4, np.uint32))
+PLANES = ((4, np.uint32), (-(-AFTER * WORD_BITS // 8), np.uint64), (-(-BEFORE * WORD_BITS // 8), np.uint64), (2, np.uint16), (1, np.uint8), (3, np.uint32), (4, np.uint32))
+
+
+def planes(v: np.ndarray, k: int) -> bytes:
+    """The k lowest bytes of the values, byte by byte, so that equal bytes stand together."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1)[:, :k].T).tobytes()
+
+
+def values(blob: bytes, k: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(k, -1)
+    v = np.zeros((raw.shape[1], np.dtype(kind).itemsize), np.uint8)
+    v[:, :k] = raw.T
+    return v.view(kind)[:, 0]
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """The entries of a partition (key, words after and before, segment, whether only that, owner, place), sorted by key, byte by byte, so that equal bytes stand together."""
+    """The entries of a partition (key, words after and before, segment, whether only that, owner, place), sorted by key."""
     order = np.argsort(columns[0], kind="stable")
-    return b"".join(np.ascontiguousarray(v.astype(kind)[order].view(np.uint8).reshape(len(v), -1)[:, :k].T).tobytes() for v, (k, kind) in zip(columns, PLANES))
+    return pa.compress(b"".join(planes(v.astype(kind)[order], k) for v, (k, kind) in zip(columns, PLANES)), codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, m: int) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(blob, np.uint8), [], 0
+    out, at = [], 0
+    blob = pa.decompress(blob, m * sum(k for k, _ in PLANES), codec="zstd", asbytes=True)
     for k, kind in PLANES:
-        v = np.zeros((m, np.dtype(kind).itemsize), np.uint8)
-        v[:, :k] = raw[at : at + k * m].reshape(k, m).T
-        out.append(v.view(kind)[:, 0])
+        out.append(values(blob[at : at + k * m], k, kind))
         at += k * m
     return out
 
@@ -324,7 +337,7 @@ def suffixes(texts: DataFrame, frequent: Frequent, most_edits: float, parts: int
         for p in used.tolist():
             mine = order[edges[p] : edges[p + 1]] if edges is not None else np.flatnonzero(part == p)
             owners, owner = np.unique(b.text[at[mine]], return_inverse=True)
-            for c, v in zip(out, (p, len(mine), pack(key[mine], after[mine], before[mine], code[mine], only[mine], owner, b.pos[at[mine]]), ids[owners].tobytes(), b.n[owners].astype(np.int32).tobytes(), sides[owners].tobytes())):
+            for c, v in zip(out, (p, len(mine), pack(key[mine], after[mine], before[mine], code[mine], only[mine], owner, b.pos[at[mine]]), planes(ids[owners], 8), planes(b.n[owners], 4), sides[owners].tobytes())):
                 out[c].append(v)
         for k in range(0, len(used), 64):
             yield pa.RecordBatch.from_pydict({x.name: pa.array(out[x.name][k : k + 64], x.type) for x in arrow}, schema=arrow)
@@ -362,14 +375,14 @@ ONE_EDIT = _one_edit()
 
 
 def beside(x: np.ndarray, y: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
-    """Least edits between the first `size` (at most `most`) words of x and any beginning of y, up to SHIFT: 4 bits a word, from the lowest on."""
+    """Least edits between the first `size` (at most `most`) words of x and any beginning of y, up to SHIFT: WORD_BITS bits a word, from the lowest on."""
     width, large = 2 * SHIFT + 1, np.int8(SHIFT + 1)
-    four = lambda v, k: v >> np.uint64(4 * k) & np.uint64(15)
+    word_of = lambda v, k: v >> np.uint64(WORD_BITS * k) & np.uint64((1 << WORD_BITS) - 1)
     row = [np.full(len(x), abs(d - SHIFT) if d >= SHIFT else large, np.int8) for d in range(width)]
     out = np.where(size == 0, np.int8(0), large)
-    words_y = [four(y, k) for k in range(most + SHIFT)]
+    words_y = [word_of(y, k) for k in range(most + SHIFT)]
     for i in range(1, most + 1):
-        word, new = four(x, i - 1), []
+        word, new = word_of(x, i - 1), []
         for d in range(width):
             j = i + d - SHIFT  # x's first i words against y's first j
             if j < 0:
@@ -400,7 +413,7 @@ class Part:
         columns = unpack(entries, m)
         columns[5] = columns[5].astype(np.int64) + self.known
         self.columns.append(columns)
-        self.classes.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(sides, np.uint8)))
+        self.classes.append((values(ids, 8, np.int64), values(sizes, 4, np.int64), np.frombuffer(sides, np.uint8)))
         self.known += len(self.classes[-1][0])
 
     def pairs(self) -> Iterator[np.ndarray]:
@@ -412,7 +425,7 @@ class Part:
         self.columns, self.classes = [], []
         key = key.astype(np.uint64)
         for k in range(LONGEST - SEED):  # the words from the fourth to the eighth order suffixes that begin alike
-            key = key << np.uint64(4) | (after >> np.uint64(4 * k) & np.uint64(15))
+            key = key << np.uint64(WORD_BITS) | (after >> np.uint64(WORD_BITS * k) & np.uint64((1 << WORD_BITS) - 1))
         table = (key, after, before, code.astype(np.int64), owner, pos.astype(np.int64), n.astype(np.int64), ids)
         order = np.argsort(key, kind="stable")
         side = sides[owner[order]]
@@ -424,7 +437,7 @@ class Part:
     def _hits(self, t: np.ndarray, s: np.ndarray, key: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Segments t and suffixes s that begin with them, as far as lengths, places and the words beside them allow."""
         keys = key[s]
-        rest = (np.uint64(1) << (np.uint64(4) * (LONGEST - (code[t] & 15)).astype(np.uint64))) - np.uint64(1)
+        rest = (np.uint64(1) << (np.uint64(WORD_BITS) * (LONGEST - (code[t] & 15)).astype(np.uint64))) - np.uint64(1)
         first = np.searchsorted(keys, key[t] & ~rest)
         count = np.searchsorted(keys, key[t] | rest, side="right") - first
         t, first, count = t[count > 0], first[count > 0], count[count > 0]
@@ -448,20 +461,20 @@ class Part:
         """Whether at most one edit lies in the neighbouring segment, of which up to NEAR words are looked at."""
         c = code[i]
         size, back = c & 15, c & 32 > 0
-        move = np.uint64(4) * (size - SEED).astype(np.uint64)
+        move = np.uint64(WORD_BITS) * (size - SEED).astype(np.uint64)
         mine, other = (np.where(back, before[v], after[v] >> move) for v in (i, j))
         near = np.minimum(SEED + (c >> 4 & 1), np.where(back, BEFORE, AFTER + SEED - size) - 1)
         bits = np.zeros(len(i), np.int64)
-        for d, v in enumerate((mine ^ other, mine ^ (other >> np.uint64(4)), mine ^ (other << np.uint64(4)))):
+        for d, v in enumerate((mine ^ other, mine ^ (other >> np.uint64(WORD_BITS)), mine ^ (other << np.uint64(WORD_BITS)))):
             for k in range(NEAR):
-                bits |= ((v >> np.uint64(4 * k)) & np.uint64(15) == 0).astype(np.int64) << (d * NEAR + k)
+                bits |= ((v >> np.uint64(WORD_BITS * k)) & np.uint64((1 << WORD_BITS) - 1) == 0).astype(np.int64) << (d * NEAR + k)
         return ONE_EDIT[near, bits]
 
     @staticmethod
     def _four(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Whether at most three edits lie in the four segments (or one in a pair that is alone), as far as the words beside are known."""
         c = code[i]
-        move = np.uint64(4) * ((c & 15) - SEED).astype(np.uint64)
+        move = np.uint64(WORD_BITS) * ((c & 15) - SEED).astype(np.uint64)
         ahead = beside(after[i] >> move, after[j] >> move, np.minimum(c >> 8 & 15, AFTER - SHIFT + SEED - (c & 15)), AFTER - SHIFT)
         back = beside(before[i], before[j], np.minimum(c >> 12, BEFORE - SHIFT), BEFORE - SHIFT)
         return ahead + back <= np.where(c & 64 > 0, 1, SHIFT)
@@ -489,6 +502,15 @@ def candidates(texts: DataFrame, most_edits: float) -> DataFrame:
     return array.mapInArrow(search, struct).distinct()
 
 
+def beside_each_other(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
+    """pairs (a_id, b_id) with a column of both classes."""
+    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
+    some = cut(pick(texts.select("id", what), ids, "id", "left_semi"))
+    for x in ("a", "b"):
+        pairs = pairs.join(some.select(F.col("id").alias(f"{x}_id"), F.col(what).alias(f"{x}_{what}")), f"{x}_id")
+    return pairs
+
+
 def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", text: str = "generated_text", split: str = "split", least_words: int = 35, most_edits: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (train class, other class) within the edit bound, with edits and coverage; and the members of classes."""
     for n in range(least_words, least_words + 64):
@@ -496,9 +518,14 @@ def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", te
             raise ValueError(f"{most_edits} of {n} words edited leave segments of under {SEED} words")
     members, texts = classes(records, splits, key, text, split, least_words)
     pairs = cut(candidates(texts, most_edits))
-    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
-    some = cut(pick(texts.select("id", "body"), ids, "id", "left_semi"))
-    joined = pairs.join(some.select(F.col("id").alias("a_id"), F.col("body").alias("a_body")), "a_id").join(some.select(F.col("id").alias("b_id"), F.col("body").alias("b_body")), "b_id")
+    pairs = beside_each_other(pairs, texts, "marks")
+
+    def close(a_id: list, b_id: list, a: list, b: list) -> dict[str, list]:
+        ok = [k for k, (u, v) in enumerate(zip(a, b)) if distance(u, v) <= most_edits * max(len(u), len(v))]
+        return {"a_id": [a_id[k] for k in ok], "b_id": [b_id[k] for k in ok]}
+
+    pairs = cut(map_batches(pairs, ["a_id", "b_id", "a_marks", "b_marks"], close, "a_id bigint, b_id bigint"))
+    joined = beside_each_other(pairs, texts, "body")
 
     def fn(a_id: list, b_id: list, a_body: list, b_body: list) -> dict[str, list]:
         out: dict[str, list] = {"a_id": [], "b_id": [], "edits": [], "longer": [], "a_covered": [], "b_covered": []}
