@@ -1,15 +1,16 @@
-"""Problems 1 and 5: defective answers, and texts that a limit or a broken transfer cut.
-
-Problem 1 trains a multi-label linear classifier (one logistic model per label over the same hashed word n-grams and pair
-features) on a bounded sample of answers and on synthetic defects made from them: answers emptied, cut at a random
-character, replaced by a refusal, by a copy of their prefix, or by an answer to a prefix of another language. Thresholds are
-calibrated on held-out synthetic rows. Problem 5 tests, per source, the histograms of lengths in characters and bytes for
-spikes, and flags texts of a spike length that end openly; token budgets and texts shorter than what the model produced
-are tested in the same pass. A text that shows none of these is flagged only where its last words say that it stopped.
-
-Defined results: a null or blank answer, or one that is only a mark for no answer, is `empty` whatever its prefix is; a null
-prefix can give neither `copy` nor `other_language`; null lengths give no evidence; each record has at most one defect, the
-first of empty, refusal, copy, other_language, truncated; repeated rows are judged each; an empty table gives no rows.
+"""Problem 1: defective answers, each with its defect.
+
+A multi-label linear classifier (one logistic model per label over the same hashed word n-grams and pair features) is trained
+on a bounded sample of answers and on synthetic defects made from them: answers emptied, cut at a random character, replaced
+by a refusal, by a copy of their prefix, or by an answer to a prefix of another language. Pair features are measures, not
+verdicts: how much of the answer is copied and of the prefix repeated, how much more its words speak for another language than
+for the prefix's, how it stops and what of the evidence of problem 5 it has. Thresholds are calibrated on held-out rows. The
+classifier alone decides `empty`, `refusal`, `copy` and `other_language`; `truncated` is by its definition a case of problem 5,
+so that its operator's verdict follows the classifier's as an exact check.
+
+Defined results: a null or blank answer is `empty` whatever its prefix is; a null prefix can give neither `copy` nor
+`other_language`; null lengths give no evidence; each record has at most one defect, the first of empty, refusal, copy,
+other_language, truncated; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,30 +23,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import FUNCTION_WORDS, HashedLogit, best_threshold, bounded_sample, clean, cut, h32, language, map_batches, words
+from tidemill.llm import truncation
+from tidemill.llm.common import FUNCTION_WORDS, HashedLogit, best_threshold, bounded_sample, clean, copied, h32, language, language_scores, map_batches, words
 from tidemill.llm.shapes import JUNK, LIST, PROSE, TABLE, describe, majority
+from tidemill.llm.truncation import COLUMNS, FIRST_PERSON, EndModel, judge, tail_of
 
 LABELS = ("empty", "truncated", "refusal", "copy", "other_language")
 BITS = 15
 SAMPLE_ROWS = 2000
-LEAST_END = 0.88  # without any other evidence, the last words must say so this clearly
-
-NOTHING = re.compile(
-    r"^(?:[^\w]{0,6}|(?:[<\[(]{1,2}\|?/?(?:pad|eos|bos|s|unk|end|endoftext|end_of_text|im_end|im_start|empty|blank|null|none|no output|no answer|no response|no text|nothing)\|?[>\])]{1,2}\s*)++|[\"'(\[]?(?:null|none|nil|nan|n\s*/?\s*a|undefined|empty|no (?:answer|output|response|reply|text))[\"')\].]?)$",
-    re.I,
-)
-NOTHING_SQL = "(?iU)" + NOTHING.pattern
-MARK = re.compile(r"(?:\s*(?:[\[(<]?(?:\.{3}|…)[\])>]?|[\[<(](?:truncated|cut|cut off|snip|more|continued|omitted|end of buffer|eof)[\]>)]|�+))+\s*$", re.I)
-SIGNATURE = re.compile(r"\n\s*(?:[—–-]{1,2} ?[^\n]{1,60}|[A-Z]\w{2,15}: ?[\d./]{1,8}|#\w+(?: #\w+)*)\s*$")
+
 LABEL = re.compile(r"^\s*(?:[*#>]*\s*)?(?:[A-Z][\w ]{0,24}|[qa])\s*:\s+", re.I)
-SENTENCE_END = re.compile(r"[.!?]['\"”’)\]]*(?=\s)|\n")
 
 # Parts of the synthetic refusals.
 OPENINGS = ["", "", "", "I'm sorry, but ", "Sorry, ", "I apologize, but ", "Unfortunately, ", "Regrettably, ", "Hmm, ", "Hello! ", "Thanks for the passage. ", "Thank you for your message. ", "I am afraid that ", "My apologies, but "]
 INABILITIES = [
     "I {cannot} {verb} {object}", "I am {unable} {verb} {object}", "we are {unable} {verb} {object}", "I must decline to {verb} {object}", "I have to pass on this one; {object} is not something I can discuss",
     "it would not be appropriate for me to {verb} {object}", "as an AI language model I do not {verb} {object}", "my guidelines keep me from {ving} {object}", "this falls outside what I may assist with", "that is something I'd rather not produce",
-    "I don't feel comfortable {ving} {object}", "no continuation can be offered here, since {object} may break content rules", "I cannot provide a completion for {object}", "we are unable to generate a reply to {object}", "I can't help with that request", "I won't {verb} {object}", "I do not have the ability to {verb} {object}",
+    "I don't feel comfortable {ving} {object}", "no continuation can be offered here, since {object} may break content rules", "I cannot provide a completion for {object}", "we are unable to generate a reply to {object}", "I can't help with that request", "I won't {verb} {object}", "I won't be able to {verb} {object}", "I will not be able to assist with {ving} {object}", "I do not have the ability to {verb} {object}",
 ]
 UNABLE = ["not able to", "unable to", "not allowed to", "not in a position to", "not comfortable trying to"]
 CANNOT = ["cannot", "can't", "can not", "could not", "am unable to"]
@@ -75,100 +69,35 @@ def foreign(rng: random.Random, lang: str, nouns: list[str]) -> str:
     return " ".join(out)
 
 
-def ending(text: str) -> tuple[str, bool, bool]:
-    """The text without a closing mark of omission; whether there was one; whether it stops openly."""
-    tail = text.rstrip()
-    near = tail[-64:]
-    m = MARK.search(near)
-    if m:
-        tail = tail[: len(tail) - len(near) + m.start()].rstrip()
-    if not tail or SIGNATURE.search(tail[-90:]):
-        return tail, bool(m), False
-    last = tail[-1]
-    return tail, bool(m), last.isalnum() or last in ",;:-–—(“‘/&"
-
-
-def _shape(w: str) -> str:
-    if w[:1].isdigit():
-        return "#"
-    low = w.lower()
-    if len(low) <= 4 and low == w:
-        return low
-    return ("C" if w[:1].isupper() else "") + next((s for s in ("ed", "ly", "s") if low.endswith(s)), "x")
-
-
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[,;:—–(“”]")
-
-
-def end_features(tail: str, known: frozenset[str]) -> tuple[np.ndarray, list[float]]:
-    """Hashed and dense features of how a text stops: its last words, their shapes, and its last, unended sentence."""
-    part = tail[-400:]
-    stops = [m.end() for m in SENTENCE_END.finditer(part)]
-    sentence = TOKEN.findall(part[stops[-1] :] if stops and stops[-1] < len(part) else part)
-    ws = [w for w in sentence if w[0].isalnum()]
-    last = ws[-1] if ws else ""
-    low, shapes = [w.lower() for w in ws], [_shape(w) for w in sentence]
-    n = len(ws)
-    verbs = sum(1 for w in low[:-1] if w.endswith("ed") or w in ("was", "were", "is", "are", "had", "has"))
-    f = [f"1{low[-1]}" if ws else "0", "2" + " ".join(low[-2:]), "3" + " ".join(low[-3:]), f"e{last[-3:]}", f"E{last[-2:]}", f"n{min(n, 14)}", f"v{min(verbs, 3)}", f"l{min(len(last), 9)}"]
-    for k in (1, 2, 3, 4, 5):
-        f.append(f"s{k} " + " ".join(shapes[-k:]))
-    f.append(f"nv{min(n, 10)} {min(verbs, 3)}")
-    f.append(f"w{(low[0] if low else '')} {min(n, 10)} {min(verbs, 2)}")
-    unknown = bool(last) and last.lower() not in known and not last[:1].isdigit()
-    dense = [unknown and not last[:1].isupper(), unknown and last[:1].isupper(), unknown and len(last) < 4, bool(sentence) and not sentence[-1][0].isalnum(), min(n, 40) / 20.0, not ws]
-    return np.array([h32(x) & ((1 << BITS) - 1) for x in f], dtype=np.int64), [float(x) for x in dense]
-
-
-def copied(answer: list[str], prefix: list[str], have: frozenset[str]) -> tuple[float, float]:
-    """Share of the answer's words in long runs that are also runs of the prefix; the longest one's share of the prefix."""
-    if len(answer) < 5 or len(prefix) < 5:
-        return 0.0, 0.0
-    if sum(map(have.__contains__, answer)) < 0.7 * min(len(answer), len(prefix)):
-        return 0.0, 0.0
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(prefix):
-        where.setdefault(w, []).append(j)
-    best, before, ends = 0, {}, [0] * len(answer)
-    for i, w in enumerate(answer):
-        now = {}
-        for j in where.get(w, ()):
-            now[j] = k = before.get(j - 1, 0) + 1
-            if k > ends[i]:
-                ends[i] = k
-        best = max(best, ends[i])
-        before = now
-    covered, to = 0, len(answer)
-    for i in range(len(answer) - 1, -1, -1):
-        if ends[i] >= 6 or ends[i] == best:
-            covered += max(0, min(to, i + 1) - max(0, i + 1 - ends[i]))
-            to = min(to, i + 1 - ends[i])
-    return covered / len(answer), best / len(prefix)
+def no_answer(rng: random.Random) -> str:
+    """A mark or token that stands for no answer."""
+    what = rng.choice(["null", "none", "nil", "nan", "n/a", "na", "undefined", "empty", "no answer", "no output", "no response", "no reply", "no text", "blank", "pad", "eos", "s", "/s", "|endoftext|", "|end|", "-", "--", "...", "…", ".", '""', "''", "[]", "{}", "()", "?", "*", "_", "", " ", "\n", "\t", "\n\n"])
+    if what[:1].isalpha() or what[:1] in "/|":
+        what = rng.choice([what, what, what.upper(), what.capitalize()])
+        a, b = rng.choice([("<", ">"), ("[", "]"), ("(", ")"), ("", "")] if what[:1].isalpha() and len(what) > 1 else [("<", ">")])
+        what = (a + what + b) * (rng.choice([1, 1, 2, 3]) if a == "<" else 1)
+    return what + rng.choice(["", "", "\n", " "])
+
+
+def junk(rng: random.Random) -> str:
+    """Characters that nobody could read: not an answer, but not for want of one."""
+    signs = rng.choice(["<>~_*#|/\\\\+=-^", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+    return "\n".join("".join(rng.choice(signs) for _ in range(rng.randrange(12, 80))) for _ in range(rng.randrange(2, 9)))
 
 
 @dataclass
 class Row:
-    """What is known of one answer."""
+    """What the classifier sees of one answer."""
 
     grams: np.ndarray
     dense: list[float]
-    n_chars: int
-    n_bytes: int
-    kind: int
-    mark: bool
-    open: bool
-    end: tuple[np.ndarray, list[float]] | None
-    raw: float
     tokens: list[str]
-    nothing: bool
-    mismatch: bool
+    kind: int
+    gap: float
     copy: tuple[float, float]
 
 
-FIRST_PERSON = frozenset("i im i'm we my me you your us our am".split())
-N_DENSE = 15
-
-
+N_DENSE = 25
 _prefixes: dict[str, tuple[list[str], frozenset[str], str, float]] = {}
 
 
@@ -184,21 +113,15 @@ def _prefix(prefix: str) -> tuple[list[str], frozenset[str], str, float]:
     return v
 
 
-def observe(prefix: str | None, text: str | None, completion: int | None, known: frozenset[str], per_token: float) -> Row:
-    raw_text = text or ""
-    body = clean(raw_text)
+def observe(prefix: str | None, text: str | None, p_end: float, is_open: bool, evidence: tuple[bool, ...]) -> Row:
+    """evidence: at a spike, at the budget, shorter than produced, a mark of omission (of problem 5)."""
+    body = clean(text or "")
     stripped = body.strip()
-    nothing = not stripped or bool(NOTHING.match(stripped))
     _, votes, tokens = describe(body)
     kind = majority(votes)
-    tail, mark, is_open = ("", False, False) if nothing else ending(body)
-    n = len(raw_text)
-    raw = 0.0
-    if completion and n:
-        raw = float(completion) if completion >= 0.97 * n else completion * per_token
-    cov = share = 0.0
-    mismatch = False
-    if prefix and not nothing:
+    nw = len(tokens)
+    cov = share = gap = 0.0
+    if prefix and tokens:
         p, have, lp, sp = _prefix(prefix)
         a = tokens
         m = LABEL.match(body)
@@ -207,127 +130,101 @@ def observe(prefix: str | None, text: str | None, completion: int | None, known:
         cov, share = copied(a, p, have)
         if cov > 0.5 and (m2 := LABEL.match(clean(prefix))) and m2.end() < 30:
             share = share * len(p) / max(1, len(words(clean(prefix)[m2.end() :])))
-        if kind != JUNK and (len(tokens) >= 6 or not body.isascii()):
-            la, sa = language(body, tokens)
-            mismatch = bool(la and lp and la != lp and sa >= 0.12 and sp >= 0.12)
-    excess = raw > n * (1.02 if completion and completion >= 0.97 * n else 1.06) + 6
-    nw = len(tokens)
+        if kind != JUNK and lp and sp >= 0.12:
+            scores = language_scores(body, tokens)
+            if scores:
+                gap = max(0.0, max(scores.values()) - scores.get(lp, 0.0))
     ids = np.array(list(map(h32, tokens)), dtype=np.int64)
-    grams = np.concatenate([ids, (ids[:-1] * 31 + ids[1:] * 17 + 5)]) & ((1 << BITS) - 1) if nw > 1 else ids & ((1 << BITS) - 1)
+    grams = np.concatenate([ids, (ids[:-1] * 31 + ids[1:] * 17 + 5)]) if nw > 1 else ids
+    if len(stripped) <= 40:  # the whole of a short answer, and what it is made of
+        low = "".join(stripped.lower().split())
+        grams = np.concatenate([grams, np.array([h32(f"whole {low}"), h32(f"marks {''.join(c for c in low if not c.isalnum())}"), h32(f"few {min(nw, 6)}")], dtype=np.int64)])
     person = sum(1 for t in tokens if t in FIRST_PERSON) / max(1, nw)
-    dense = [float(nothing), 1.0 / (1.0 + nw / 15.0), person * 4, cov, share, cov * min(1.0, share * 2), float(mismatch), float(mark and is_open), float(is_open), float(excess and is_open), float(kind == PROSE), float(kind == LIST), float(kind in (TABLE, JUNK)), 0.0, min(1.0, person * 6) / (1.0 + nw / 15.0) if nw < 60 else 0.0]
-    end = end_features(tail, known) if is_open else None
-    return Row(grams, dense, n, len(raw_text.encode("utf-8", "replace")), kind, mark, is_open, end, raw, tokens, nothing, mismatch, (cov, share))
+    p_end = min(0.999, max(0.001, p_end)) if is_open else 0.001
+    said = is_open and any(evidence)
+    spike, budget, excess, mark = (float(x and is_open) for x in evidence)
+    enough = min(1.0, nw / 8.0)
+    dense = [
+        float(nw == 0), 1.0 / (1.0 + nw / 15.0), 1.0 / (1.0 + nw), person * 4, min(1.0, person * 6) / (1.0 + nw / 15.0) if nw < 60 else 0.0,
+        cov, min(share, 1.5), cov * min(1.0, share * 2), max(0.0, cov - 0.8) * 5 * min(1.0, share * 2.5), min(gap * 4, 2.0) * enough, float(gap > 0.0),
+        min(1.0, len(stripped) / 40), float(is_open), float(np.log(p_end / (1 - p_end))) / 4, spike, budget, excess, mark, float(said and kind == PROSE), float(said and kind == LIST),
+        float(kind == PROSE), float(kind == LIST), float(kind in (TABLE, JUNK)), float(is_open and kind in (TABLE, JUNK)), p_end * (1 - said) * (kind == PROSE) * is_open,
+    ]
+    return Row(grams & ((1 << BITS) - 1), [float(x) for x in dense], tokens, kind, gap * enough, (cov, share))
+
+
+def plainly_open(text: str) -> bool:
+    tail = tail_of(text)
+    return bool(tail) and (tail[-1].isalnum() or tail[-1] in ",;:-–—(“‘/&")
 
 
 class AnswerModels:
-    """The end-of-text model, the five label models with their thresholds, and the characters per token."""
+    """The end-of-text model, and the five label models with their thresholds."""
 
     def __init__(self, sample: list[tuple], seed: int = 11):
-        """sample: bounded rows (prefix, text, completion_length, max_new_tokens)."""
+        """sample: bounded rows (prefix, text, is_open, evidence)."""
         rng = random.Random(seed)
         pairs = [r for r in sample if r[0] and r[1]]
-        ratios = [len(t) / c for _, t, c, _ in pairs if c and c >= 20 and 2.5 <= len(t) / c <= 8.0]
-        self.per_token = float(np.median(ratios)) if len(ratios) >= 20 else 4.3
-        good = [(p, t, c) for p, t, c, _ in pairs if majority(describe(t)[1]) == PROSE and len(t) > 60 and t.rstrip()[-1] in ".!?。" and "�" not in t]
-        counts: dict[str, int] = {}
-        for p, t, *_ in pairs:
-            for w in words(p):
-                counts[w] = counts.get(w, 0) + 1
-            for w in words(t)[:-1]:
-                counts[w] = counts.get(w, 0) + 1
-        self.known = frozenset(counts)
-        self._fit_end(good, rng)
-        self._fit_labels(good, pairs, rng)
-    
-    def _fit_end(self, good: list[tuple], rng: random.Random) -> None:
-        rows, dense, y = [], [], []
-        for i, (_, t, _) in enumerate(good):
-            t = clean(t).rstrip()
-            stops = [m.start() for m in SENTENCE_END.finditer(t + " ") if m.start() > 20 and t[m.start()] != "\n"]
-            # Half of the texts teach with the words that the others know, as the words of new texts are partly new.
-            for _ in range(2):
-                k = rng.randrange(max(20, len(t) // 4), len(t))
-                piece = t[:k].rstrip()
-                if piece and (piece[-1].isalnum() or piece[-1] in ",;:"):
-                    f, d = end_features(piece, self.known)
-                    rows.append(f), dense.append(d), y.append(1.0)
-            for _ in range(2):
-                if stops:
-                    k = rng.choice(stops)
-                    piece = t[:k]
-                    if piece and piece[-1].isalnum():
-                        f, d = end_features(piece, self.known)
-                        rows.append(f), dense.append(d), y.append(0.0)
-        self.end = HashedLogit(BITS, 6, l2=1e-4)
-        self.end_threshold = 0.5
-        if y:
-            dense_a, y_a = np.array(dense), np.array(y)
-            held = np.arange(len(y)) % 5 == 0
-            keep = np.flatnonzero(~held)
-            self.end.fit([rows[i] for i in keep], dense_a[keep], y_a[keep], epochs=8)
-            p = self.end.scores([rows[i] for i in np.flatnonzero(held)], dense_a[held])
-            self.end_accuracy = float(((p > 0.5) == y_a[held]).mean())
-
-    def _end(self, row: Row) -> float:
-        if row.end is None:
-            return 0.0
-        return float(self.end.scores([row.end[0]], np.array([row.end[1]]))[0])
-
-    def _fit_labels(self, good: list[tuple], pairs: list[tuple], rng: random.Random) -> None:
+        self.ends = EndModel([(p, t) for p, t, *_ in pairs])
+        self._fit(pairs, rng)
+
+    def _fit(self, pairs: list[tuple], rng: random.Random) -> None:
         data: list[tuple[Row, set[str]]] = []
-        nouns = [w for w in sorted(self.known) if w.isalpha() and len(w) > 4] or ["story"]
+        nouns = [w for w in sorted(self.ends.known) if w.isalpha() and len(w) > 4] or ["story"]
+        good = [(p, t) for p, t, *_ in pairs if len(t) > 60 and t.rstrip()[-1:] in tuple(".!?。") and "�" not in t and majority(describe(t)[1]) == PROSE]
+        nothing = (False,) * 4
 
-        def add(p: str, t: str, c: int | None, *labels: str) -> None:
-            row = observe(p, t, c, self.known, self.per_token)
-            row.dense[13] = self._end(row)
-            data.append((row, set(labels)))
+        def add(p: str, t: str, evidence: tuple[bool, ...], *labels: str) -> None:
+            is_open = plainly_open(t)
+            p_end = float(self.ends.scores([tail_of(clean(t))])[0]) if is_open else 0.0
+            data.append((observe(p, t, p_end, is_open, evidence), set(labels)))
 
         by_lang: dict[str, list[tuple]] = {}
         for g in good:
             by_lang.setdefault(language(g[0], words(g[0]))[0], []).append(g)
-        marks = ["null", "None", "N/A", "-", "...", '""', "[]", "</s>", "<pad><pad>", "<|endoftext|>", "(no output)", "", " ", "\n", "nan", "n/a", "."]
         markers = ["...", " …", " [...]", " [truncated]", " <cut>", "…"]
-        for i, (p, t, c) in enumerate(good):
+        for i, (p, t) in enumerate(good):
             name = rng.choice(t.split())
-            same = observe(p, t, c, self.known, self.per_token)
-            if same.mismatch or same.copy[0] > 0.8:
+            same = observe(p, t, 0.0, False, nothing)
+            if same.gap > 0.1 or same.copy[0] > 0.8:
                 continue
-            add(p, t, c)
-            add(p, rng.choice(LEAD_INS).format(name=name) + t, None)
+            own = language(p, words(p))[0]
+            add(p, t, nothing)
+            add(p, rng.choice(LEAD_INS).format(name=name) + t, nothing)
             if rng.random() < 0.5:
-                add(p, t.rstrip().rstrip(".!?。"), len(t))
-            if i % 3 == 0:
-                add(p, rng.choice(marks), rng.choice([0, 1, 2, None]), "empty")
+                add(p, t.rstrip().rstrip(".!?。"), (False, False, rng.random() < 0.05, False))
+            if i % 2 == 0:
+                add(p, no_answer(rng), nothing, "empty")
+            if i % 6 == 0:  # short answers that say something
+                add(p, " ".join(rng.choice(nouns) for _ in range(rng.randrange(1, 4))).capitalize() + rng.choice([".", "", "!"]), nothing)
+                add(p, junk(rng), nothing)
             for _ in range(2):
-                add(p, refusal(rng, rng.choice(nouns)), None, "refusal")
-            k = rng.randrange(max(20, len(t) // 4), len(t))
-            piece = t[:k].rstrip()
+                add(p, refusal(rng, rng.choice(nouns)), nothing, "refusal")
+            piece = t[: rng.randrange(max(20, len(t) // 4), len(t))].rstrip()
             if piece[-1].isalnum():
-                lost = rng.random()
-                add(p, piece + (rng.choice(markers) if rng.random() < 0.25 else ""), len(t) if lost < 0.5 else len(piece) if lost < 0.9 else None, "truncated")
+                marked = rng.random() < 0.25
+                where = rng.random()
+                add(p, piece + (rng.choice(markers) if marked else ""), (where < 0.2, 0.2 <= where < 0.5, where >= 0.5 and rng.random() < 0.8, marked), "truncated")
             if i % 2 == 0:
                 start = 0 if rng.random() < 0.5 else len(p) * rng.randrange(40, 56) // 100
-                add(p, ("Answer: " if rng.random() < 0.2 else "") + p[start:].strip(), None, "copy")
-                first = p.split(". ")[0] + ". "
-                add(p, first + t, None)
-            others = [k for k in by_lang if k and k != language(p, words(p))[0]]
-            if i % 2 or i % 8 == 0:
+                add(p, ("Answer: " if rng.random() < 0.2 else "") + p[start:].strip(), nothing, "copy")
+                add(p, p.split(". ")[0] + ". " + t, nothing)
+                add(p, p[: len(p) // 3] + " " + t[len(t) // 4 :], nothing)
+            others = [k for k in by_lang if k and k != own]
+            if own and (i % 2 or i % 8 == 0):
                 if others and i % 8:
                     o = rng.choice(by_lang[rng.choice(others)])
                 else:
-                    own = language(p, words(p))[0]
-                    o = (p, foreign(rng, rng.choice([k for k in sorted(FUNCTION_WORDS) if k != own]), nouns), None)
-                if i % 8 in (0, 3, 7):  # the other way round: this answer to a prefix of another language
-                    turned = o[1] if o[0] == p else o[0]
-                    add(turned, t, c, *(["other_language"] if observe(turned, t, c, self.known, self.per_token).mismatch else []))
-                lead = "Here is the text: " if rng.random() < 0.2 else ""
-                add(p, lead + o[1], o[2], *(["other_language"] if observe(p, o[1], None, self.known, self.per_token).mismatch else []))
-        for p, t, c, _ in pairs:  # texts that aren't prose, and have none of these defects for that
-            row = observe(p, t, c, self.known, self.per_token)
-            if row.kind != PROSE and not row.nothing and not row.open:
-                row.dense[13] = self._end(row)
-                data.append((row, set()))
+                    o = (p, foreign(rng, rng.choice([k for k in sorted(FUNCTION_WORDS) if k != own]), nouns))
+                if i % 8 in (0, 3, 7) and o[0] != p:  # the other way round: this answer to a prefix of another language
+                    add(o[0], t, nothing, "other_language")
+                add(p, ("Here is the text: " if rng.random() < 0.2 else "") + o[1], nothing, "other_language")
+        for p, t, is_open, evidence in pairs:  # texts that aren't prose, and open ends as they are, judged by problem 5
+            p_end = float(self.ends.scores([tail_of(clean(t))])[0]) if is_open else 0.0
+            row = observe(p, t, p_end, is_open, evidence)
+            if row.tokens and len(row.tokens) >= 12 and row.gap < 0.1 and row.copy[0] < 0.8 and (row.kind != PROSE or is_open):
+                cut_ = is_open and judge(p, t, p_end, evidence) is not None
+                data.append((row, {"truncated"} if cut_ else set()))
         rows = [r.grams for r, _ in data]
         dense = np.array([r.dense for r, _ in data]) if data else np.zeros((0, N_DENSE))
         held = np.arange(len(data)) % 4 == 0
@@ -345,6 +242,8 @@ class AnswerModels:
                     m = HashedLogit(BITS, N_DENSE, l2=1e-4).fit([rows[i] for i in use], dense[use], y[use], epochs=6)
                 p = m.scores([rows[i] for i in held_out], dense[held_out])
                 self.thresholds[label] = best_threshold(p, y[held_out])
+                if label == "truncated":  # an exact check follows, so that the scores only have to find nearly all
+                    self.thresholds[label] = min(self.thresholds[label], 0.5 * float(np.quantile(p[y[held_out] > 0], 0.005)))
                 hit = p >= self.thresholds[label]
                 self.quality[label] = (float((hit & (y[held_out] > 0)).sum() / max(1, hit.sum())), float((hit & (y[held_out] > 0)).sum() / max(1, y[held_out].sum())))
             else:
@@ -352,93 +251,44 @@ class AnswerModels:
             self.models[label] = m
 
 
-def fit_models(df: DataFrame, key: str = "record_id", prefix: str = "human_prefix", text: str = "generated_text", completion: str = "completion_length", budget: str = "max_new_tokens", sample_rows: int = SAMPLE_ROWS) -> AnswerModels:
+def fit_models(df: DataFrame, sample_rows: int = SAMPLE_ROWS, **columns: str) -> AnswerModels:
     """Fit on at most sample_rows rows, whatever the table's size."""
-    df = df.where(F.col(prefix).isNotNull() & F.col(text).isNotNull())
-    rows = bounded_sample(df, key, [key, prefix, text, completion, budget], sample_rows)
-    rows.sort(key=lambda r: str(r[0]))
-    return AnswerModels([(r[1], r[2], r[3], r[4]) for r in rows])
+    return _fit(truncation.observed(df, **(COLUMNS | columns)), sample_rows)
 
 
-FACTS = "n_chars bigint, n_bytes bigint, kind int, mark boolean, is_open boolean, excess boolean, nothing boolean, is_copy boolean, mismatch boolean, p_end double, p_empty double, p_truncated double, p_refusal double, p_copy double, p_other_language double"
+def _fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AnswerModels:
+    some = rows.where("prefix is not null and text is not null")
+    got = bounded_sample(some, "record_key", ["record_key", "prefix", "text", "is_open", *truncation.ROUTES[:4]], sample_rows)
+    got.sort(key=lambda r: str(r[0]))
+    return AnswerModels([(r[1], r[2], bool(r[3]), tuple(map(bool, r[4:]))) for r in got])
 
 
-def facts(df: DataFrame, models: AnswerModels, key: str, source: str, prefix: str, text: str, completion: str, budget: str) -> DataFrame:
-    """One narrow row per record, with the classifier's scores: all that both problems need of the texts."""
-    broadcast = df.sparkSession.sparkContext.broadcast(models)
+def scored(rows: DataFrame, models: AnswerModels, kind: str) -> DataFrame:
+    """The score of each label, and whether the record is a case of problem 5; rows as truncation.observed gives them."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
-    def fn(ids: list, sources: list, prefixes: list, texts: list, completions: list, budgets: list) -> dict[str, list]:
-        m = broadcast.value
-        rows = [observe(p, t, c, m.known, m.per_token) for p, t, c in zip(prefixes, texts, completions)]
-        ends = [i for i, r in enumerate(rows) if r.end is not None]
-        if ends:
-            p = m.end.scores([rows[i].end[0] for i in ends], np.array([rows[i].end[1] for i in ends]))
-            for i, x in zip(ends, p):
-                rows[i].dense[13] = float(x)
-        grams, dense = [r.grams for r in rows], np.array([r.dense for r in rows])
+    def fn(ids: list, prefixes: list, texts: list, opens: list, *flags: list) -> dict[str, list]:
+        m = shared.value
+        p_end = np.zeros(len(ids))
+        at = [i for i, o in enumerate(opens) if o]
+        p_end[at] = m.ends.scores([tail_of(clean(texts[i])) for i in at])
+        evidence = list(zip(*flags))
+        seen = [observe(p, t, e, o, ev) for p, t, e, o, ev in zip(prefixes, texts, p_end.tolist(), opens, evidence)]
+        grams, dense = [r.grams for r in seen], np.array([r.dense for r in seen])
         out = {f"p_{label}": m.models[label].scores(grams, dense).tolist() for label in LABELS}
-        return out | {
-            "record_key": ids, "source": [str(s) if s is not None else "" for s in sources], "completion": completions, "budget": budgets,
-            "n_chars": [r.n_chars for r in rows], "n_bytes": [r.n_bytes for r in rows], "kind": [r.kind for r in rows], "mark": [r.mark for r in rows], "is_open": [r.open for r in rows],
-            "excess": [bool(r.dense[9]) for r in rows], "nothing": [r.nothing for r in rows], "is_copy": [r.copy[0] >= 0.88 and r.copy[1] >= 0.4 for r in rows], "mismatch": [r.mismatch for r in rows], "p_end": [r.dense[13] for r in rows],
-        }
-
-    kind = df.schema[key].dataType.simpleString()
-    df = df.select(F.col(key), F.col(source), F.col(prefix), F.col(text), F.col(completion).cast("bigint").alias("_completion"), F.col(budget).cast("bigint").alias("_budget"))
-    return map_batches(df, df.columns, fn, f"record_key {kind}, source string, completion bigint, budget bigint, {FACTS}")
-
-
-def length_spikes(rows: DataFrame, least: int = 5, times: float = 6.0, reach: int = 12) -> DataFrame:
-    """Lengths, per source and measure, at which far more texts end openly than at the lengths around.
-
-    The histograms are counted over all rows; what is left of them has a row per source, measure and length.
-    """
-    long = rows.where("is_open").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))).alias("x")).select("source", "x.measure", "x.length")
-    histogram = long.groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
-    shifts = histogram.select("source", "measure", "length", F.col("n").alias("other"), F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k])).alias("shift"))
-    near = shifts.select("source", "measure", (F.col("length") + F.col("shift")).alias("length"), "other")
-    around = near.groupBy("source", "measure", "length").agg((F.sum("other") / (2 * reach)).alias("expected"))
-    joined = histogram.join(around, ["source", "measure", "length"], "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
-    return joined.where((F.col("n") >= least) & (F.col("n") >= times * (F.col("expected") + 0.5)))
-
-
-def judged(df: DataFrame, models: AnswerModels, key: str, source: str, prefix: str, text: str, completion: str, budget: str) -> DataFrame:
-    """The facts of each record with the evidence of problem 5: at a spike, at the budget, shorter than produced, marked."""
-    rows = cut(facts(df, models, key, source, prefix, text, completion, budget))
-    spikes = length_spikes(rows)
-    for measure in ("chars", "bytes"):
-        s = spikes.where(F.col("measure") == measure).select("source", F.col("length").alias(f"n_{measure}"), F.lit(True).alias(f"spike_{measure}"))
-        rows = rows.join(s, ["source", f"n_{measure}"], "left")
-    fill = F.col("n_chars") / (F.col("budget") * F.lit(models.per_token))
-    at_budget = F.coalesce((F.abs(fill - 1) <= 0.04) | ((F.col("completion") == F.col("budget")) & (F.abs(fill - 1) <= 0.12)), F.lit(False))
-    rows = rows.withColumn("spike", F.coalesce("spike_chars", "spike_bytes", F.lit(False))).withColumn("at_budget", at_budget)
-    evidence = F.col("spike") | F.col("at_budget") | F.col("excess") | F.col("mark")
-    stops = F.when(F.col("kind") == PROSE, (evidence & (F.col("p_end") > 0.02)) | (F.col("p_truncated") >= F.lit(models.thresholds["truncated"])) & (F.col("p_end") >= LEAST_END)).when(F.col("kind") == LIST, evidence).otherwise(F.lit(False))
-    refused = F.col("p_refusal") >= F.lit(models.thresholds["refusal"])
-    return rows.withColumn("refused", refused).withColumn("is_cut", F.col("is_open") & stops & ~F.col("nothing") & ~F.col("is_copy") & ~F.col("refused"))
-
-
-COLUMNS = {"key": "record_id", "source": "dataset_name", "prefix": "human_prefix", "text": "generated_text", "completion": "completion_length", "budget": "max_new_tokens"}
-
-
-def truncated(df: DataFrame, models: AnswerModels | None = None, **columns: str) -> DataFrame:
-    """Problem 5: each record with `is_cut` and the evidence for it."""
-    c = COLUMNS | columns
-    models = models or fit_models(df, c["key"], c["prefix"], c["text"], c["completion"], c["budget"])
-    return judged(df, models, **c).select(F.col("record_key").alias(c["key"]), "source", "n_chars", "n_bytes", "spike", "at_budget", "excess", "mark", "p_end", "is_cut")
+        return out | {"record_key": ids, "is_cut": [bool(o) and judge(p, t, e, ev) is not None for p, t, o, e, ev in zip(prefixes, texts, opens, p_end.tolist(), evidence)]}
+
+    return map_batches(rows, ["record_key", "prefix", "text", "is_open", *truncation.ROUTES[:4]], fn, f"record_key {kind}, is_cut boolean" + "".join(f", p_{label} double" for label in LABELS))
 
 
 def defects(df: DataFrame, models: AnswerModels | None = None, **columns: str) -> DataFrame:
-    """Problem 1: each record with its defect (null where it has none) and the score of each label."""
+    """Each record with its defect (null where it has none) and the score of each label."""
     c = COLUMNS | columns
-    models = models or fit_models(df, c["key"], c["prefix"], c["text"], c["completion"], c["budget"])
+    rows = truncation.observed(df, **c)
+    models = models or _fit(rows)
     over = {label: F.col(f"p_{label}") >= F.lit(models.thresholds[label]) for label in LABELS}
-    rows = judged(df, models, **c)
     defect = (
-        F.when(over["empty"] & F.col("nothing"), "empty")
-        .when(F.col("refused"), "refusal")
-        .when(over["copy"] & F.col("is_copy"), "copy")
-        .when(over["other_language"] & F.col("mismatch"), "other_language")
-        .when(F.col("is_cut"), "truncated")
-    )
-    return rows.select(F.col("record_key").alias(c["key"]), defect.alias("defect"), *[f"p_{label}" for label in LABELS])
+        F.when(over["empty"], "empty").when(over["refusal"], "refusal").when(over["copy"], "copy")
+        .when(over["other_language"], "other_language").when(over["truncated"] & F.col("is_cut"), "truncated")
+    )
+    return scored(rows, models, df.schema[c["key"]].dataType.simpleString()).select(F.col("record_key").alias(c["key"]), defect.alias("defect"), *[f"p_{label}" for label in LABELS])

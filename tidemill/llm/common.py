@@ -12,10 +12,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INVISIBLE = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁤⁦-⁩︀-️﻿]")
 WORD = re.compile(r"[^\W_]+")
 
+# Marks and tokens that stand for no answer.
+NOTHING = re.compile(
+    r"^(?:[^\w]{0,6}|(?:[<\[(]{1,2}\|?/?(?:pad|eos|bos|s|unk|end|endoftext|end_of_text|im_end|im_start|empty|blank|null|none|no output|no answer|no response|no text|nothing)\|?[>\])]{1,2}\s*)++|[\"'(\[]?(?:null|none|nil|nan|n\s*/?\s*a|undefined|empty|no (?:answer|output|response|reply|text))[\"')\].]?)$",
+    re.I,
+)
+NOTHING_SQL = "(?iU)" + NOTHING.pattern
+
 # Frequent function words of each language.
 FUNCTION_WORDS = {
     "en": "the a an and of to in is was were be been it its that which who this these those for with by on at from as had have has not but or nor his her their our your he she they we you him them us me my there every each any some no both many most few several while after before until since because although so when would must may might could can if then than into near under over why what how i am are do does did will".split(),
@@ -53,22 +61,54 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(clean(text).lower()) if text else []
 
 
-def language(text: str, tokens: list[str]) -> tuple[str, float]:
-    """Main language of a text and the share of its words that speak for it; ("", 0) where nothing does."""
+def language_scores(text: str, tokens: list[str]) -> dict[str, float]:
+    """The share of a text's words (of its letters, for other scripts) that speak for each language; none where nothing does."""
     if not text.isascii():
         letters = max(1, sum(map(str.isalpha, text)))
         for lang, pattern in (("ja", _KANA), ("ko", _HANGUL), ("zh", _HAN), ("ru", _CYRILLIC), ("el", _GREEK), ("ar", _ARABIC)):
             n = len(pattern.findall(text))
             if n > 0.4 * letters or lang == "ja" and n > 0.1 * letters:
-                return lang, n / letters
+                return {lang: n / letters}
     scores: dict[str, float] = {}
     for by in filter(None, map(_WEIGHTS.get, tokens)):
         for lang, w in by:
             scores[lang] = scores.get(lang, 0.0) + w
+    return {lang: v / len(tokens) for lang, v in scores.items()}
+
+
+def language(text: str, tokens: list[str]) -> tuple[str, float]:
+    """Main language of a text and the share of its words that speak for it; ("", 0) where nothing does."""
+    scores = language_scores(text, tokens)
     if not scores:
         return "", 0.0
     lang = max(scores, key=lambda k: (scores[k], k == "en", k))
-    return lang, scores[lang] / len(tokens)
+    return lang, scores[lang]
+
+
+def copied(answer: list[str], prefix: list[str], have: frozenset[str]) -> tuple[float, float]:
+    """Share of the answer's words in long runs that are also runs of the prefix; the longest one's share of the prefix."""
+    if len(answer) < 5 or len(prefix) < 5:
+        return 0.0, 0.0
+    if sum(map(have.__contains__, answer)) < 0.7 * min(len(answer), len(prefix)):
+        return 0.0, 0.0
+    where: dict[str, list[int]] = {}
+    for j, w in enumerate(prefix):
+        where.setdefault(w, []).append(j)
+    best, before, ends = 0, {}, [0] * len(answer)
+    for i, w in enumerate(answer):
+        now = {}
+        for j in where.get(w, ()):
+            now[j] = k = before.get(j - 1, 0) + 1
+            if k > ends[i]:
+                ends[i] = k
+        best = max(best, ends[i])
+        before = now
+    covered, to = 0, len(answer)
+    for i in range(len(answer) - 1, -1, -1):
+        if ends[i] >= 6 or ends[i] == best:
+            covered += max(0, min(to, i + 1) - max(0, i + 1 - ends[i]))
+            to = min(to, i + 1 - ends[i])
+    return covered / len(answer), best / len(prefix)
 
 
 class _Hashes(dict):
@@ -124,15 +164,15 @@ class HashedLogit:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 on held-out rows; the middle of the gap between neighbouring scores."""
+    """The threshold with the best F1 on held-out rows; in the gap between neighbouring scores, as near to a half as that allows."""
     if not len(p) or not y.any():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
     k = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[-1])
-    low = p[order][k + 1] if k + 1 < len(p) else 0.0
-    return float(min(0.95, max(0.05, (p[order][k] + low) / 2)))
+    high, low = float(p[order][k]), float(p[order][k + 1]) if k + 1 < len(p) else 0.0
+    return min(max(0.5, low + 0.1 * (high - low)), high - 0.1 * (high - low))
 
 
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: str, init: Callable[[], object] | None = None) -> DataFrame:
@@ -154,10 +194,12 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, l
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
+    """Use the shared folder that the cluster names; one of this machine only where all of Spark runs on it, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
 
 
@@ -176,13 +218,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_BROADCAST = 100_000
+
+
+def attach(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows left join few (one row per key): few is cut and counted first, and broadcast only if it has at most MOST_BROADCAST rows."""
+    few = cut(few)
+    return rows.join(F.broadcast(few) if few.count() <= MOST_BROADCAST else few, on, "left")
+
+
 def bounded_sample(df: DataFrame, key: str, columns: list[str], rows: int) -> list:
     """At most `rows` rows in the order of a hash of the key: the same whatever the partitioning, spread over all rows.
 
     Rows are thinned by the same hash before they are ordered, so that what the tasks send to the driver is bounded too.
     """
-    from pyspark.sql import functions as F
-
     steps = 1 << 20
     place = F.pmod(F.xxhash64(key), F.lit(steps))
     n = df.count()

@@ -7,10 +7,12 @@ graph shrinks by a constant factor a round, so there are O(log n) rounds; each i
 thing that a large part of all rows share is a plain partial aggregation and, on the way back, a broadcast of its one row:
 at most rows / HOT things can be that hot, which bounds the broadcast.
 
-Splits are made by grouped iterative stratification. Large components (over 1/2000 of the rows, so at most 2000) stand for
-themselves; smaller ones are bundled by their rarest label and a hash into at most BUNDLES bundles, so that what reaches
-the driver is bounded at every size. Repeatedly, the rarest label that is still outstanding is chosen, and the largest
-component or bundle with it goes to the split that needs that label most.
+Splits are made by grouped iterative stratification. Components are placed whole, by their real label vectors; those with the
+same vector are dealt together, by count, as the one-by-one rule would deal them: the rarest outstanding label first, its
+largest components first, each to the split that needs that label most. Only distinct vectors reach the task that places them,
+never components. Beyond `most_vectors` distinct ones, they are placed in that many independent groups, each in the given
+proportions. A label vector must fit in a row. Which components of a vector go to which split is a rank by a hash, counted over
+hash ranges so that no vector's components are gathered in one task.
 
 Defined results: null keys relate nothing; a record with a null prefix is a group of its own; a prefix without documents is
 one too, with all records of it; repeated rows change nothing; empty tables give empty results; null labels are a label.
@@ -18,16 +20,18 @@ one too, with all records of it; repeated rows change nothing; empty tables give
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut
 
 HOT = 100_000
-BUNDLES = 4000
-MOST_LABELS = 200
+RANGES = 256
 
 
 def split_name(c: Column) -> Column:
@@ -122,65 +126,100 @@ def leaking(records: DataFrame, splits: DataFrame, prefixes: DataFrame, document
     return join_unique(sides, trained, "component").select(key, F.col("_split").alias(split), "component")
 
 
-def place(units: list[tuple[str, dict]], ratios: dict[str, float]) -> dict[str, str]:
-    """Iterative stratification of units (id, {label: rows}) over splits; deterministic."""
-    totals: dict = defaultdict(float)
-    for _, labels in units:
+UNIT = 1_000_000  # needs are counted in millionths of a row, so that they are whole numbers and ties are ties
+
+
+def deal(needs: list[int], rooms: list[int], n: int, size: int, copies: int) -> list[int]:
+    """How many of `copies` components with n rows of the label and `size` in all each split gets, if one by one goes where the need is greatest."""
+    out, step = [0] * len(needs), n * UNIT
+    if copies > 64:  # all values above a threshold are taken before any below it
+        low, high = min(needs) - step * (copies + 1), max(needs)
+        while high - low > 1:
+            middle = (low + high) // 2
+            if sum(max(0, -(-(x - middle) // step)) for x in needs) <= copies:
+                high = middle
+            else:
+                low = middle
+        out = [max(0, -(-(x - high) // step)) for x in needs]
+    for _ in range(copies - sum(out)):
+        k = max(range(len(needs)), key=lambda s: (needs[s] - step * out[s], rooms[s] - size * UNIT * out[s], -s))
+        out[k] += 1
+    return out
+
+
+def place(units: list[tuple[str, dict, int]], ratios: dict[str, float]) -> dict[str, list[int]]:
+    """Iterative stratification of vectors (id, {label: rows}, components with it): of each, how many go to each split; deterministic."""
+    left: dict = defaultdict(int)
+    for _, labels, copies in units:
         for label, n in labels.items():
-            totals[label] += n
+            left[label] += n * copies
     share = sum(ratios.values()) or 1.0
-    need = {s: {label: n * r / share for label, n in totals.items()} for s, r in ratios.items()}
-    room = {s: sum(need[s].values()) for s in ratios}
+    names = list(ratios)
+    need = {label: [n * round(ratios[s] / share * UNIT) for s in names] for label, n in left.items()}
+    room = [sum(need[label][k] for label in need) for k in range(len(names))]
     by_label = defaultdict(list)
-    for i, (_, labels) in enumerate(units):
+    for i, (_, labels, _) in enumerate(units):
         for label in labels:
             by_label[label].append(i)
-    for label, at in by_label.items():
-        at.sort(key=lambda i: (units[i][1][label], units[i][0]))
-    left = dict(totals)
-    placed: dict[str, str] = {}
-    while left:
-        label = min(left, key=lambda x: (left[x], str(x)))
-        at = by_label[label]
-        while at and units[at[-1]][0] in placed:
-            at.pop()
-        if not at:
-            del left[label]
+    placed: dict[str, list[int]] = {}
+    heap = [(n, str(label), label) for label, n in left.items()]
+    heapq.heapify(heap)
+    while heap:
+        n, _, label = heapq.heappop(heap)
+        if n != left[label] or not n:  # less is outstanding by now
             continue
-        name, labels = units[at.pop()]
-        s = max(ratios, key=lambda k: (need[k][label], room[k], -list(ratios).index(k)))
-        placed[name] = s
-        for x, n in labels.items():
-            need[s][x] -= n
-            room[s] -= n
-            if x in left:
-                left[x] -= n
-                if left[x] <= 1e-9:
-                    del left[x]
+        changed = set()
+        for i in sorted(by_label[label], key=lambda i: (-units[i][1][label], units[i][0])):
+            name, labels, copies = units[i]
+            if name in placed:
+                continue
+            size = sum(labels.values())
+            placed[name] = got = deal(need[label], room, labels[label], size, copies)
+            for x, m in labels.items():
+                left[x] -= m * copies
+                changed.add(x)
+                for k, c in enumerate(got):
+                    need[x][k] -= m * c * UNIT
+            for k, c in enumerate(got):
+                room[k] -= size * c * UNIT
+        for x in changed:
+            heapq.heappush(heap, (left[x], str(x), x))
     return placed
 
 
-def stratified_splits(rows: DataFrame, key: str, label: str, ratios: dict[str, float], seed: int = 42) -> DataFrame:
+def ranked(rows: DataFrame, by: str, key: str, seed: int) -> DataFrame:
+    """rows with `rank`, their place from 0 among those with the same `by`, in the order of a hash: counted over RANGES ranges."""
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(RANGES)))
+    sizes = rows.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select(by, "_range", F.coalesce("_before", F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_place", F.row_number().over(Window.partitionBy(by, "_range").orderBy("_hash", key)))
+    return inside.join(before, [by, "_range"]).withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_hash", "_range", "_before", "_place")
+
+
+def stratified_splits(rows: DataFrame, key: str, label: str, ratios: dict[str, float], seed: int = 42, most_vectors: int = 200_000) -> DataFrame:
     """rows: key, component, label. Each row with its split; the rows of a component share one."""
     rows = rows.select(key, "component", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"))
-    many = rows.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS
-    if many:  # so that what reaches the driver stays bounded
-        rows = rows.withColumn("label", F.pmod(F.xxhash64("label"), F.lit(MOST_LABELS)).cast("string"))
-    counts = cut(rows.groupBy("component", "label").agg(F.count("*").alias("n")))
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return rows.select(key, "component", F.lit(None).cast("string").alias("split"))
-    rare = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(v))])
-    large = sum(totals.values()) / 2000
-    each = max(1, BUNDLES // len(totals))
-    sizes = counts.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct(rare[F.col("label")].alias("t"), "label")).getField("label").alias("rarest"))
-    unit = F.when(F.col("size") > large, F.concat(F.lit("c:"), "component")).otherwise(F.concat_ws(":", F.lit("b"), "rarest", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(each)).cast("string")))
-    units = cut(sizes.select("component", unit.alias("unit")))
-    vectors = join_unique(counts, units, "component").groupBy("unit", "label").agg(F.sum("n").alias("n")).collect()
-    by_unit: dict[str, dict] = defaultdict(dict)
-    for r in vectors:
-        by_unit[r["unit"]][r["label"]] = r["n"]
-    placed = place(sorted(by_unit.items()), ratios)
-    table = rows.sparkSession.createDataFrame(sorted(placed.items()), "unit string, split string")
-    chosen = units.join(F.broadcast(table), "unit").select("component", "split")
+    counts = rows.groupBy("component", "label").agg(F.count("*").alias("n"))
+    vectors = counts.groupBy("component").agg(F.to_json(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("vector"))
+    vectors = cut(vectors.withColumn("kind", F.md5("vector")))
+    kinds = cut(vectors.groupBy("kind").agg(F.min("vector").alias("vector"), F.count("*").alias("copies")))
+    groups = max(1, -(-kinds.count() // most_vectors))
+    names = list(ratios)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        units = [(k, {x["label"]: x["n"] for x in json.loads(v)}, int(c)) for k, v, c in sorted(zip(part["kind"], part["vector"], part["copies"]))]
+        out: dict[str, list] = {"kind": [], "split": [], "first": [], "last": []}
+        for kind, dealt in place(units, ratios).items():
+            start = 0
+            for s, c in zip(names, dealt):
+                if c:
+                    for name, v in zip(out, (kind, s, start, start + c - 1)):
+                        out[name].append(v)
+                    start += c
+        return pd.DataFrame(out)
+
+    ranges = cut(kinds.groupBy(F.pmod(F.xxhash64("kind"), F.lit(groups)).alias("part")).applyInPandas(run, "kind string, split string, first bigint, last bigint"))
+    several = ranges.groupBy("kind").agg(F.collect_list(F.struct("split", "first", "last")).alias("dealt"))
+    chosen = join_unique(ranked(vectors.select("component", "kind"), "kind", "component", seed), several, "kind")
+    chosen = cut(chosen.select("component", F.expr("filter(dealt, x -> rank between x.first and x.last)[0].split").alias("split")))
     return join_unique(rows.select(key, "component"), chosen, "component").select(key, "component", "split")

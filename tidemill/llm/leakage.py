@@ -6,7 +6,8 @@ and the hits are counted per item and diagonal band, in bands of 2 * STEP charac
 words of other lengths stay in one band. A window of `least_words` words with a tenth of them replaced keeps at least
 (q-grams of the window) - (those that the longest replaceable words cover) of its q-grams; bands with fewer are dropped.
 What is left is verified by aligning words in a band around the diagonal: a run must begin and end with equal words, hold
-at least `least_words` words of the item, and have at most one in ten replaced.
+at least `least_words` words of the item, and have at most one edit in ten words. An edit is a replaced word; with
+`most_shift` over 0 the band is that wide to either side, and a dropped, added, joined or divided word counts as an edit, too.
 
 Defined results: null, empty and blank texts or items match nothing; items under `least_words` words neither; repeated
 documents and items are each reported; an empty table gives no rows; texts are processed whole, whatever their length.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, clean, map_batches
+from tidemill.llm.common import WORD, clean, cut, map_batches
 
 Q, STEP = 9, 24
 FILTER_BITS = 22
@@ -72,8 +73,8 @@ def codes_of(tokens: list[str]) -> np.ndarray:
 class ItemIndex:
     """The q-grams of the items, sorted by hash, with the count that a matching band must reach."""
 
-    def __init__(self, items: list[tuple], least_words: int):
-        self.least, self.ids, self.words, bounds = least_words, [], [], []
+    def __init__(self, items: list[tuple], least_words: int, most_shift: int = 0):
+        self.least, self.shift, self.ids, self.words, bounds = least_words, most_shift, [], [], []
         hashes, owners, places = [], [], []
         for key, text in items:
             ws = normal_words(text or "")
@@ -133,7 +134,7 @@ class ItemIndex:
         return np.unique((key // width)[counts + after >= self.bounds[key // width]]).tolist()
 
     def verify(self, tokens: list[str], item: int, positions: dict[str, list[int]]) -> bool:
-        """A run of the item's words in the document, along a diagonal of words."""
+        """A run of the item's words in the document, within the edits: first along one diagonal of words, then in a band."""
         ws = self.words[item]
         diagonals: dict[int, list[int]] = {}
         for j, w in enumerate(ws):
@@ -148,6 +149,30 @@ class ItemIndex:
             same = np.arange(len(a))[None, :] - np.arange(len(a))[:, None] + 1
             if ((length >= self.least) & (same > 0) & ((length - same) * 10 <= length)).any():
                 return True
+        return bool(self.shift) and self._banded(diagonals, len(ws))
+
+    def _banded(self, diagonals: dict[int, list[int]], n: int) -> bool:
+        """Chains of equal words whose diagonals lie within a band; between two of them, the edits are the longer gap."""
+        for d in diagonals:
+            band = [(j, j + e) for e in range(d, d + self.shift + 1) for j in diagonals.get(e, ())]
+            if len({j for j, _ in band}) < self.least - self.least // 10 - 1:
+                continue
+            band.sort()
+            most = n // 10
+            for s, (j0, i0) in enumerate(band):
+                if n - j0 < self.least:
+                    break
+                edits = {s: 0}
+                for t in range(s + 1, len(band)):
+                    j, i = band[t]
+                    if i <= i0 or j <= j0:
+                        continue
+                    best = min((e + max(j - band[u][0], i - band[u][1]) - 1 for u, e in edits.items() if band[u][0] < j and band[u][1] < i and j - band[u][0] <= most + 1), default=most + 1)
+                    if best <= most:
+                        edits[t] = best
+                        length = j - j0 + 1
+                        if length >= self.least and best * 10 <= length:
+                            return True
         return False
 
     def leaks(self, text: str | None) -> list[int]:
@@ -165,26 +190,31 @@ class ItemIndex:
         return sorted(k for k in found if self.verify(tokens, k, positions))
 
 
-def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least_words: int = 20, most_items: int = 20_000) -> DataFrame:
-    """(doc, item): documents that hold a passage of an item."""
-    spark, blocks = documents.sparkSession, []
+def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least_words: int = 20, most_items: int = 20_000, most_shift: int = 0) -> DataFrame:
+    """(doc, item): documents that hold a passage of an item.
+
+    More than `most_items` items go through in blocks, one scan each; a block's results are written, and its index is given up,
+    before the next block is read, so that the driver and the workers hold one block at a time.
+    """
+    spark, out = documents.sparkSession, None
     rows = items.where(F.col(item_text).isNotNull()).select(item_key, item_text)
     n = rows.count()
     parts = max(1, -(-n // most_items))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(parts)) == k)
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r[0], r[1]) for r in part.collect()), least_words))
+        index = spark.sparkContext.broadcast(ItemIndex(sorted((r[0], r[1]) for r in part.collect()), least_words, most_shift))
 
         def fn(ids: list, texts: list, index=index) -> dict[str, list]:
-            out: dict[str, list] = {"doc_key": [], "item_key": []}
+            found: dict[str, list] = {"doc_key": [], "item_key": []}
             for i, t in zip(ids, texts):
                 for j in index.value.leaks(t):
-                    out["doc_key"].append(i), out["item_key"].append(index.value.ids[j])
-            return out
-
-        kind = lambda df, c: df.schema[c].dataType.simpleString()
-        blocks.append(map_batches(documents.where(F.col(text).isNotNull()), [key, text], fn, f"doc_key {kind(documents, key)}, item_key {kind(items, item_key)}"))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
+                    found["doc_key"].append(i), found["item_key"].append(index.value.ids[j])
+            return found
+
+        block = map_batches(documents.where(F.col(text).isNotNull()), [key, text], fn, f"doc_key {kind(documents, key)}, item_key {kind(items, item_key)}")
+        if parts > 1:
+            block = cut(block)
+            index.unpersist()
+        out = block if out is None else out.unionByName(block)
     return out.select(F.col("doc_key").alias(key), F.col("item_key").alias(item_key))

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import answers, encoding, groups, leakage, overlap, readability, residue, shapes
+from tidemill.llm import answers, encoding, groups, leakage, overlap, readability, residue, shapes, truncation
 from tidemill.llm.common import table, texts
 
 
-ANSWER = ("record_id", "dataset_name", "human_prefix", "generated_text", "completion_length", "max_new_tokens")
+ANSWER = ("record_id", "dataset_name", "human_prefix", "generated_text", "completion_length", "max_new_tokens", "model_label")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,12 +31,7 @@ def p1_defect_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "merged_records")
-    kinds = shapes.text_types(texts(spark, sf, "merged_records", "record_id", "generated_text")).where(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
-    # An answer that is only a mark for no answer is empty, not junk.
-    text = F.trim(F.regexp_replace("generated_text", "[\\s\\u200b-\\u200f\\u2060\\ufeff\\u00a0\\u00ad]+", " "))
-    short = df.where(text.rlike(answers.NOTHING_SQL)).select("record_id")
-    return kinds.join(short, "record_id", "left_anti")
+    return shapes.text_types(texts(spark, sf, "merged_records", "record_id", "generated_text")).where(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
 
 
 def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +51,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return readability.level_profile(_levels(spark, sf, "model_label"), "model_label")
+    """By label and by the model's name, of whose spellings the letters and digits count."""
+    levels = _levels(spark, sf, "model_label", "model_name").withColumn("model_name", F.regexp_replace(F.lower("model_name"), "[^a-z0-9]+", ""))
+    return readability.level_profile(levels, "model_label", "model_name")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,12 +72,12 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return answers.truncated(texts(spark, sf, "merged_records", *ANSWER)).where("is_cut").select("record_id")
+    return truncation.truncated(texts(spark, sf, "merged_records", *ANSWER)).where("is_cut").select("record_id")
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
-    rows = answers.truncated(texts(spark, sf, "merged_records", *ANSWER)).select("record_id", "is_cut").join(df.select("record_id", "model_label", "dataset_name"), "record_id")
+    rows = truncation.truncated(texts(spark, sf, "merged_records", *ANSWER)).select("record_id", "is_cut").join(df.select("record_id", "model_label", "dataset_name"), "record_id")
     return rows.groupBy("model_label", "dataset_name").agg(F.count("*").alias("n_records"), F.count_if("is_cut").alias("n_cut"), F.round(F.count_if("is_cut") / F.count("*"), 6).alias("cut_rate"))
 
 
@@ -104,7 +101,7 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked(texts(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items"))
+    return leakage.leaked(texts(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items"), most_shift=2)
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +115,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(texts(spark, sf, "documents", "doc_id", "text", "source")).groupBy("kind").agg(F.count("*").alias("n_documents"))
+    """Documents by kind, and by what told it: a recurring message, a phrase or a slot."""
+    return residue.residue(texts(spark, sf, "documents", "doc_id", "text", "source")).groupBy("kind", "route").agg(F.count("*").alias("n_documents"))
 
 
 def p4_split_names(spark: SparkSession, sf: str) -> DataFrame:

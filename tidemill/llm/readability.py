@@ -18,9 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.answers import FIRST_PERSON
 from tidemill.llm.common import WORD, HashedLogit, clean, h32, language, map_batches
 from tidemill.llm.shapes import PROSE, describe, majority
+from tidemill.llm.truncation import FIRST_PERSON
 
 LEVELS = ("basic", "intermediate", "advanced")
 BITS = 16

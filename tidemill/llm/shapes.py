@@ -4,8 +4,9 @@ Each labelling function looks at a few statistics and votes prose, list, table,
 functions are learnt without labels, by expectation-maximization over how often each pattern of votes occurs in the whole
 table (a few hundred patterns, counted in Spark), and every record gets the posterior of its pattern.
 
-Defined results: null, empty and blank texts have zero statistics and the kind `empty`, which `text_types` reports and
-`found` leaves out; ties between kinds go to the first of KINDS; repeated rows are counted and reported as often as they come.
+Defined results: null, empty and blank texts have zero statistics and the kind `empty`; texts that are only a mark for no
+answer have their statistics and the kind `empty`, too; ties between kinds go to the first of KINDS; repeated rows are counted
+and reported as often as they come.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import COMMON, WORD, clean, cut, map_batches
+from tidemill.llm.common import COMMON, NOTHING, WORD, attach, clean, cut, map_batches
 
 KINDS = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
@@ -131,6 +132,7 @@ def describe(text: str | None) -> tuple[tuple, tuple[int, ...], list[str]]:
     consonants += infos.count(_BARE_CLUSTER) / max(1, nw)
     bad = 0 if text.isascii() else len(MOJIBAKE.findall(text)) / max(1, n)
     hexes = sum(1 for x in lines if len(x) > 11 and HEX.match(x.strip()) and any(c.isdigit() for c in x)) / nl
+    solid = 0.0 if cjk else sum(1 for x in lines if len(x) > 25 and len(x.split()) == 1) / nl
     body_bullets = sum(1 for x in body if BULLET.match(x)) / len(body)
     body_words = sorted(len(x.split()) for x in body)
     middle = body_words[len(body_words) // 2]
@@ -145,7 +147,7 @@ def describe(text: str | None) -> tuple[tuple, tuple[int, ...], list[str]]:
         TABLE if fields >= 0.7 and len(body) >= 3 and body_bullets < 0.6 else NONE,
         TABLE if fields >= 0.6 and numeric >= 0.2 and len(body) >= 2 and body_bullets < 0.6 else NONE,
         JUNK if symbols > 0.3 and fields < 0.5 or nw < 0.04 * n and n > 20 and not cjk else NONE,
-        JUNK if loop or hexes >= 0.6 else NONE,
+        JUNK if loop or hexes >= 0.6 or solid >= 0.6 and fields < 0.5 else NONE,
         JUNK if bad > 0.02 or not cjk and (consonants > 0.2 or cluster > 0.25) and digit_ratio < 0.5 and fields < 0.5 else NONE,
         JUNK if common > 0.8 and nw >= 12 or stray > 0.15 else JUNK if nw >= 12 and common < 0.02 and ended == 0 and fields < 0.5 and body_bullets < 0.6 and middle > 7 and not cjk else NONE,
         PROSE if cjk and n >= 15 and text.count("。") * 80 >= n or nw >= 20 and per_line >= 12 and symbols < 0.12 and distinct > 0.3 and 2.5 < word_mean < 16 and (common >= 0.08 or ended >= 0.5) and common < 0.75 and cluster < 0.2 and bad < 0.02 else NONE,
@@ -224,29 +226,21 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
         rows = [describe(t) for t in texts]
         names = [c.split()[0] for c in STATISTICS.split(", ")]
         out = {n: [r[0][i] for r in rows] for i, n in enumerate(names)}
-        return out | {"record_key": ids, "votes": [encode(r[1]) if r[0][2] else None for r in rows]}
+        return out | {"record_key": ids, "votes": [encode(r[1]) if r[0][2] and not NOTHING.match(clean(t).strip()) else None for r, t in zip(rows, texts)]}
 
     kind = df.schema[key].dataType.simpleString()
     return map_batches(df, [key, text], fn, f"record_key {kind}, {STATISTICS}, votes bigint")
 
 
-def _posterior(votes: Column, learnt: dict[int, np.ndarray]) -> Column:
-    """Kind and posterior by pattern; the map has one entry per pattern, of which there are at most a few thousand."""
-    if not learnt:
-        return F.struct(F.lit("prose").alias("kind"), F.lit(0.0).alias("posterior"))
-    kinds = F.create_map(*[x for c, p in learnt.items() for x in (F.lit(c), F.lit(KINDS[int(np.argmax(p))]))])
-    values = F.create_map(*[x for c, p in learnt.items() for x in (F.lit(c), F.lit(float(p.max())))])
-    return F.struct(kinds[votes].alias("kind"), values[votes].alias("posterior"))
-
-
 def text_types(df: DataFrame, key: str = "record_id", text: str = "generated_text") -> DataFrame:
     """Every record with its statistics, its kind and the posterior of that kind."""
     rows = cut(statistics(df, key, text))
     counts = {r["votes"]: r["count"] for r in rows.where("votes is not null").groupBy("votes").count().collect()}
-    best = _posterior(F.col("votes"), learn_accuracies(counts))
-    return rows.withColumn("best", best).select(
+    learnt = [(c, KINDS[int(np.argmax(p))], float(p.max())) for c, p in learn_accuracies(counts).items()]
+    rows = attach(rows, df.sparkSession.createDataFrame(learnt, "votes bigint, kind string, posterior double"), ["votes"])
+    return rows.select(
         F.col("record_key").alias(key),
         *[c.split()[0] for c in STATISTICS.split(", ")],
-        F.when(F.col("votes").isNull(), "empty").otherwise(F.col("best.kind")).alias("kind"),
-        F.when(F.col("votes").isNull(), 1.0).otherwise(F.col("best.posterior")).alias("posterior"),
+        F.when(F.col("votes").isNull(), "empty").otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("votes").isNull(), 1.0).otherwise(F.col("posterior")).alias("posterior"),
     )
