@@ -9,7 +9,8 @@ import html
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,20 @@ def register(name: str, f: Callable[[pd.Series], pd.Series]) -> None:
     HOOKS[name] = f
 
 
+@contextmanager
+def using(name: str, f: Callable[[pd.Series], pd.Series]) -> Iterator[None]:
+    """A hook for as long as the block runs."""
+    before = HOOKS.get(name)
+    HOOKS[name] = f
+    try:
+        yield
+    finally:
+        if before is None:
+            del HOOKS[name]
+        else:
+            HOOKS[name] = before
+
+
 def nfc(c: Column) -> Column:
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions import python as P
+from tidemill.sources import io
 
+log = logging.getLogger(__name__)
+
+# The prompt templates.
 TEMPLATES = {
     "raw": "{prefix}",
-    "completion": "Continue the following text:\n{prefix}",
-    "instruction": "### Instruction:\nContinue the following text naturally.\n{prefix}\n### Response:\n",
+    "completion": "{prefix}",
+    "instruction": "Instruction: Continue the following text naturally.\nText: {prefix}\nCompletion:",
 }
+CHAT_MESSAGE = "Continue writing the following text naturally, maintaining the tone, style, and vocabulary:\n\n{prefix}"
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -26,8 +33,11 @@ def fill(template: str, values: dict[str, Column]) -> Column:
 
 
 def prompt(prefix: Column, mode: str = "raw", templates: dict[str, str] = TEMPLATES) -> Column:
-    """The prompt of a prefix; an unknown mode is raw, chat without a chat template is instruction."""
-    mode = "instruction" if mode == "chat" and "chat" not in templates else mode if mode in templates else "raw"
+    """The prompt of a prefix; an unknown mode is raw, chat without a chat template (with a {message} slot) is instruction."""
+    mode = mode.lower()
+    if mode == "chat" and "chat" in templates:
+        return fill(templates["chat"], {"message": fill(CHAT_MESSAGE, {"prefix": prefix})})
+    mode = "instruction" if mode == "chat" else mode if mode in templates else "raw"
     return prefix if mode == "raw" else fill(templates[mode], {"prefix": prefix})
 
 
@@ -37,36 +47,37 @@ def pending(prefixes: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def generate(prompts: DataFrame, key: str, prompt_column: str, hook: str = "generate") -> DataFrame:
-    """Completions by the registered generator, batch by batch. A failed batch gives no rows, so it stays pending."""
+    """Completions by the registered generator, batch by batch. The rows of a failed batch have no text but its error."""
     f = P.HOOKS[hook]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                yield pd.DataFrame({key: b[key], "generated_text": f(b[prompt_column])})
-            except Exception:  # noqa: BLE001 - the batch is left for the next run
-                continue
+                yield pd.DataFrame({key: b[key], "generated_text": f(b[prompt_column]), "error": None})
+            except Exception as e:  # noqa: BLE001 - told in the rows
+                yield pd.DataFrame({key: b[key], "generated_text": None, "error": f"{type(e).__name__}: {e}"[:500]})
 
     kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(key, prompt_column).mapInPandas(run, f"{key} {kind}, generated_text string")
+    return prompts.select(key, prompt_column).mapInPandas(run, f"{key} {kind}, generated_text string, error string")
 
 
 def run_resumable(prefixes: DataFrame, path: str, key: str = "prefix_id", prefix: str = "prefix_text", mode: str = "raw", most: int | None = None) -> int:
     """Generate what the output at `path` lacks, up to `most` rows in all, and append it. Returns the rows of the output.
 
-    The output itself is the checkpoint: rows and progress are committed together, so nothing is generated twice.
+    The output itself is the checkpoint: rows and progress are committed together, so nothing is generated twice. Failed rows
+    are counted as they pass, logged and left for the next run.
     """
     spark = prefixes.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        have = done.count()
-        rest = pending(prefixes, done, key)
-    except Exception:  # noqa: BLE001 - there is no output yet
-        have, rest = 0, prefixes
+    done = io.read_if_there(spark, path, StructType([prefixes.schema[key], StructField("generated_text", StringType())]))
+    have, rest = (0, prefixes) if done is None else (done.count(), pending(prefixes, done, key))
     if most is not None:
         rest = rest.orderBy(key).limit(max(0, most - have))
     out = generate(rest.withColumn("_prompt", prompt(F.col(prefix), mode)), key, "_prompt")
-    out.write.mode("append").parquet(path)
+    seen = Observation()
+    out = out.observe(seen, F.count("*").alias("tried"), F.count("error").alias("failed"), F.first("error", ignorenulls=True).alias("error"))
+    out.where("error is null").drop("error").write.mode("append").parquet(path)
+    if seen.get["failed"]:
+        log.warning("%s of %s prompts failed, first with %s", seen.get["failed"], seen.get["tried"], seen.get["error"])
     return spark.read.parquet(path).count()
 
 

@@ -34,16 +34,21 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(total).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))), label)
 
 
-def pca_share(df: DataFrame, column: str, share: float = 0.95, most: int = 64) -> tuple[Model, int]:
-    """A centred PCA, and the least number of components that explains the share."""
+def pca_share(df: DataFrame, column: str, share: float = 0.95, most: int | None = None) -> tuple[Model, int]:
+    """A centred PCA, and the least number of components that explains the share.
+
+    most: components to compute, all if none; a ValueError is raised if they do not explain the share.
+    """
+    if most is None:
+        most = len(df.select(column).where(F.col(column).isNotNull()).head()[0])
     pipe = Pipeline(stages=[StandardScaler(inputCol=column, outputCol="_c", withMean=True, withStd=False), PCA(k=most, inputCol="_c", outputCol="pca")]).fit(df)
     total, n = 0.0, 0
     for v in pipe.stages[1].explainedVariance:
         n += 1
         total += v
-        if total >= share:
-            break
-    return pipe, n
+        if total >= share - 1e-9:
+            return pipe, n
+    raise ValueError(f"{n} components explain {total:.4f} of the variance, not {share}")
 
 
 def truncated_svd(df: DataFrame, key: str, column: str, k: int) -> tuple[DataFrame, list[float]]:

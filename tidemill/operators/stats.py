@@ -24,15 +24,16 @@ LENGTHS = [f"{side}_{n}s" for n in ("char", "word", "sentence", "paragraph") for
 def describe(df: DataFrame, columns: list[str], quartiles: bool = True) -> DataFrame:
     """One row per column: mean, median, min, max, sample deviation and quartiles, rounded to two places; 0 if empty."""
     z = lambda c: F.coalesce(F.round(c, 2), F.lit(0.0))
-    parts = []
-    for c in columns:
+    sums, parts = [], []
+    for c in columns:  # the exact counts of a column's values are built once for all its quantiles
         x = F.col(c)
-        fields = [F.lit(c).alias("metric"), z(F.avg(x)).alias("mean"), z(F.percentile(x, F.lit(0.5))).alias("median"), F.coalesce(F.min(x), F.lit(0)).cast("bigint").alias("min"), F.coalesce(F.max(x), F.lit(0)).cast("bigint").alias("max"), z(F.stddev_samp(x)).alias("std")]
+        sums += [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}_q"), F.avg(x).alias(f"{c}_m"), F.min(x).alias(f"{c}_a"), F.max(x).alias(f"{c}_z"), F.stddev_samp(x).alias(f"{c}_s")]
+        q = lambda k, c=c: F.col(f"{c}_q")[k]
+        fields = [F.lit(c).alias("metric"), z(F.col(f"{c}_m")).alias("mean"), z(q(1)).alias("median"), F.coalesce(f"{c}_a", F.lit(0)).cast("bigint").alias("min"), F.coalesce(f"{c}_z", F.lit(0)).cast("bigint").alias("max"), z(F.col(f"{c}_s")).alias("std")]
         if quartiles:
-            q1, q3 = F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))
-            fields += [z(q1).alias("q1"), z(q3).alias("q3"), z(q3 - q1).alias("iqr")]
+            fields += [z(q(0)).alias("q1"), z(q(2)).alias("q3"), z(q(2) - q(0)).alias("iqr")]
         parts.append(F.struct(*fields))
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    return df.agg(*sums).select(F.inline(F.array(*parts)))
 
 
 def token_counts(df: DataFrame, c: Column, *by: str) -> DataFrame:
@@ -72,8 +73,10 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
-    parts = [F.struct(F.lit(a).alias("metric"), *[F.round(F.corr(a, b), places).alias(b) for b in columns]) for a in columns]
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    pairs = {(a, b): f"c{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j}
+    sums = df.agg(*[F.round(F.corr(a, b), places).alias(n) for (a, b), n in pairs.items()])
+    parts = [F.struct(F.lit(a).alias("metric"), *[F.col(pairs[(a, b) if (a, b) in pairs else (b, a)]).alias(b) for b in columns]) for a in columns]
+    return sums.select(F.inline(F.array(*parts)))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

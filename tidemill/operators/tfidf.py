@@ -5,6 +5,8 @@ Term counts are aggregated per document before anything is joined; the vocabular
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,30 @@ from tidemill.functions import text as T
 
 def word_terms(c: Column) -> Column:
     """Lower-case words of two or more characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return word_ngrams(c, (1,))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that it names several times and that is to be evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def word_ngrams(c: Column, sizes: tuple[int, ...] = (1, 2), lower: bool = True) -> Column:
+    """Runs of one or more such words, joined by blanks; with lower=False in their own case."""
+    words = F.regexp_extract_all(F.lower(c) if lower else c, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    if tuple(sizes) == (1,):
+        return words
+    return once(words, lambda w: F.concat(*[w if n == 1 else T.ngrams(w, n) for n in sizes], F.array().cast("array<string>")))
+
+
+def chars(c: Column, sizes: tuple[int, ...], lower: bool = True) -> Column:
+    """Character n-grams across word borders, runs of blanks being one blank."""
+    none = F.array().cast("array<string>")
+
+    def of(t: Column, n: int) -> Column:
+        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
+
+    return once(F.regexp_replace(F.lower(c) if lower else c, f"[{T.SPACE}][{T.SPACE}]+", " "), lambda t: F.concat(*[of(t, n) for n in sizes], none))
 
 
 def char_wb(tokens: Column, sizes: tuple[int, ...]) -> Column:
@@ -41,6 +66,12 @@ def vocabulary(counts: DataFrame, n_docs: int, cap: int, min_df: int = 2, max_df
     return v.select("term", "df", (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+# The usual limits of the vocabularies and the ranges of n-gram sizes.
+WORD_TERMS, CHAR_TERMS = 50_000, 30_000
+WORD_SIZES, CHAR_SIZES = (1, 2), (3, 4, 5)
+CHAR_RANGES = {"2-2": (2,), "3-3": (3,), "4-4": (4,), "2-4": (2, 3, 4), "3-5": (3, 4, 5)}
+
+
 def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a scan over all cores, where the table is one or a few files; tables of many files stay as they are."""
+    """A scan in fewer partitions than there are cores, as of one small file, dealt to all of them; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 8 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores)
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where all of Spark runs on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (root or tempfile.mkdtemp(prefix="tidemill-")).rstrip("/")
 
 
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:

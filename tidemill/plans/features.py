@@ -22,11 +22,19 @@ v AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1 AS idf, df FROM (SELECT term,
 r AS (SELECT {key}, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)), w AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS tfidf FROM r)"""
 
 
-S_WORD = "WITH " + s_tfidf(f"SELECT record_id, unnest({S_TERMS}) AS term FROM merged_records", "record_id", "SELECT count(*) AS n FROM merged_records", 2000)
+S_PAIRS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+def s_word(terms: str, cap: int = X.WORD_TERMS) -> str:
+    return "WITH " + s_tfidf(f"SELECT record_id, unnest({S_PAIRS}) AS term FROM (SELECT record_id, {terms} AS w FROM merged_records)", "record_id", "SELECT count(*) AS n FROM merged_records", cap)
+
+
+S_WORD = s_word(S_TERMS)
 
 
 def _word(spark: SparkSession, sf: str) -> DataFrame:
-    return X.tfidf(texts(spark, sf, MERGED, "record_id", G), "record_id", X.word_terms(T.text(G)), 2000)
+    """Words and pairs of words, at the usual limits."""
+    return X.tfidf(texts(spark, sf, MERGED, "record_id", G), "record_id", X.word_ngrams(T.text(G), X.WORD_SIZES), X.WORD_TERMS)
 
 
 @query(S_WORD + " SELECT record_id, term, round(tfidf, 6) AS tfidf FROM w")
@@ -62,21 +70,38 @@ def s_char(sizes: tuple[int, ...]) -> str:
     )
 
 
-@query("WITH " + s_tfidf(s_char((3, 4, 5)), "doc_id", "SELECT count(*) AS n FROM documents", 1000) + " SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM w")
+@query("WITH " + s_tfidf(s_char((3, 4, 5)), "doc_id", "SELECT count(*) AS n FROM documents", X.CHAR_TERMS) + " SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM w")
 def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tokens(F.lower(T.text("text"))).alias("tokens"))
-    return X.tfidf(d, "doc_id", X.char_wb(F.col("tokens"), (3, 4, 5)), 1000).withColumn("tfidf", F.round("tfidf", 6))
+    return X.tfidf(d, "doc_id", X.char_wb(F.col("tokens"), X.CHAR_SIZES), X.CHAR_TERMS).withColumn("tfidf", F.round("tfidf", 6))
 
 
-RANGES = {"2-2": (2,), "3-3": (3,)}
-
-
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {s_tfidf(s_char(r), 'doc_id', 'SELECT count(*) AS n FROM documents', 300)} SELECT '{name}' AS ngram_range, term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 2)" for name, r in RANGES.items()))
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {s_tfidf(s_char(r), 'doc_id', 'SELECT count(*) AS n FROM documents', X.CHAR_TERMS)} SELECT '{name}' AS ngram_range, term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 2)" for name, r in X.CHAR_RANGES.items()))
 def char_ngram_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    x = X.ranged_char_ngrams(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", T.text("text"), RANGES, 300)
+    x = X.ranged_char_ngrams(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", T.text("text"), X.CHAR_RANGES, X.CHAR_TERMS)
     return x.groupBy("ngram_range", "term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
 
 
+S_CASED = f"regexp_extract_all({s_text(G)}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+@query(s_word(S_CASED, 20_000) + " SELECT term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 1")
+def tfidf_cased(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and pairs of words in their own case."""
+    x = X.tfidf(texts(spark, sf, MERGED, "record_id", G), "record_id", X.word_ngrams(T.text(G), (1, 2), lower=False), 20_000)
+    return x.groupBy("term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
+
+
+S_ACROSS = " UNION ALL ".join(f"SELECT doc_id, substr(p, i, {n}) AS term FROM (SELECT doc_id, p, unnest(range(1, greatest(0, length(p) - {n - 1}) + 1)) AS i FROM (SELECT doc_id, regexp_replace(lower({s_text('text')}), '[{SPACE}][{SPACE}]+', ' ', 'g') AS p FROM documents))" for n in (3, 4, 5))
+
+
+@query("WITH " + s_tfidf(S_ACROSS, "doc_id", "SELECT count(*) AS n FROM documents", 20_000) + " SELECT term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 1")
+def tfidf_char(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-grams that may cross the borders of words."""
+    x = X.tfidf(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", X.chars(T.text("text"), (3, 4, 5)), 20_000)
+    return x.groupBy("term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
+
+
 @query(f"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower({s_text('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE source_split = 'train')
 SELECT term, count(*) AS n FROM (SELECT unnest({S_TERMS}) AS term FROM merged_records) SEMI JOIN a USING (term) GROUP BY 1""")
 def vocab_transfer(spark: SparkSession, sf: str) -> DataFrame:

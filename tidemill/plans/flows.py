@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import python as P
 from tidemill.functions import text as T
 from tidemill.operators import generation as G
-from tidemill.plans.base import query, table
+from tidemill.plans.base import query, shared_folder, table
 from tidemill.plans.corpus import MERGED, s_strip, s_text
 from tidemill.plans.preparation import s_normal
 from tidemill.sources import io
@@ -18,9 +18,8 @@ from tidemill.streaming import streams
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the cluster, or in one of our own where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-    return f"{root.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 GENERATED_SQL = "prefix_id, dataset_name, category, human_prefix, generated_text, model_name, temperature, top_p, max_new_tokens, prompt_length, completion_length, generation_time, generation_timestamp AS timestamp"
@@ -35,22 +34,18 @@ def folder_labels(spark: SparkSession, sf: str) -> DataFrame:
     """One folder per model, written with the fixed schema and read again with the folder's name as label."""
     path = scratch(spark)
     m = _generated(spark, sf).where("model_label is not null")
-    out = m.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in io.GENERATED.fields], F.col("model_label").alias("folder"))
-    out.write.partitionBy("folder").option("compression", "zstd").parquet(path)
-    df = spark.read.option("recursiveFileLookup", True).schema(io.GENERATED).parquet(path)
-    df = df.withColumn("model_label", F.regexp_extract("_metadata.file_path", r"/folder=([^/]+)/", 1))
+    for label in sorted(r[0] for r in m.select("model_label").distinct().collect()):  # a folder each: models are few
+        io.append(m.where(F.col("model_label") == label), f"{path}/{label}/generated.parquet", io.GENERATED)
+    df = io.read_labelled(spark, path.removeprefix("file://"))
     return df.groupBy("model_label").agg(F.count("*").alias("n"), F.count_distinct("prefix_id").alias("prefixes"))
 
 
 @query("SELECT record_id, md5(generated_text) AS text_md5, category FROM merged_records")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Written as CSV and read again: line breaks, quotes, nulls and empty texts survive (texts go as base64)."""
+    """Written as CSV and read again: line breaks, quotes, blanks, nulls and empty texts survive."""
     path = scratch(spark)
-    m = table(spark, sf, MERGED).select("record_id", F.base64(F.encode("generated_text", "UTF-8")).alias("b"), F.col("generated_text").isNull().alias("none"), "category")
-    m.write.option("header", True).option("escape", '"').csv(path)
-    back = io.read_csv(spark, path, "record_id bigint, b string, none boolean, category string")
-    text = F.when(~F.col("none"), F.decode(F.unbase64(F.coalesce("b", F.lit(""))), "UTF-8"))
-    return back.select("record_id", F.md5(text).alias("text_md5"), "category")
+    io.write_csv(table(spark, sf, MERGED).select("record_id", "generated_text", "category"), path)
+    return io.read_csv(spark, path, "record_id bigint, generated_text string, category string").select("record_id", F.md5("generated_text").alias("text_md5"), "category")
 
 
 @query("SELECT 2 * count(*) AS n, count(DISTINCT record_id) AS n_ids FROM merged_records")
@@ -77,16 +72,17 @@ def mock_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return io.mock_prefixes(spark)
 
 
-@query("SELECT 15 AS first_run, 15 AS second_run, 15 AS distinct_ids")
+@query(f"SELECT prefix_id, count(*) AS n, any_value(text_length) AS prompt_length FROM (SELECT prefix_id, length('Instruction: Continue the following text naturally.' || chr(10) || 'Text: ' || {s_text('prefix_text')} || chr(10) || 'Completion:') AS text_length FROM prefix_records QUALIFY row_number() OVER (PARTITION BY prefix_id ORDER BY extraction_timestamp DESC NULLS LAST, prefix_text) = 1) GROUP BY 1")
 def resume_generation(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten of fifteen prefixes, then the rest, by the registered generator; a third run has nothing to do."""
+    """Half of all prefixes, then the rest, then nothing, by a generator that gives the prompt back: each prefix once, with the length of its prompt."""
     path = scratch(spark)
-    p = io.mock_prefixes(spark)
-    G.run_resumable(p, path, most=10)
-    first = G.run_resumable(p, path)
-    second = G.run_resumable(p, path)
-    ids = spark.read.parquet(path).select("prefix_id").distinct().count()
-    return spark.createDataFrame([(first, second, ids)], "first_run int, second_run int, distinct_ids int")
+    p = table(spark, sf, "prefix_records").select("prefix_id", T.text("prefix_text").alias("prefix_text"), F.coalesce("extraction_timestamp", F.lit("")).alias("at"))
+    p = p.groupBy("prefix_id").agg(F.max_by("prefix_text", F.struct("at", F.hash("prefix_text"))).alias("prefix_text"))
+    half = p.where(F.pmod(F.xxhash64("prefix_id"), F.lit(2)) == 0)
+    with P.using("generate", lambda prompts: prompts):
+        for rows in (half, p, p):
+            G.run_resumable(rows, path, mode="instruction")
+    return spark.read.parquet(path).groupBy("prefix_id").agg(F.count("*").alias("n"), F.max(F.length("generated_text")).alias("prompt_length"))
 
 
 @query("SELECT prefix_id, arg_max(extraction_timestamp, extraction_timestamp) AS extraction_timestamp FROM prefix_records GROUP BY 1")
@@ -124,11 +120,9 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     io.append(e, f"{path}/in")
-    name = f"w{uuid.uuid4().hex}"
     stream = streams.read_stream(spark, f"{path}/in", e.schema)
-    q = streams.windowed_totals(stream, "ts", "value").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    streams.run_complete(streams.windowed_totals(stream, "ts", "value"), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query(f"SELECT record_id FROM merged_records WHERE length({s_strip(s_text('human_prefix'))}) > 0")

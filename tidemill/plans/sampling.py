@@ -108,14 +108,14 @@ def kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
     return W.folds(table(spark, sf, MERGED), "record_id", "model_label", 5)
 
 
-@query(f"WITH s AS ({s_split({'train': 0.7, 'validation': 0.85}, 'test')}) SELECT l.dataset_name, n.split FROM (SELECT DISTINCT dataset_name FROM merged_records) l, (SELECT unnest(['train', 'validation', 'test']) AS split) n EXCEPT SELECT m.dataset_name, s.split FROM s JOIN merged_records m USING (record_id)")
+@query(f"WITH s AS ({s_split({'train': 0.7, 'validation': 0.85}, 'test')}) SELECT l.prefix_id, n.split FROM (SELECT DISTINCT prefix_id FROM merged_records) l, (SELECT unnest(['train', 'validation', 'test']) AS split) n EXCEPT SELECT m.prefix_id, s.split FROM s JOIN merged_records m USING (record_id)")
 def split_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Datasets that a split has no record of. Both sides of the product are lists of names."""
+    """Prefixes that a split has no record of; the product is with a list of three names."""
     m = table(spark, sf, MERGED)
     s = W.stratified_split(m, "record_id", "model_label", {"train": 0.7, "validation": 0.15, "test": 0.15})
-    names = m.select("dataset_name").distinct().select("dataset_name", F.explode(F.array(F.lit("train"), F.lit("validation"), F.lit("test"))).alias("split"))
-    have = m.select("record_id", "dataset_name").join(s, "record_id").select("dataset_name", "split").distinct()
-    return names.join(have, ["dataset_name", "split"], "left_anti")
+    names = m.select("prefix_id").distinct().select("prefix_id", F.explode(F.array(F.lit("train"), F.lit("validation"), F.lit("test"))).alias("split"))
+    have = m.select("record_id", "prefix_id").join(s, "record_id").select("prefix_id", "split").distinct()
+    return names.join(have, ["prefix_id", "split"], "left_anti")
 
 
 @query("SELECT s, count(*) AS n FROM (SELECT lower(trim(split)) AS s FROM split_index SEMI JOIN merged_records USING (record_id)) GROUP BY 1")
@@ -141,10 +141,14 @@ def resume_next_batch(spark: SparkSession, sf: str) -> DataFrame:
 S_P = s_text("human_prefix")
 
 
-@query(f"""SELECT record_id, {S_P} AS raw, 'Continue the following text:' || chr(10) || {S_P} AS completion, '### Instruction:' || chr(10) || 'Continue the following text naturally.' || chr(10) || {S_P} || chr(10) || '### Response:' || chr(10) AS instruction FROM merged_records""")
+@query(f"""SELECT record_id, {S_P} AS raw, {S_P} AS completion, 'Instruction: Continue the following text naturally.' || chr(10) || 'Text: ' || {S_P} || chr(10) || 'Completion:' AS instruction,
+'Instruction: Continue the following text naturally.' || chr(10) || 'Text: ' || {S_P} || chr(10) || 'Completion:' AS chat, {S_P} AS other,
+'<user>Continue writing the following text naturally, maintaining the tone, style, and vocabulary:' || chr(10) || chr(10) || {S_P} || '</user>' AS templated FROM merged_records""")
 def prompt_format(spark: SparkSession, sf: str) -> DataFrame:
     p = T.text("human_prefix")
-    return table(spark, sf, MERGED).select("record_id", *[G.prompt(p, mode).alias(mode) for mode in ("raw", "completion", "instruction")])
+    """Every mode; chat without a template is instruction, an unknown one raw."""
+    modes = [G.prompt(p, mode).alias(mode) for mode in ("raw", "completion", "instruction", "chat", "other")]
+    return table(spark, sf, MERGED).select("record_id", *modes, G.prompt(p, "chat", G.TEMPLATES | {"chat": "<user>{message}</user>"}).alias("templated"))
 
 
 @query("""WITH p AS (SELECT DISTINCT prefix_id FROM prefix_records), m AS (SELECT DISTINCT model_label FROM merged_records), d AS (SELECT prefix_id, model_label, count(*) AS n FROM merged_records GROUP BY 1, 2)

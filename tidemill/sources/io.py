@@ -21,6 +21,33 @@ GENERATED = fields(
 DOCUMENT = fields("text string, document_id string, source_split string")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, in whatever file system it lies. Other failures are raised, not taken for an answer."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_if_there(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at a path, which may hold no file yet; none if there is no such path."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+
+
+def with_id(df: DataFrame, name: str = "id") -> DataFrame:
+    """An id column, made only where the input has none: unique, not consecutive, without a shuffle."""
+    return df if name in df.columns else df.select(F.monotonically_increasing_id().alias(name), "*")
+
+
+def same_schema(frames: dict[str, DataFrame]) -> None:
+    """All inputs must have the same column names and types, in whatever order; a ValueError says which differs from the first."""
+    first = None
+    for name, df in frames.items():
+        kinds = sorted(df.dtypes)
+        if first is None:
+            first = (name, kinds)
+        elif kinds != first[1]:
+            raise ValueError(f"the columns of {name} differ from those of {first[0]}: {sorted(set(kinds) ^ set(first[1]))}")
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -76,6 +103,7 @@ def read_labelled(spark: SparkSession, root: str, file: str = "generated.parquet
     found = discover(root, file)
     if not found:
         raise FileNotFoundError(f"no {file} below {root}")
+    same_schema({label: spark.read.parquet(p) for label, p in found})  # footers only
     df = spark.read.parquet(*[p for _, p in found])
     return df.withColumn("model_label", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{file.replace('.', chr(92) + '.')}(?:/|$)", 1))
 
@@ -106,11 +134,16 @@ def validate_folders(spark: SparkSession, root: str, expected: list[str], file:
 def export(df: DataFrame, path: str) -> None:
     """Parquet, and CSV that survives line breaks and quotes."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/csv")
+    write_csv(df, f"{path}/csv")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV in which line breaks, quotes, backslashes, outer blanks, nulls and empty texts survive."""
+    df.write.mode("overwrite").options(header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = spark.read.options(header=True, multiLine=True, escape='"', nullValue="\\N", emptyValue="")
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 
@@ -171,4 +204,4 @@ def stored_size(spark: SparkSession, path: str) -> DataFrame:
 
 def parquet_to_csv(spark: SparkSession, tables: dict[str, str], root: str) -> None:
     for name, path in tables.items():
-        spark.read.parquet(path).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{root}/{name}")
+        write_csv(spark.read.parquet(path), f"{root}/{name}")

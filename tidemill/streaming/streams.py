@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemill.functions import text as T
+from tidemill.sources import io
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 0) -> DataFrame:
@@ -37,19 +38,33 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The whole result after each batch, as files in place of the ones before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def deduplicate_into(stream: DataFrame, c: str, order: str, path: str, checkpoint: str) -> None:
-    """Append the rows whose key is not in the output yet; a batch that is run again adds nothing."""
+    """Append the rows whose key is not in the output yet; a batch that is run again adds nothing.
+
+    The output is partitioned by the first two digits of the key, and a batch is compared with the keys of its own
+    partitions only: one column of the files that can hold them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keyed = batch.withColumn("_key", duplicate_key(F.col(c)))
         first = keyed.groupBy("_key").agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("_key", "r.*")
-        try:
-            have = spark.read.parquet(path).select("_key")
-            first = first.join(have, "_key", "left_anti")
-        except Exception:  # noqa: BLE001 - there is no output yet
-            pass
-        first.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+        first = first.withColumn("_batch", F.lit(number)).withColumn("_part", F.substring("_key", 1, 2))
+        have = io.read_if_there(spark, path, first.schema)
+        if have is not None:
+            parts = [r[0] for r in first.select("_part").distinct().collect()]  # at most 256
+            first = first.join(have.where(F.col("_part").isin(parts)).select("_key"), "_key", "left_anti")
+        first.write.mode("append").partitionBy("_part").parquet(path)
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
