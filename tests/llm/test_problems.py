@@ -723,6 +723,20 @@ def test_queries_run(spark, tiny, name):
     assert df.count() >= 0 and df.columns
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, tiny, name):
+    import duckdb
+
+    d = duckdb.connect()
+    for t in ("merged_records", "split_index"):
+        d.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
+    df = Q.queries()[name](spark, tiny)
+    want = d.execute(Q.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_empty_tables(spark, tmp_path, tiny):
     for t in ("merged_records", "prefix_records", "split_index", "documents", "eval_items"):
         spark.read.parquet(f"{tiny}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 import uuid
 import zlib
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.plans.base import shared_folder, table, texts  # noqa: F401 - for the queries
+
 INVISIBLE = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁤⁦-⁩︀-️﻿]")
 WORD = re.compile(r"[^\W_]+")
 
@@ -194,13 +195,9 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, l
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; one of this machine only where all of Spark runs on it, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
+    """Use the shared folder that the cluster names."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -215,9 +212,15 @@ def written(df: DataFrame) -> DataFrame:
     with_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Tables of a session go when it ends: until then, frames that read them may be used (checkpoints have Spark's own cleaner)."""
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 MOST_BROADCAST = 100_000
 
 
@@ -241,21 +244,3 @@ def bounded_sample(df: DataFrame, key: str, columns: list[str], rows: int) -> li
         if len(out) == rows:
             return out
     return df.select(*columns).orderBy(place, F.xxhash64(key), key).limit(rows).collect()
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows of a scan over all cores, where the table is one or a few files; tables of many files stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 8 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores)
-
-
-def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose texts are worked on."""
-    df = table(spark, sf, name)
-    return spread(df.select(*columns) if columns else df)

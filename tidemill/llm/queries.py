@@ -1,8 +1,8 @@
 """The queries of the nine problems, each over its whole tables with production parameters.
 
-None of them can be stated in SQL that DuckDB would run: they train models, merge token pairs, build suffix arrays or walk a
-graph. They are tested against brute force, round trips and held-out accuracy in tests/llm; SQL stands beside the plain
-reports over merge_config, splits and documents.
+Most of them cannot be stated in SQL that DuckDB would run: they train models, merge token pairs, build suffix arrays or walk a
+graph. They are tested against brute force, round trips and held-out accuracy in tests/llm; SQL stands beside the length
+histograms of problem 5 and the split names.
 """
 
 from __future__ import annotations
@@ -75,6 +75,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncated(texts(spark, sf, "merged_records", *ANSWER)).where("is_cut").select("record_id")
 
 
+def p5_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """The histograms of problem 5: values, and values that end openly, per dataset, column, measure and length."""
+    return truncation.lengths(texts(spark, sf, "merged_records", "dataset_name", "generated_text", "human_prefix"), "dataset_name", ("generated_text", "human_prefix"))
+
+
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "merged_records")
     rows = truncation.truncated(texts(spark, sf, "merged_records", *ANSWER)).select("record_id", "is_cut").join(df.select("record_id", "model_label", "dataset_name"), "record_id")
@@ -125,10 +130,23 @@ def p4_split_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_defect_rates, p2_found, p2_statistics, p3_found, p3_profile, p4_found, p4_splits, p4_split_names, p5_found, p5_rates, p6_found, p6_counts, p7_ids, p8_found, p8_items, p9_found, p9_counts)}
+    return {f.__name__: f for f in (p1_found, p1_defect_rates, p2_found, p2_statistics, p3_found, p3_profile, p4_found, p4_splits, p4_split_names, p5_found, p5_lengths, p5_rates, p6_found, p6_counts, p7_ids, p8_found, p8_items, p9_found, p9_counts)}
+
+
+def _lengths_sql() -> str:
+    blanks = " || ".join(f"chr({ord(c)})" for c in truncation.BLANKS)
+    quoted = lambda pattern: pattern.replace("'", "''")
+    mark, signature, open_ = (quoted(p) for p in (truncation.MARK, truncation.SIGNATURE, truncation.OPEN))
+    values = " UNION ALL ".join(f"SELECT coalesce(dataset_name, '') AS source, '{c}' AS \"column\", {c} AS v FROM merged_records WHERE length({c}) > 0" for c in ("generated_text", "human_prefix"))
+    bare = f"SELECT source, \"column\", v, rtrim(v, {blanks}) AS a FROM ({values})"
+    cut_ = f"SELECT source, \"column\", v, CASE WHEN regexp_matches(right(a, 64), '(?i){mark}') THEN rtrim(regexp_replace(a, '(?i){mark}', ''), {blanks}) ELSE a END AS b FROM ({bare})"
+    rows = f"SELECT source, \"column\", v, regexp_matches(b, '{open_}') AND NOT regexp_matches(right(b, 90), '{signature}') AS is_open FROM ({cut_})"
+    parts = " UNION ALL ".join(f"SELECT source, \"column\", '{m}' AS measure, CAST({f}(v) AS INTEGER) AS length, is_open FROM r" for m, f in (("chars", "length"), ("bytes", "strlen")))
+    return f"WITH r AS ({rows}) SELECT source, \"column\", measure, length, count(*) AS n, count(*) FILTER (is_open) AS n_open FROM ({parts}) GROUP BY ALL"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_lengths": _lengths_sql(),
         "p4_split_names": "SELECT DISTINCT record_id, CASE WHEN trim(lower(split)) IN ('val', 'valid', 'dev') THEN 'validation' ELSE trim(lower(split)) END AS split FROM split_index",
     }
