@@ -11,6 +11,7 @@ from tidemill.operators import evaluation as E
 from tidemill.operators import generation as G
 from tidemill.operators import quality as Q
 from tidemill.operators import stats
+from tidemill.operators import tfidf as X
 from tidemill.operators import windows as W
 from tidemill.sources import io
 from tidemill.streaming import streams
@@ -103,7 +104,9 @@ def test_minmax_constant(spark):
 def test_prompts(spark):
     df = spark.createDataFrame([("abc",)], "t string")
     got = [df.select(G.prompt(F.col("t"), m)).collect()[0][0] for m in ("raw", "completion", "chat", "unknown")]
-    assert got[0] == "abc" and got[3] == "abc" and got[1].endswith("\nabc") and got[2].startswith("### Instruction")
+    assert got == ["abc", "abc", "Instruction: Continue the following text naturally.\nText: abc\nCompletion:", "abc"]
+    chat = df.select(G.prompt(F.col("t"), "Chat", {"chat": "<user>{message}<assistant>"})).collect()[0][0]
+    assert chat.startswith("<user>Continue writing") and chat.endswith(":\n\nabc<assistant>")
 
 
 def test_resume(spark, tmp_path):
@@ -114,7 +117,7 @@ def test_resume(spark, tmp_path):
     assert spark.read.parquet(path).select("prefix_id").distinct().count() == 12
 
 
-def test_failed_batches_stay_pending(spark, tmp_path):
+def test_failed_batches_stay_pending(spark, tmp_path, caplog):
     old, path = P.HOOKS["generate"], str(tmp_path / "out")
 
     def broken(s):
@@ -123,6 +126,7 @@ def test_failed_batches_stay_pending(spark, tmp_path):
     try:
         P.register("generate", broken)
         assert G.run_resumable(io.mock_prefixes(spark), path) == 0
+        assert "15 of 15 prompts failed, first with RuntimeError: no model" in caplog.text
     finally:
         P.register("generate", old)
     assert G.run_resumable(io.mock_prefixes(spark), path) == 15
@@ -167,6 +171,79 @@ def test_config(tmp_path):
         io.load_config(str(tmp_path / "d.yaml"))
 
 
+def test_failed_reads_are_raised(spark, tmp_path):
+    """Only a missing output counts as none: one that cannot be read must not be generated or appended again."""
+    path = tmp_path / "out"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        G.run_resumable(io.mock_prefixes(spark), str(path))
+    assert io.read_if_there(spark, str(tmp_path / "none"), io.DOCUMENT) is None
+    (tmp_path / "empty").mkdir()
+    assert io.read_if_there(spark, str(tmp_path / "empty"), io.DOCUMENT).count() == 0
+
+
+def test_inputs_must_agree(spark):
+    a, b = spark.createDataFrame([(1, "x")], "i int, t string"), spark.createDataFrame([("x", 1)], "t string, i int")
+    io.same_schema({"a": a, "b": b})
+    with pytest.raises(ValueError, match="c differ"):
+        io.same_schema({"a": a, "c": a.withColumn("i", F.lit("1"))})
+    assert io.with_id(a, "i") is a and io.with_id(a).columns == ["id", "i", "t"]
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["a\r\nb", 'say "no"', "back\\slash", "  blanks  ", "", None, "x,y;z", "\\N", "\n"]
+    io.write_csv(spark.createDataFrame(list(enumerate(texts)), "i int, t string").where("t is null or t <> '\\\\N'"), str(tmp_path / "c"))
+    got = {r["i"]: r["t"] for r in io.read_csv(spark, str(tmp_path / "c"), "i int, t string").collect()}
+    assert got == {i: t for i, t in enumerate(texts) if t != "\\N"}
+
+
+def test_ngrams(spark):
+    df = spark.createDataFrame([("Red  red Blue", )], "t string")
+    one = lambda c: df.select(c).collect()[0][0]
+    assert one(X.word_ngrams(F.col("t"))) == ["red", "red", "blue", "red red", "red blue"]
+    assert one(X.word_ngrams(F.col("t"), (2,), lower=False)) == ["Red red", "red Blue"]
+    assert one(X.chars(F.substring("t", 1, 6), (3,))) == ["red", "ed ", "d r"]
+
+
+def test_moments_and_projections(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from tidemill.operators import models as M
+
+    x = np.random.default_rng(3).normal(size=(60, 4)) @ np.diag([4.0, 2.0, 1.0, 0.5])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, v array<double>").repartition(5)
+    n, total, outer = M.moments(df, "v")
+    assert n == 60 and np.allclose(total, x.sum(0)) and np.allclose(outer, x.T @ x)
+    out, values = M.truncated_svd(df.select("i", array_to_vector("v").alias("v")), "i", "v", 2)
+    assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:2])
+    assert np.allclose(sum(r["svd"][0] ** 2 for r in out.collect()), values[0] ** 2)
+    d = {r["i"]: r for r in M.mahalanobis(df, "i", "v").collect()}
+    c = x - x.mean(0)
+    assert np.allclose([d[i]["distance"] for i in range(60)], np.einsum("ij,jk,ik->i", c, np.linalg.inv(np.cov(x.T)), c), rtol=1e-4)
+    assert sum(r["is_unknown"] for r in d.values()) in (2, 3)
+
+
+def test_calibration_plug_ins_and_objectives(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemill.operators import models as M
+
+    df = spark.range(240).select(F.col("id").alias("record_id"), (F.col("id") % 3).cast("double").alias("label"), ((F.col("id") % 3) * 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"))
+    rows = M.assemble(df, ["a", "b"])
+    c = M.Classifier("svm").fit(rows.where("record_id % 2 = 0"))
+    plain = c.predict(rows).select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda x, y: x + y).alias("s")).agg(F.min("s"), F.max("s")).collect()[0]
+    assert abs(plain[0] - 1) < 1e-6 and abs(plain[1] - 1) < 1e-6
+    out = c.calibrate(rows.where("record_id % 4 = 1")).predict(rows)
+    assert M.accuracy(out) > 0.9 and "probability" in out.columns
+    M.register_estimator("bayes", lambda seed, **params: NaiveBayes(weightCol="weight"))
+    assert M.accuracy(M.Classifier("bayes").fit(rows).predict(rows)) > 0.3
+    best, value = M.optimise(lambda p: -abs(p["x"] - 0.01), {"x": (-4, 0)}, trials=40)
+    assert abs(best["x"] - 0.01) < 0.01 and value <= 0
+
+
 def test_stream_duplicates_over_runs(spark, tmp_path):
     schema = "i int, t string"
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
@@ -194,8 +271,10 @@ def test_centred_pca_share(spark):
     from tidemill.operators import models as M
 
     df = spark.range(200).select(array_to_vector(F.array(F.rand(1) * 10, F.rand(2), F.rand(3) * 0.01)).alias("v"))
-    _, n = M.pca_share(df, "v", 0.95, most=3)
+    _, n = M.pca_share(df, "v", 0.95)
     assert n == 1
+    with pytest.raises(ValueError):
+        M.pca_share(df, "v", 0.9999999, most=1)
 
 
 def test_readers_and_sizes(spark, tmp_path):

@@ -20,12 +20,14 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     features = M.assemble(S.style23(texts(spark, sf, MERGED, "record_id", "generated_text"), "record_id", "generated_text"), STYLE).select("record_id", "features")
     splits = W.stratified_split(m.where("model_label is not null"), "record_id", "model_label", {"train": 0.7, "validation": 0.15, "test": 0.15})
     rows = features.join(splits, "record_id")
-    return M.index_labels(rows, "model_label").transform(rows).withColumn("fold", F.pmod(F.xxhash64("record_id"), F.lit(3)))
+    return M.index_labels(rows, "model_label").transform(rows).join(W.folds(m, "record_id", "model_label", 5).select("record_id", "fold"), "record_id")
 
 
 def _fitted(spark: SparkSession, sf: str, name: str) -> DataFrame:
     rows = _rows(spark, sf).cache()
     c = M.Classifier(name, "stylometric").fit(rows.where("split = 'train'"))
+    if name in ("svm", "boosting"):
+        c.calibrate(rows.where("split = 'validation'"))
     out = c.predict(rows.where("split = 'test'"))
     return out.groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
@@ -112,5 +114,7 @@ def svd_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def open_set(spark: SparkSession, sf: str) -> DataFrame:
-    d = M.mahalanobis(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+    """Vectors far from three quarters of them, which the distance is fitted on."""
+    v = table(spark, sf, "embeddings")
+    d = M.mahalanobis(v, "vec_id", "embedding", fitted_on=v.where(F.pmod(F.xxhash64("vec_id"), F.lit(4)) > 0))
     return d.select("vec_id", F.round("distance", 4).alias("distance"), "is_unknown")
