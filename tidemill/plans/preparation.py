@@ -88,10 +88,16 @@ def pipeline_b_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_stats(df: DataFrame, c: str, name: str) -> DataFrame:
+    """One pass: tokens are counted per token, and what belongs to a document rides with its first token."""
     t = T.text(c)
-    docs = df.agg(F.count("*").alias("total_samples"), F.sum(T.word_count(t)).alias("total_tokens"), F.sum(T.sentence_count(t)).alias("total_sentences"), F.sum(T.char_count(t)).alias("total_chars"))
-    vocabulary = stats.token_counts(df, t).agg(F.count("*").alias("vocabulary_size"), F.coalesce(F.sum(F.length("token") * F.col("n")), F.lit(0)).alias("token_chars"))
-    both = docs.crossJoin(vocabulary)
+    docs = df.select(T.tokens(t).alias("tokens"), T.sentence_count(t).alias("sentences"), T.char_count(t).alias("chars"))
+    rows = docs.select(F.posexplode_outer("tokens").alias("at", "token"), "sentences", "chars")
+    first = F.coalesce("at", F.lit(0)) == 0
+    by = rows.groupBy("token").agg(F.count("token").alias("n"), F.count_if(first).alias("docs"), F.sum(F.when(first, F.col("sentences"))).alias("sentences"), F.sum(F.when(first, F.col("chars"))).alias("chars"))
+    both = by.agg(
+        F.coalesce(F.sum("docs"), F.lit(0)).alias("total_samples"), F.sum("n").alias("total_tokens"), F.sum("sentences").alias("total_sentences"), F.sum("chars").alias("total_chars"),
+        F.count("token").alias("vocabulary_size"), F.coalesce(F.sum(F.length("token") * F.col("n")), F.lit(0)).alias("token_chars"),
+    )
     r = lambda a, b, k: F.round(T.per(F.col(a), F.col(b)), k)
     return both.select(F.lit(name).alias("pipeline_name"), "total_samples", "total_tokens", "total_sentences", "total_chars", "vocabulary_size", r("vocabulary_size", "total_tokens", 6).alias("type_token_ratio"), r("total_chars", "total_samples", 2).alias("avg_document_chars"), r("token_chars", "total_tokens", 2).alias("avg_token_chars"), r("total_tokens", "total_sentences", 2).alias("avg_sentence_tokens"))
 
