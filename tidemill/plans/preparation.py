@@ -60,15 +60,6 @@ def unicode_nfc(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", P.nfc(F.col("text")).alias("nfc_text"))
 
 
-@query()
-def pipeline_a(spark: SparkSession, sf: str) -> DataFrame:
-    """The style-preserving pipeline, with lengths. Entities have no SQL; fixtures test it."""
-    kept, _ = Q.validate(texts(spark, sf, MERGED, "record_id", "model_label", "generated_text"), "generated_text")
-    out = T.pipeline_a(T.text(P.decoded(F.col("generated_text"))))
-    rows = kept.select("record_id", "model_label", out.alias("processed_text"))
-    return rows.withColumns({"char_length": T.char_count(F.col("processed_text")), "word_count": T.word_count(F.col("processed_text"))})
-
-
 @query()
 def pipeline_b(spark: SparkSession, sf: str) -> DataFrame:
     """The traditional pipeline, with lemmas by the hook; documents that it empties are dropped."""
@@ -144,6 +135,32 @@ S_REASON = f"""CASE WHEN length({s_strip(s_text('generated_text'))}) = 0 THEN 'M
 WHEN length(generated_text) > 10000 THEN 'Length exceeds max threshold (' || length(generated_text) || ' > 10000)' END"""
 
 
+# The records hold no entities (what looks like one is junk that no decoder touches), so that NFC is all of the first step.
+S_NFC = f"nfc_normalize({s_text('generated_text')})"
+S_DROPPED = rf"regexp_replace({S_NFC}, '[\x00-\x08\x0b-\x1f\x7f-\x9f\p{{Cf}}\p{{Co}}]', '', 'g')"
+
+
+def s_processed(x: str) -> str:
+    return f"SELECT record_id, model_label, t AS processed_text, CAST(length(t) AS BIGINT) AS char_length, CAST({s_words('t')} AS BIGINT) AS word_count FROM (SELECT record_id, model_label, {x} AS t FROM merged_records WHERE {S_REASON} IS NULL)"
+
+
+@query(s_processed(s_lines(S_DROPPED)))
+def pipeline_a(spark: SparkSession, sf: str) -> DataFrame:
+    """The style-preserving pipeline, with lengths."""
+    kept, _ = Q.validate(texts(spark, sf, MERGED, "record_id", "model_label", "generated_text"), "generated_text")
+    out = T.pipeline_a(T.text(P.decoded(F.col("generated_text"))))
+    rows = kept.select("record_id", "model_label", out.alias("processed_text"))
+    return rows.withColumns({"char_length": T.char_count(F.col("processed_text")), "word_count": T.word_count(F.col("processed_text"))})
+
+
+@query(s_processed("array_to_string(" + S_B_TOKENS.replace(s_text("generated_text"), S_NFC) + ", ' ')") + " WHERE length(t) > 0")
+def pipeline_b_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The traditional pipeline before the lemmas, which are a hook."""
+    kept, _ = Q.validate(texts(spark, sf, MERGED, "record_id", "model_label", "generated_text"), "generated_text")
+    rows = kept.select("record_id", "model_label", T.pipeline_b(T.text(P.decoded(F.col("generated_text")))).alias("processed_text")).where(F.length("processed_text") > 0)
+    return rows.withColumns({"char_length": T.char_count(F.col("processed_text")), "word_count": T.word_count(F.col("processed_text"))})
+
+
 @query(f"SELECT record_id, prefix_id, model_label, {S_REASON} AS reason, CAST(length({s_text('generated_text')}) AS BIGINT) AS original_length FROM merged_records WHERE {S_REASON} IS NOT NULL")
 def validate_removed(spark: SparkSession, sf: str) -> DataFrame:
     _, removed = Q.validate(table(spark, sf, MERGED).select("record_id", "prefix_id", "model_label", "generated_text"), "generated_text")
