@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import NOTHING_SQL, HashedLogit, attach, bounded_sample, clean, copied, h32, map_batches, words
+from tidemill.llm.common import NOTHING_SQL, HashedLogit, attach, bounded_sample, clean, copied, cut, h32, map_batches, words
 from tidemill.llm.shapes import LIST, PROSE, describe, majority
 
 BITS = 15
@@ -42,7 +42,8 @@ FIRST_PERSON = frozenset("i im i'm we my me you your us our am".split())
 
 
 def blank_free(c: Column) -> Column:
-    return F.rtrim(c, F.lit(BLANKS))
+    """Without blanks at the end; only texts that end with one are gone through."""
+    return F.when(F.right(c, F.lit(1)).rlike(f"[{BLANKS}]"), F.rtrim(c, F.lit(BLANKS))).otherwise(c)
 
 
 def end_of(text: Column) -> tuple[Column, Column, Column]:
@@ -50,15 +51,23 @@ def end_of(text: Column) -> tuple[Column, Column, Column]:
     bare = blank_free(text)
     marked = F.right(bare, F.lit(64)).rlike("(?i)" + MARK)
     bare = F.when(marked, blank_free(F.regexp_replace(bare, "(?i)" + MARK, ""))).otherwise(bare)
-    return bare, marked, bare.rlike(OPEN) & ~F.right(bare, F.lit(90)).rlike(SIGNATURE)
+    return bare, marked, F.right(bare, F.lit(1)).rlike(OPEN) & ~F.right(bare, F.lit(90)).rlike(SIGNATURE)
 
 
 def lengths(df: DataFrame, source: str, columns: tuple[str, ...]) -> DataFrame:
     """The histograms: values and openly ending values per source, column, measure (chars, bytes) and length."""
     values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    rows = df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.explode(values).alias("v")).where("length(v.value) > 0").select("source", "v.column", F.length("v.value").alias("chars"), F.octet_length("v.value").alias("bytes"), end_of(F.col("v.value"))[2].alias("is_open"))
-    pairs = rows.groupBy("source", "column", "chars", "bytes").agg(F.count("*").alias("n"), F.count_if("is_open").alias("n_open"))  # before each row becomes two
-    both = pairs.select("source", "column", F.expr("stack(2, 'chars', chars, 'bytes', bytes) as (measure, length)"), "n", "n_open")
+    return by_measure(counted(df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.explode(values).alias("v")).select("source", "v.column", "v.value"), "value", "source", "column"))
+
+
+def counted(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Values and openly ending ones by length in characters and in bytes: one pass over the values."""
+    rows = df.where(F.length(value) > 0).select(*by, F.length(value).alias("chars"), F.octet_length(value).alias("bytes"), end_of(F.col(value))[2].alias("is_open"))
+    return rows.groupBy(*by, "chars", "bytes").agg(F.count("*").alias("n"), F.count_if("is_open").alias("n_open"))
+
+
+def by_measure(counts: DataFrame) -> DataFrame:
+    both = counts.select("source", "column", F.expr("stack(2, 'chars', chars, 'bytes', bytes) as (measure, length)"), "n", "n_open")
     return both.groupBy("source", "column", "measure", "length").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
 
 
@@ -75,10 +84,10 @@ def budget_bin(n_chars: Column, budget: Column) -> Column:
     return F.when(budget > 0, F.floor(n_chars * 20 / budget).cast("bigint"))
 
 
-def budget_spikes(df: DataFrame, text: str, budget: str, least: int = LEAST_SPIKE, share: float = BUDGET_SHARE) -> DataFrame:
+def budget_spikes(counts: DataFrame, least: int = LEAST_SPIKE, share: float = BUDGET_SHARE) -> DataFrame:
     """Bins of characters per budgeted token (in twentieths) in and beside which nearly all values end openly."""
-    rows = df.where(F.length(text) > 60).select(budget_bin(F.length(text), F.col(budget)).alias("bin"), end_of(F.col(text))[2].alias("is_open")).where("bin is not null")
-    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.count_if("is_open").alias("n_open"))
+    rows = counts.where("chars > 60").select(budget_bin(F.col("chars"), F.col("budget")).alias("bin"), "n", "n_open").where("bin is not null")
+    bins = rows.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
     near = bins.select(F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"), "n", "n_open").groupBy("bin").agg(F.sum("n").alias("n_around"), F.sum("n_open").alias("open_around"))
     return bins.join(near, "bin").where((F.col("n_open") > 0) & (F.col("open_around") >= least) & (F.col("open_around") >= share * F.col("n_around"))).select("bin")
 
@@ -93,14 +102,15 @@ def chars_per_token(df: DataFrame, text: str, completion: str, model: str) -> Da
 def observed(df: DataFrame, key: str, source: str, prefix: str, text: str, completion: str, budget: str, model: str) -> DataFrame:
     """Each record with what lengths and endings say, by built-in functions; texts and prefixes stay beside."""
     df = df.select(F.col(key).alias("record_key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(model).cast("string").alias("_model"), F.col(prefix).alias("prefix"), F.col(text).alias("text"), F.col(completion).cast("bigint").alias("completion"), F.col(budget).cast("bigint").alias("budget"))
-    spikes = length_spikes(lengths(df, "source", ("text",)))
+    counts = cut(counted(df.withColumn("column", F.lit("text")), "text", "source", "column", "budget"))
+    spikes = length_spikes(by_measure(counts))
     bare, mark, is_open = end_of(F.col("text"))
     rows = df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0))).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0))).withColumn("mark", F.coalesce(mark, F.lit(False)))
     nothing = (F.length(bare) < 80) & F.trim(F.regexp_replace("text", f"[{BLANKS}]+", " ")).rlike(NOTHING_SQL)  # longer ones end with a bracket
     rows = rows.withColumn("is_open", F.coalesce(is_open & ~nothing, F.lit(False)))
     for measure in ("chars", "bytes"):
         rows = attach(rows, spikes.where(F.col("measure") == measure).select("source", F.col("length").alias(f"n_{measure}"), F.lit(True).alias(f"spike_{measure}")), ["source", f"n_{measure}"])
-    rows = attach(rows.withColumn("bin", budget_bin(F.col("n_chars"), F.col("budget"))), budget_spikes(df, "text", "budget").withColumn("spike_budget", F.lit(True)), ["bin"])
+    rows = attach(rows.withColumn("bin", budget_bin(F.col("n_chars"), F.col("budget"))), budget_spikes(counts).withColumn("spike_budget", F.lit(True)), ["bin"])
     rows = attach(rows, chars_per_token(df, "text", "completion", "_model"), ["_model"])
     n, c = F.col("n_chars"), F.col("completion")
     excess = F.when(c >= 0.97 * n, c > n * 1.02 + 6).otherwise(c * F.coalesce("per_token", F.lit(4.3)) > n * 1.06 + 6)
