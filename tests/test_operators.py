@@ -126,7 +126,7 @@ def test_failed_batches_stay_pending(spark, tmp_path, caplog):
     try:
         P.register("generate", broken)
         assert G.run_resumable(io.mock_prefixes(spark), path) == 0
-        assert "15 of 15 prompts failed, first with RuntimeError: no model" in caplog.text
+        assert "15 prompts failed, one of them with RuntimeError: no model" in caplog.text
     finally:
         P.register("generate", old)
     assert G.run_resumable(io.mock_prefixes(spark), path) == 15

@@ -6,7 +6,8 @@ import logging
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -46,16 +47,32 @@ def pending(prefixes: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return prefixes.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def generate(prompts: DataFrame, key: str, prompt_column: str, hook: str = "generate") -> DataFrame:
+class Failures(AccumulatorParam):
+    """How many prompts failed, and the error of one of them; a batch that is tried again counts again."""
+
+    def __init__(self, spark: SparkSession):
+        self.total = spark.sparkContext.accumulator((0, ""), self)
+
+    def zero(self, value: tuple) -> tuple:
+        return 0, ""
+
+    def addInPlace(self, a: tuple, b: tuple) -> tuple:  # noqa: N802 - Spark's name
+        return a[0] + b[0], a[1] or b[1]
+
+
+def generate(prompts: DataFrame, key: str, prompt_column: str, hook: str = "generate", failures: Failures | None = None) -> DataFrame:
     """Completions by the registered generator, batch by batch. The rows of a failed batch have no text but its error."""
-    f = P.HOOKS[hook]
+    f, total = P.HOOKS[hook], failures.total if failures else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 yield pd.DataFrame({key: b[key], "generated_text": f(b[prompt_column]), "error": None})
             except Exception as e:  # noqa: BLE001 - told in the rows
-                yield pd.DataFrame({key: b[key], "generated_text": None, "error": f"{type(e).__name__}: {e}"[:500]})
+                error = f"{type(e).__name__}: {e}"[:500]
+                if total is not None:
+                    total.add((len(b), error))
+                yield pd.DataFrame({key: b[key], "generated_text": None, "error": error})
 
     kind = prompts.schema[key].dataType.simpleString()
     return prompts.select(key, prompt_column).mapInPandas(run, f"{key} {kind}, generated_text string, error string")
@@ -72,12 +89,11 @@ def run_resumable(prefixes: DataFrame, path: str, key: str = "prefix_id", prefix
     have, rest = (0, prefixes) if done is None else (done.count(), pending(prefixes, done, key))
     if most is not None:
         rest = rest.orderBy(key).limit(max(0, most - have))
-    out = generate(rest.withColumn("_prompt", prompt(F.col(prefix), mode)), key, "_prompt")
-    seen = Observation()
-    out = out.observe(seen, F.count("*").alias("tried"), F.count("error").alias("failed"), F.first("error", ignorenulls=True).alias("error"))
+    failures = Failures(spark)
+    out = generate(rest.withColumn("_prompt", prompt(F.col(prefix), mode)), key, "_prompt", failures=failures)
     out.where("error is null").drop("error").write.mode("append").parquet(path)
-    if seen.get["failed"]:
-        log.warning("%s of %s prompts failed, first with %s", seen.get["failed"], seen.get["tried"], seen.get["error"])
+    if failures.total.value[0]:
+        log.warning("%s prompts failed, one of them with %s", *failures.total.value)
     return spark.read.parquet(path).count()
 
 
