@@ -512,6 +512,51 @@ def test_edits_beside():
         assert O.beside(pack(x), pack(y), np.array([k]), 13)[0] == min(want, O.SHIFT + 1)
 
 
+def test_common_phrases_are_searched_by_place():
+    """Many texts of few phrases: only suffixes at places that the edits allow are looked at, and none of those is left out."""
+    rng = random.Random(31)
+    phrases = [[rng.choice(NOUNS) for _ in range(3)] for _ in range(6)]
+    b = O.Batch([" ".join(w for _ in range(rng.randrange(12, 40)) for w in rng.choice(phrases)) for _ in range(150)])
+    at, key, *_ = b.entries()
+    owner, pos = b.text[at], b.pos[at]
+    s = np.argsort(key, kind="stable")
+    t = s[pos[s] % 7 == 0]
+    first = np.searchsorted(key[s], key[t])
+    count = np.searchsorted(key[s], key[t], side="right") - first
+    edits = b.n[owner[t]] // 4
+    s_, t_, first_, count_, edits_ = O.Part._placed(s, key[s], t, first, count, edits, pos, b.n, owner)
+    assert count_.sum() < count.sum() / 3
+
+    def allowed(s, t, first, count, edits):
+        out = set()
+        for i, f, c, e in zip(t.tolist(), first, count, edits):
+            for j in s[f : f + c].tolist():
+                shift, longer = pos[i] - pos[j], b.n[owner[i]] - b.n[owner[j]]
+                if longer >= 0 and abs(shift) + abs(longer - shift) <= e:
+                    out.add((i, j))
+        return out
+
+    want = allowed(s, t, first, count, edits)
+    assert want and allowed(s_, t_, first_, count_, edits_) == want
+
+
+def test_cheap_bounds_lose_no_pair():
+    rng = random.Random(32)
+    for _ in range(100):
+        a, b = (bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(1, 30))) for _ in range(2))
+        c = a[: len(a) // 2] + b[: len(a) // 5] + a[len(a) // 2 :]
+        for other in (b, c):
+            assert O.may_be_close([a], [other], 0.25)[0] or O.distance(a, other) > 0.25 * max(len(a), len(other))
+    assert not O.may_be_close([b"abcdabcd"], [b"efghabcd"], 0.25)[0] and O.may_be_close([b"abcdabcd"], [b"abcdabc"], 0.25)[0]
+    pack = lambda v: np.array([sum(w << O.WORD_BITS * q for q, w in enumerate(v))], np.uint64)
+    for _ in range(300):
+        x, y = ([rng.randrange(1, 9) for _ in range(n)] for n in (13, 16))
+        if rng.random() < 0.5:
+            y = (x[rng.randrange(3) :] + y)[:16]
+        k = rng.randrange(14)
+        assert O.alone(pack(x), pack(y), np.array([k]))[0] <= O.beside(pack(x), pack(y), np.array([k]), 13)[0] or O.beside(pack(x), pack(y), np.array([k]), 13)[0] == O.SHIFT + 1
+
+
 def test_many_variants():
     rng = random.Random(77)
     base = [f"w{rng.randrange(5000)}" for _ in range(80)]

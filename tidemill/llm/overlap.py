@@ -41,7 +41,8 @@ SAMPLE_TEXTS = 8192
 LEVEL_BITS = 22
 PART_ENTRIES = 2_000_000
 BATCH_WORDS = 600_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+FEW, CELL, MOST_CELLS = 32, 8, 16
 MOST_BROADCAST = 200_000
 _A, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -81,6 +82,21 @@ def distance(a: list[str] | bytes, b: list[str] | bytes) -> int:
     return score
 
 
+def may_be_close(a: list[bytes], b: list[bytes], most_edits: float, rows: int = 1024) -> np.ndarray:
+    """Whether each pair of byte sequences may be within the bound: each edit makes up for one byte of each side that the other one lacks."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), rows):
+        counts, sizes = [], []
+        for side in (a[k : k + rows], b[k : k + rows]):
+            n = np.array([len(v) for v in side], np.int64)
+            at = np.repeat(np.arange(len(n)) << 8, n) | np.frombuffer(b"".join(side), np.uint8)
+            counts.append(np.bincount(at, minlength=len(n) << 8).astype(np.int32).reshape(len(n), 256))
+            sizes.append(n)
+        lacking = np.maximum(counts[0] - counts[1], 0).sum(axis=1)
+        out[k : k + rows] = np.maximum(lacking, lacking - sizes[0] + sizes[1]) <= most_edits * np.maximum(*sizes)
+    return out
+
+
 def covered(a: list[str], b: list[str], run: int = NEAR) -> tuple[float, float]:
     """Share of the words of each text that lie in runs of `run` words of the other one, overlapping runs merged."""
     ga, gb = [list(zip(*(t[k:] for k in range(run)))) for t in (a, b)]
@@ -372,6 +388,19 @@ def _one_edit() -> np.ndarray:
 
 
 ONE_EDIT = _one_edit()
+# Which of NEAR words (a bit each) are 0, of all their bits.
+EQUAL = sum(((np.arange(1 << WORD_BITS * NEAR) >> WORD_BITS * k & (1 << WORD_BITS) - 1) == 0).astype(np.int64) << k for k in range(NEAR))
+
+
+def alone(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of the first `size` words of x, how many equal no word of y up to SHIFT places away: never more than `beside` finds."""
+    lowest = np.uint64(sum(1 << WORD_BITS * k for k in range(64 // WORD_BITS)))
+    differ = lowest & ((np.uint64(1) << (np.uint64(WORD_BITS) * size.astype(np.uint64))) - np.uint64(1))
+    for d in range(-SHIFT, SHIFT + 1):
+        v = x ^ (y >> np.uint64(WORD_BITS * d) if d >= 0 else y << np.uint64(-WORD_BITS * d))
+        v |= v >> np.uint64(1)
+        differ &= v | v >> np.uint64(2)
+    return np.bitwise_count(differ).astype(np.int64)
 
 
 def beside(x: np.ndarray, y: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
@@ -440,21 +469,64 @@ class Part:
         rest = (np.uint64(1) << (np.uint64(WORD_BITS) * (LONGEST - (code[t] & 15)).astype(np.uint64))) - np.uint64(1)
         first = np.searchsorted(keys, key[t] & ~rest)
         count = np.searchsorted(keys, key[t] | rest, side="right") - first
-        t, first, count = t[count > 0], first[count > 0], count[count > 0]
-        total = np.cumsum(count)
-        for begin in range(0, int(total[-1]) if len(total) else 0, CHUNK):
-            flat = np.arange(begin, min(begin + CHUNK, int(total[-1])))
-            which = np.searchsorted(total, flat, side="right")
-            i, j = t[which], s[first[which] + flat - (total - count)[which]]
-            na, shift = n[owner[i]], pos[i] - pos[j]
-            longer = na - n[owner[j]]
-            ok = (owner[i] != owner[j]) & (longer >= 0) & (np.abs(shift) + np.abs(longer - shift) <= (na * self.most_edits).astype(np.int64))
-            i, j = i[ok], j[ok]
-            for test in (self._neighbour, self._four):
-                ok = test(i, j, after, before, code)
+        t, first, count, rest = t[count > 0], first[count > 0], count[count > 0], rest[count > 0]
+        na = n[owner[t]]
+        edits = (na * self.most_edits).astype(np.int64)
+        many = (count > FEW) & (edits <= MOST_CELLS * CELL)
+        searches = [(s, t[~many], first[~many], count[~many], edits[~many])]
+        for r in np.unique(rest[many]):
+            mine = np.flatnonzero(many & (rest == r))
+            searches.append(self._placed(s, keys & ~r, t[mine], first[mine], count[mine], edits[mine], pos, n, owner))
+        for s_, t_, first_, count_, edits_ in searches:
+            n_s, pos_s, total = n[owner[s_]], pos[s_], np.cumsum(count_)
+            for begin in range(0, int(total[-1]) if len(total) else 0, CHUNK):
+                end = min(begin + CHUNK, int(total[-1]))
+                x, y = np.searchsorted(total, (begin, end - 1), side="right")
+                runs = np.minimum(total[x : y + 1], end) - np.maximum(total[x : y + 1] - count_[x : y + 1], begin)
+                which = np.repeat(np.arange(x, y + 1), runs)
+                at = np.arange(begin, end) + (first_ - (total - count_))[which]
+                shift = pos[t_][which] - pos_s[at]
+                longer = n[owner[t_]][which] - n_s[at]
+                ok = np.flatnonzero((longer >= 0) & (np.abs(shift) + np.abs(longer - shift) <= edits_[which]))
+                i, j = t_[which[ok]], s_[at[ok]]
+                ok = owner[i] != owner[j]
                 i, j = i[ok], j[ok]
-            if len(i):
-                yield i, j
+                for test in (self._neighbour, self._near_four, self._four):
+                    ok = test(i, j, after, before, code)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    yield i, j
+
+    @staticmethod
+    def _placed(s: np.ndarray, prefix: np.ndarray, t: np.ndarray, first: np.ndarray, count: np.ndarray, edits: np.ndarray, pos: np.ndarray, n: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The search of segments t of one length, which many suffixes begin with, narrowed to those whose places the edits allow.
+
+        The suffixes of the runs are ordered by run, cell of CELL words from the beginning, and words to the end; a segment looks
+        at a range of each cell within its edits. Returns suffixes, segments (once for each cell), ranges and edits.
+        """
+        inside = np.zeros(len(s) + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, first + count, -1)
+        member = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+        top = np.int64(0xFFFF)
+        run = np.cumsum(np.append(0, prefix[member][1:] != prefix[member][:-1]))
+        here = s[member]
+        place = run << 32 | np.minimum(pos[here] // CELL, top) << 16 | np.minimum(n[owner[here]] - pos[here], top)
+        order = np.argsort(place)
+        place = place[order]
+        # |shift| + |longer - shift| <= edits and longer >= 0 leave shifts from -edits / 2 to edits, and as many words more to the end.
+        low, high = np.maximum(pos[t] - edits, 0) // CELL, (pos[t] + edits // 2) // CELL
+        cells = high - low + 1
+        which = np.repeat(np.arange(len(t)), cells)
+        cell = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
+        most, least = pos[t][which] - cell * CELL, pos[t][which] - cell * CELL - (CELL - 1)  # shifts of the cell
+        spare = edits[which] - np.maximum(np.maximum(least, -most), 0)
+        to_end = (n[owner[t]] - pos[t])[which]
+        base = run[np.searchsorted(member, first)][which] << 32 | np.minimum(cell, top) << 16
+        begin = np.searchsorted(place, base | np.clip(to_end - spare, 0, top))
+        end = np.searchsorted(place, base | np.clip(to_end + np.minimum(spare, most), 0, top), side="right")
+        some = np.flatnonzero((end > begin) & (to_end + np.minimum(spare, most) >= 0))
+        return here[order], t[which[some]], begin[some], (end - begin)[some], edits[which[some]]
 
     @staticmethod
     def _neighbour(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -466,10 +538,18 @@ class Part:
         near = np.minimum(SEED + (c >> 4 & 1), np.where(back, BEFORE, AFTER + SEED - size) - 1)
         bits = np.zeros(len(i), np.int64)
         for d, v in enumerate((mine ^ other, mine ^ (other >> np.uint64(WORD_BITS)), mine ^ (other << np.uint64(WORD_BITS)))):
-            for k in range(NEAR):
-                bits |= ((v >> np.uint64(WORD_BITS * k)) & np.uint64((1 << WORD_BITS) - 1) == 0).astype(np.int64) << (d * NEAR + k)
+            bits |= EQUAL[(v & np.uint64(len(EQUAL) - 1)).astype(np.int64)] << (d * NEAR)
         return ONE_EDIT[near, bits]
 
+    @staticmethod
+    def _near_four(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """A bound of what _four finds, in a few operations: words that no word of the other text up to SHIFT places away equals."""
+        c = code[i]
+        move = np.uint64(WORD_BITS) * ((c & 15) - SEED).astype(np.uint64)
+        ahead = alone(after[i] >> move, after[j] >> move, np.minimum(c >> 8 & 15, AFTER - SHIFT + SEED - (c & 15)))
+        back = alone(before[i], before[j], np.minimum(c >> 12, BEFORE - SHIFT))
+        return ahead + back <= np.where(c & 64 > 0, 1, SHIFT)
+
     @staticmethod
     def _four(i: np.ndarray, j: np.ndarray, after: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Whether at most three edits lie in the four segments (or one in a pair that is alone), as far as the words beside are known."""
@@ -521,7 +601,7 @@ def near_pairs(records: DataFrame, splits: DataFrame, key: str = "record_id", te
     pairs = beside_each_other(pairs, texts, "marks")
 
     def close(a_id: list, b_id: list, a: list, b: list) -> dict[str, list]:
-        ok = [k for k, (u, v) in enumerate(zip(a, b)) if distance(u, v) <= most_edits * max(len(u), len(v))]
+        ok = [k for k in np.flatnonzero(may_be_close(a, b, most_edits)).tolist() if distance(a[k], b[k]) <= most_edits * max(len(a[k]), len(b[k]))]
         return {"a_id": [a_id[k] for k in ok], "b_id": [b_id[k] for k in ok]}
 
     pairs = cut(map_batches(pairs, ["a_id", "b_id", "a_marks", "b_marks"], close, "a_id bigint, b_id bigint"))
