@@ -119,3 +119,24 @@ def test_hooks_can_be_replaced(spark):
     assert one(spark, P.hook("lemma", F.col("t")), "cats stories glass") == "cat story glass"
     assert one(spark, P.hook("language", F.col("t")), "der Hund und die Katze") == "de"
     assert one(spark, P.hook("subwords", F.col("t")), "a b") == ["a", "b"]
+
+
+def test_term_weights_without_rows_per_document(spark):
+    """Sums as of one row per document and term: repeated and missing keys, short words, more characters than fit, empty texts."""
+    from tidemill.operators import grams as C
+
+    wide = "".join(chr(0x4E00 + k) + (" " if k % 7 == 0 else "") for k in range(5000))
+    rows = [(1, "The cat  sat\non a mat, a b c"), (2, "a cat a dog"), (2, "On THE mat"), (3, None), (4, ""), (5, " \n"), (None, "a lone cat"), (None, "b b b"), (6, wide), (7, wide[:900]), (8, "\U0001f600 the  mat x")] + [(k, f"the mat {k}") for k in range(10, 60)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(3)
+    ranges = {"2-2": (2,), "4-4": (4,), "3-5": (3, 4, 5)}
+    keyed = df.select(F.coalesce("i", F.lit(-1)).alias("i"), F.coalesce("t", F.lit("")).alias("t")).withColumn("w", T.tokens(F.lower("t")))
+    n = df.count()
+    for in_words in (True, False):
+        c = F.lower(F.col("t")) if in_words else X.one_blank(F.col("t"))
+        got = {(r["ngram_range"], r["term"]): (r["n_documents"], round(r["weight"], 9)) for r in C.term_weights(df, "i", T.text(c), ranges, 3000, in_words).collect()}
+        want = {}
+        for name, sizes in ranges.items():
+            counts = X.term_counts(keyed, "i", X.char_wb(F.col("w"), sizes) if in_words else X.chars(F.col("t"), sizes))
+            x = X.weights(counts, X.vocabulary(counts, n, 3000), "i").groupBy("term").agg(F.count("*").alias("n"), F.sum("tfidf").alias("s"))
+            want |= {(name, r["term"]): (r["n"], round(r["s"], 9)) for r in x.collect()}
+        assert len(want) > 500 and got == want

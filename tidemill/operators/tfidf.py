@@ -31,6 +31,11 @@ def word_ngrams(c: Column, sizes: tuple[int, ...] = (1, 2), lower: bool = True)
     return once(words, lambda w: F.concat(*[w if n == 1 else T.ngrams(w, n) for n in sizes], F.array().cast("array<string>")))
 
 
+def one_blank(c: Column, lower: bool = True) -> Column:
+    """Runs of blanks being one blank."""
+    return F.regexp_replace(F.lower(c) if lower else c, f"[{T.SPACE}][{T.SPACE}]+", " ")
+
+
 def chars(c: Column, sizes: tuple[int, ...], lower: bool = True) -> Column:
     """Character n-grams across word borders, runs of blanks being one blank."""
     none = F.array().cast("array<string>")
@@ -38,7 +43,7 @@ def chars(c: Column, sizes: tuple[int, ...], lower: bool = True) -> Column:
     def of(t: Column, n: int) -> Column:
         return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
 
-    return once(F.regexp_replace(F.lower(c) if lower else c, f"[{T.SPACE}][{T.SPACE}]+", " "), lambda t: F.concat(*[of(t, n) for n in sizes], none))
+    return once(one_blank(c, lower), lambda t: F.concat(*[of(t, n) for n in sizes], none))
 
 
 def char_wb(tokens: Column, sizes: tuple[int, ...]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
 from tidemill.functions.text import SPACE
+from tidemill.operators import grams as C
 from tidemill.operators import stylometry as S
 from tidemill.operators import tfidf as X
 from tidemill.plans.base import query, table, texts
@@ -98,8 +99,8 @@ S_ACROSS = " UNION ALL ".join(f"SELECT doc_id, substr(p, i, {n}) AS term FROM (S
 @query("WITH " + s_tfidf(S_ACROSS, "doc_id", "SELECT count(*) AS n FROM documents", 20_000) + " SELECT term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 1")
 def tfidf_char(spark: SparkSession, sf: str) -> DataFrame:
     """Character n-grams that may cross the borders of words."""
-    x = X.tfidf(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", X.chars(T.text("text"), (3, 4, 5)), 20_000)
-    return x.groupBy("term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
+    x = C.term_weights(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", X.one_blank(T.text("text")), {"3-5": (3, 4, 5)}, 20_000, in_words=False)
+    return x.select("term", "n_documents", F.round("weight", 4).alias("weight"))
 
 
 @query(f"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower({s_text('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE source_split = 'train')
