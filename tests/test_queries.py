@@ -44,6 +44,20 @@ def test_runs(spark, tiny, name):
     assert registry.queries()[name](spark, tiny).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["char_ngram_ranges", "tfidf_char"])
+def test_ngrams_of_odd_keys(spark, tmp_path, name):
+    """Rows without a key and of one key are one document each; no row per document and n-gram is shuffled."""
+    rows = [(1, "A cat sat"), (1, "the cat"), (None, "a cat and a hat"), (None, "that\t\u3000cat"), (2, None), (3, " "), (4, "Cat hats"), (5, "a b c")] + [(k, f"x{k}") for k in range(10, 40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert "hashpartitioning(doc_id" not in df._jdf.queryExecution().executedPlan().toString()
+    d = duckdb.connect()
+    d.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    c = d.execute(SQL[name])
+    names = [x[0] for x in c.description]
+    assert Counter(tuple(norm(r[c]) for c in names) for r in df.collect()) == Counter(tuple(norm(v) for v in r) for r in c.fetchall())
+
+
 def test_invariants(spark, tiny):
     q = registry.queries()
     n = spark.read.parquet(f"{tiny}/merged_records.parquet").count()

@@ -88,17 +88,6 @@ def tfidf(df: DataFrame, key: str, terms: Column, cap: int, min_df: int = 2, max
     return weights(counts, vocabulary(counts, df.count(), cap, min_df, max_df), key)
 
 
-def ranged_char_ngrams(df: DataFrame, key: str, c: Column, ranges: dict[str, tuple[int, ...]], cap: int) -> DataFrame:
-    """A vocabulary of its own for each range of sizes, stacked with the range's name."""
-    out, n = None, df.count()
-    docs = df.select(key, T.tokens(F.lower(c)).alias("tokens"))
-    for name, sizes in ranges.items():
-        counts = term_counts(docs, key, char_wb(F.col("tokens"), sizes))
-        part = weights(counts, vocabulary(counts, n, cap), key).withColumn("ngram_range", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 class Vectorizer:
     """A vocabulary fitted on one corpus, applied to others, and kept as a table."""
 

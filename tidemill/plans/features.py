@@ -79,8 +79,8 @@ def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {s_tfidf(s_char(r), 'doc_id', 'SELECT count(*) AS n FROM documents', X.CHAR_TERMS)} SELECT '{name}' AS ngram_range, term, count(*) AS n_documents, round(sum(tfidf), 4) AS weight FROM w GROUP BY 2)" for name, r in X.CHAR_RANGES.items()))
 def char_ngram_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    x = X.ranged_char_ngrams(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", T.text("text"), X.CHAR_RANGES, X.CHAR_TERMS)
-    return x.groupBy("ngram_range", "term").agg(F.count("*").alias("n_documents"), F.round(F.sum("tfidf"), 4).alias("weight"))
+    x = C.term_weights(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", F.lower(T.text("text")), X.CHAR_RANGES, X.CHAR_TERMS, in_words=True)
+    return x.withColumn("weight", F.round("weight", 4))
 
 
 S_CASED = f"regexp_extract_all({s_text(G)}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
